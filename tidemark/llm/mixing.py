@@ -21,7 +21,7 @@ def size_of(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """0.05 to 1: the share of characters that aren't symbols of markup or code, to the fourth power."""
-    clean = F.length(F.translate(text, "#*$%&|<>{}", "")) / F.length(text)
+    clean = F.try_divide(F.length(F.translate(text, "#*$%&|<>{}", "")), F.length(text))
     return F.greatest(F.lit(0.05), F.coalesce(F.pow(clean, 4), F.lit(1.0)))
 
 
