@@ -96,7 +96,9 @@ def find_anomalies(errors: DataFrame, window_size_portion: float = 0.33, window_
     if fixed_threshold:
         per = Window.partitionBy("signal_id", "_win")
         e = e.withColumn("_mean", F.avg("error").over(per)).withColumn("_std", F.stddev_pop("error").over(per)).withColumn("_thr", F.col("_mean") + F.lit(k) * F.col("_std"))
-        runs = _runs(e.filter(F.col("error") > F.col("_thr")), anomaly_padding)
+        # a constant window has a deviation of rounding errors only
+        clear = F.col("error") - F.col("_mean") > 1e-9 * F.abs(F.col("_mean"))
+        runs = _runs(e.filter((F.col("error") > F.col("_thr")) & clear), anomaly_padding)
     else:
         lo, hi, by = z_range
 
@@ -125,6 +127,8 @@ def _sequences(flag: np.ndarray, padding: int) -> list[tuple[int, int]]:
 
 
 def best_threshold(v: np.ndarray, mean: float, std: float, zs: np.ndarray) -> float:
+    if std <= 1e-9 * abs(mean):
+        return np.inf  # a constant window
     best, chosen = -np.inf, mean + zs[-1] * std
     for z in zs:
         thr = mean + z * std
