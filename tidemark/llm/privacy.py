@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, batch, map_arrow, pieces, save, text_key
+from .common import WORD_RE, batch, drop_saved, map_arrow, pieces, save, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -206,7 +206,9 @@ def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     without personal data lose nothing. Columns besides doc_id and text aren't read.
     """
     found = save(scan(docs), "pii")
-    terms = save(disclosing_terms(statistics(docs), generalise, values), "terms")
+    stats = save(statistics(docs), "stats")  # read three times below
+    terms = save(disclosing_terms(stats, generalise, values), "terms")
+    drop_saved(stats)
     cand = found.filter(F.size("near") > 0).select("doc_id", "_key", F.explode("near").alias("t")).select("doc_id", "_key", "t.*").distinct()
     hits = cand.join(terms, ["term", "kind"]).groupBy("doc_id", "_key", "start", "end").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
