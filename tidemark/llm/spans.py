@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, pieces, save, text_key
+from .common import batch, drop_saved, map_arrow, pieces, save, text_key
 
 #: A sentence ends after . ! or ? before white space, or at a newline.
 CUT = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -72,21 +72,32 @@ def span_hashes(text: str, least: int = WORDS) -> tuple[np.ndarray, np.ndarray,
     return one.view(np.int64), (two >> np.uint64(33)).astype(np.int64), first, last
 
 
-SPANS = "h1 long, h2 int, doc_id long, _key long, first int, last int"
+SPANS = "h1 long, h2 int, doc_id long, _key long, first int, last int, again boolean"
+
+
+def repeats(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which spans, in order of their first sentence, stand earlier in the same text."""
+    if not len(h1):
+        return np.zeros(0, bool)
+    order = np.lexsort((np.arange(len(h1)), h2, h1))
+    out = np.zeros(len(h1), bool)
+    out[order[1:]] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    return out
 
 
 def all_spans(docs: DataFrame, least: int = WORDS) -> DataFrame:
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    """Every span of every text; again says that the text holds it earlier."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())])
 
     def run(batches):
         for b in batches:
             for part in pieces(b):
-                got = [[] for _ in range(6)]
+                got = [[] for _ in range(7)]
                 for d, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "_key", "text")), strict=True):
                     h1, h2, first, last = span_hashes(text, least) if text else (np.zeros(0, np.int64),) * 4
-                    for col, v in zip(got, (h1, h2, pa.array([d] * len(h1), pa.int64()), np.full(len(h1), key), first, last), strict=True):
+                    for col, v in zip(got, (h1, h2, pa.array([d] * len(h1), pa.int64()), np.full(len(h1), key), first, last, repeats(h1, h2)), strict=True):
                         col.append(v)
-                cols = [np.concatenate(c).astype(t) for c, t in ((got[0], np.int64), (got[1], np.int32))] + [pa.concat_arrays(got[2])] + [np.concatenate(got[k]).astype(t) for k, t in ((3, np.int64), (4, np.int32), (5, np.int32))]
+                cols = [np.concatenate(c).astype(t) for c, t in ((got[0], np.int64), (got[1], np.int32))] + [pa.concat_arrays(got[2])] + [np.concatenate(got[k]).astype(t) for k, t in ((3, np.int64), (4, np.int32), (5, np.int32), (6, bool))]
                 yield batch(schema, *cols)
 
     return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, SPANS)
@@ -95,16 +106,19 @@ def all_spans(docs: DataFrame, least: int = WORDS) -> DataFrame:
 def repeated(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """doc_id, _key, covered: ranges of sentences that lie in a span which is not the first of its kind.
 
-    The first is the one with the least (doc_id, text key, place), null ids last. A
-    span's count and first place are combined before the shuffle, so one passage in a
-    third of all documents is a row from each task; only spans that repeat are joined
-    back, and a hot one is split by the skew join.
+    The first is the earliest in the document with the least doc_id (null ids count
+    as the greatest); rows of one doc_id count as one document. A span's count and
+    least doc_id are combined before the shuffle, so one passage in a third of all
+    documents is a row from each task; only spans that repeat are joined back, and the
+    skew join splits a hot one.
     """
     spans = save(all_spans(docs, least), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "first")
-    seen = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p")).filter("c > 1").select("h1", "h2", "p")
-    later = spans.join(seen, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("p")))
-    return later.select("doc_id", "_key", "first", "last").distinct().groupBy("doc_id", "_key").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
+    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
+    seen = save(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(rank).alias("least")).filter("c > 1").select("h1", "h2", "least"), "repeated")
+    later = spans.join(seen, ["h1", "h2"]).filter((rank > F.col("least")) | F.col("again"))
+    out = save(later.select("doc_id", "_key", "first", "last").distinct().groupBy("doc_id", "_key").agg(F.collect_list(F.struct("first", "last")).alias("covered")), "covered")
+    drop_saved(spans, seen)
+    return out
 
 
 def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
