@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,19 @@ from .common import batch, drop_saved, map_arrow, pieces, save
 END = 0
 SPECIAL = "<|endoftext|>"
 #: Units that a worker remembers; older ones go when it is full.
-REMEMBER = 400_000
+REMEMBER = 600_000
 #: White space other than blank and newline, as Unicode has it: a text with any is encoded in one piece.
 OTHER_SPACE = "".join(map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 
 
+def _byte_letters() -> list[str]:
+    """The character that a byte-level vocabulary shows for each byte: itself if it is printable, else the next from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -46,6 +55,9 @@ class Encoder:
         self.special = self.tokenizer.token_to_id(SPECIAL)
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.model, self.tails = self.tokenizer.model, {"": b""}
+        self.letters = {b: c for b, c in enumerate(_byte_letters())}
+        self.newline = self.whole("\n")
         self.by_unit = self.special is not None and '"ByteLevel"' in (head := self.tokenizer.to_str()) and '"normalizer":null' in head.replace(" ", "")
 
     def whole(self, text: str) -> bytes:
@@ -57,10 +69,29 @@ class Encoder:
             return False
         return not any(map(text.__contains__, OTHER_SPACE)) and not any(map(text.__contains__, RUNS))
 
+    def word(self, unit: str) -> bytes | None:
+        """A unit of one word, with punctuation after it or not, goes straight to the library's model: such a word is one piece of the pre-tokenizer, with the blank before it but not the newline."""
+        lead = unit[0] if unit[0] in " \n" else ""
+        rest = unit[1:] if lead else unit
+        core = rest.rstrip(".,;:!?")
+        if not core.isalpha():
+            return None
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+        raw = array("I", [t.id for t in self.model.tokenize("Ġ" + shown if lead == " " else shown)]).tobytes()
+        tail = rest[len(core) :]
+        if tail not in self.tails:
+            self.tails[tail] = self.whole(tail)
+        return (self.newline if lead == "\n" else b"") + raw + self.tails[tail]
+
     def learn(self, units: list[str]) -> None:
-        """Encodes new units together, the special token between them: it cuts exactly."""
+        """Encodes new units: words by the model, others together, the special token between them (it cuts exactly)."""
         if len(self.units) + len(units) > REMEMBER:
             self.older, self.units = self.units, {}
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        made = [(u, self.word(u)) for u in units]
+        self.units.update((u, raw) for u, raw in made if raw is not None)
+        units = [u for u, raw in made if raw is None]
         for lo in range(0, len(units), 2000):
             some = units[lo : lo + 2000]
             ids = np.array(self.tokenizer.encode(SPECIAL.join(some), add_special_tokens=False).ids, "<u4")
@@ -220,22 +251,22 @@ class Codec:
         return out.T.ravel()[:n]
 
 
-def token_counts(ids: DataFrame, column: str = "ids") -> DataFrame:
+def token_counts(ids: DataFrame, kind: str = "<u4") -> DataFrame:
     """(id, n) over a table of id bytes; each task adds up before it sends."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for raw in b.column(column):
-                c = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
+            for raw in b.column("ids"):
+                c = np.bincount(np.frombuffer(raw.as_buffer(), kind))
                 if len(c) > len(total):
                     total = np.pad(total, (0, len(c) - len(total)))
                 total[: len(c)] += c
         used = np.flatnonzero(total)
         yield batch(schema, used.astype(np.int32), total[used])
 
-    return map_arrow(ids.select(column), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(ids.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def fit_codec(counts: DataFrame) -> Codec:
@@ -253,7 +284,7 @@ def fit_codec(counts: DataFrame) -> Codec:
 #: Documents that a range of ids holds, about, and ranges at most.
 RANGE, RANGES = 4000, 16_384
 
-FILE = "bucket int, block int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, checkpoints binary, payload binary"
+FILE = "bucket int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, checkpoints binary, payload binary"
 
 
 def ranges(docs: DataFrame) -> list[int]:
@@ -264,7 +295,7 @@ def ranges(docs: DataFrame) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def tokenized(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, bounds: list[int], kind: str) -> DataFrame:
     """(bucket, doc_id, ids) with the end id; null ids go before all others."""
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     cuts = np.array(bounds, np.int64)
@@ -274,11 +305,32 @@ def tokenized(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
             for part in pieces(b, 256):
                 d = part.column("doc_id")
                 at = np.searchsorted(cuts, d.fill_null(-(2**63)).to_numpy(), side="left").astype(np.int32)
-                yield batch(schema, at, d, encoded(part, path))
+                raw = encoded(part, path)
+                yield batch(schema, at, d, raw if kind == "<u4" else [np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raw])
 
     return map_arrow(docs.select("doc_id", "text"), run, "bucket int, doc_id long, ids binary")
 
 
+def placed(ids: DataFrame, width: int) -> DataFrame:
+    """Rows by bucket and doc_id, each with the tokens of its bucket before it (at): the one shuffle of ids. A running count is all that a task holds."""
+    schema = pa.schema([("bucket", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches):
+        now, at = None, 0
+        for b in batches:
+            k, n = b.column("bucket").to_numpy(), pa.compute.binary_length(b.column("ids")).to_numpy() // width
+            out = np.zeros(len(k), np.int64)
+            for i, (bucket, size) in enumerate(zip(k.tolist(), n.tolist(), strict=True)):
+                if bucket != now:
+                    now, at = bucket, 0
+                out[i] = at
+                at += size
+            yield batch(schema, b.column("bucket"), out, b.column("doc_id"), b.column("ids"))
+
+    ordered = ids.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    return map_arrow(ordered, run, "bucket int, at long, doc_id long, ids binary")
+
+
 def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
     """Encodes docs into the file format at out: <out>/codec (id, length) and <out>/blocks.
 
@@ -289,46 +341,45 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
     Spark's commit of the table makes the files appear at once.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
+    kind = "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    width = int(kind[2])
     bounds = ranges(docs.select("doc_id"))
-    ids = save(tokenized(docs, path, bounds).repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids"), "ids")
-    codec = fit_codec(token_counts(ids))
+    ids = save(placed(tokenized(docs, path, bounds, kind), width), "ids")
+    codec = fit_codec(token_counts(ids, kind))
     used = np.flatnonzero(codec.lengths)
     spark.createDataFrame(list(zip(used.tolist(), codec.lengths[used].tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{out}/codec")
-    totals = dict(ids.groupBy("bucket").agg(F.sum(F.length("ids") / 4).cast("long")).collect())  # a row for each range, RANGES at most
+    totals = dict(ids.groupBy("bucket").agg(F.sum(F.length("ids") / width).cast("long")).collect())  # a row for each range, RANGES at most
     base, at = {}, 0
     for k in sorted(totals):
         base[k], at = at, at + totals[k]
     shared = spark.sparkContext.broadcast((codec.lengths.astype(np.uint8), base))
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
 
     def run(batches):
         lengths, start = shared.value
         c = Codec(lengths)
-        bucket, block, first = None, 0, 0
-        names, raws, held = [], [], 0
+        bucket, first, held = None, 0, 0
+        names, raws = [], []
 
         def flush():
-            data, check = c.encode(np.frombuffer(b"".join(raws), "<u4").astype(np.int64))
-            return batch(schema, [bucket], [block], [first], [held], [names], [[len(r) // 4 for r in raws]], [check.tobytes()], [data])
+            data, check = c.encode(np.frombuffer(b"".join(raws), kind).astype(np.int64))
+            return batch(schema, [bucket], [first], [held], [names], [[len(r) // width for r in raws]], [check.tobytes()], [data])
 
         for b in batches:
-            for k, d, raw in zip(*(b.column(n).to_pylist() for n in ("bucket", "doc_id", "ids")), strict=True):
-                if k != bucket or held >= BLOCK:
-                    if names:
-                        yield flush()
-                        first, block = first + held, block + 1
-                    if k != bucket:
-                        bucket, block, first = k, 0, start[k]
+            for k, place, d, raw in zip(*(b.column(n).to_pylist() for n in ("bucket", "at", "doc_id", "ids")), strict=True):
+                # the reader may cut the saved table anywhere, so a block also ends where a row doesn't follow
+                if names and (k != bucket or held >= BLOCK or start[k] + place != first + held):
+                    yield flush()
                     names, raws, held = [], [], 0
+                if not names:
+                    bucket, first = k, start[k] + place
                 names.append(d)
                 raws.append(raw)
-                held += len(raw) // 4
+                held += len(raw) // width
         if names:
             yield flush()
 
-    # sorted again: the reader may cut the saved table at will
-    ordered = ids.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
-    map_arrow(ordered, run, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
+    map_arrow(ids, run, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
     drop_saved(ids)
 
 
