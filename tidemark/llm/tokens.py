@@ -37,6 +37,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Units(dict):
+    """unit -> ids as bytes, made when first asked for. When it is full, one generation of older units is kept beside it."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+        super().__init__({"": b""})
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= REMEMBER:
+            self.older = dict(self)
+            self.clear()
+        raw = self.older.get(unit)
+        if raw is None:
+            raw = self.make(unit)
+        self[unit] = raw
+        return raw
+
+
 class Encoder:
     """encode(text) as bytes of little-endian unsigned 32-bit ids.
 
@@ -53,10 +71,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = self.tokenizer.token_to_id(SPECIAL)
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.model, self.tails = self.tokenizer.model, {"": b""}
-        self.letters = {b: c for b, c in enumerate(_byte_letters())}
+        self.units, self.tails = Units(self.unit), {"": b""}
+        self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
         self.newline = self.whole("\n")
         self.by_unit = self.special is not None and '"ByteLevel"' in (head := self.tokenizer.to_str()) and '"normalizer":null' in head.replace(" ", "")
 
@@ -65,66 +81,41 @@ class Encoder:
 
     def plain(self, text: str) -> bool:
         """May the text be cut?"""
-        if not self.by_unit or text[-2:].isspace() or SPECIAL in text:
+        if not self.by_unit or text[-2:].isspace() or SPECIAL in text or "\0" in text:
             return False
         return not any(map(text.__contains__, OTHER_SPACE)) and not any(map(text.__contains__, RUNS))
 
-    def word(self, unit: str) -> bytes | None:
+    def unit(self, unit: str) -> bytes:
         """A unit of one word, with punctuation after it or not, goes straight to the library's model: such a word is one piece of the pre-tokenizer, with the blank before it but not the newline."""
+        if not unit:
+            return b""
         lead = unit[0] if unit[0] in " \n" else ""
         rest = unit[1:] if lead else unit
         core = rest.rstrip(".,;:!?")
         if not core.isalpha():
-            return None
-        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-        raw = array("I", [t.id for t in self.model.tokenize("Ġ" + shown if lead == " " else shown)]).tobytes()
+            return self.whole(unit)
+        raw = self.units.get(lead + core) if len(core) < len(rest) else None
+        if raw is None:
+            shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            raw = array("I", [t.id for t in self.model.tokenize("Ġ" + shown if lead == " " else shown)]).tobytes()
+            if lead == "\n":
+                raw = self.newline + raw
         tail = rest[len(core) :]
         if tail not in self.tails:
-            self.tails[tail] = self.whole(tail)
-        return (self.newline if lead == "\n" else b"") + raw + self.tails[tail]
-
-    def learn(self, units: list[str]) -> None:
-        """Encodes new units: words by the model, others together, the special token between them (it cuts exactly)."""
-        if len(self.units) + len(units) > REMEMBER:
-            self.older, self.units = self.units, {}
-        if len(self.tails) > 10_000:
-            self.tails = {"": b""}
-        made = [(u, self.word(u)) for u in units]
-        self.units.update((u, raw) for u, raw in made if raw is not None)
-        units = [u for u, raw in made if raw is None]
-        for lo in range(0, len(units), 2000):
-            some = units[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(SPECIAL.join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.special)
-            raw, at = ids.tobytes(), 0
-            for u, e in zip(some, [*(cut * 4).tolist(), len(raw)], strict=True):
-                self.units[u] = raw[at:e]
-                at = e + 4
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[tail] = self.whole(tail) if tail else b""
+        return raw + self.tails[tail]
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.plain(text):
+            return self.whole(text)
+        return b"".join(map(self.units.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        for i, t in enumerate(texts):
-            if "\0" not in t and self.plain(t):
-                cut.append((i, t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
-            elif t:
-                out[i] = self.whole(t)
-        new: set[str] = set()
-        for _, units in cut:
-            new.update(units)
-        new -= self.units.keys()
-        known = self.older.keys() & new
-        kept = {u: self.older[u] for u in known}
-        self.learn(sorted(new - known - {""}))
-        self.units.update(kept)
-        self.units[""] = b""
-        get, older = self.units, self.older
-        for i, units in cut:
-            try:
-                out[i] = b"".join([get[u] for u in units])
-            except KeyError:  # the memory has turned over within this batch
-                out[i] = b"".join([get[u] if u in get else older[u] for u in units])
-        return out
+        return list(map(self.encode, texts))
 
 
 _ENCODERS: dict[str, Encoder] = {}
