@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, pieces
+from .common import batch, map_arrow, pieces, save
 
 #: Dimensions of a vector, letters of an n-gram, seed of the letter vectors.
 DIMS, N, SEED = 1024, 3, 20240
@@ -104,7 +104,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     comes to the driver.
     """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = rows.groupBy("lang").count().select(F.col("lang").alias("_l"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("_share"))
+    # a row for each language; saved, its size is known before the join, so the texts needn't be shuffled to meet it
+    share = save(rows.groupBy("lang").count().select(F.col("lang").alias("_l"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("_share")), "shares")
     chosen = rows.select("lang", "text", "doc_id").join(share, F.col("lang") == F.col("_l")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("_share") * 1_000_003)
     schema = pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))])
 
