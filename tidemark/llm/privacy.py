@@ -45,14 +45,15 @@ def luhn(digits: str) -> bool:
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """From each @ outwards: linear, whatever long runs a text holds."""
-    end = 0
+    low = 0  # no address begins before: the end of the last one, or the @ before
     at = text.find("@")
     while at >= 0:
-        start = end + len(text[end:at].rstrip(LOCAL))
+        start = low + len(text[low:at].rstrip(LOCAL))
+        low = at + 1
         if start < at and (m := DOMAIN.match(text, at + 1)):
-            end = m.end()
-            yield start, end
-        at = text.find("@", max(at + 1, end))
+            low = m.end()
+            yield start, low
+        at = text.find("@", low)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -166,15 +167,14 @@ def disclosing_terms(stats: DataFrame, generalise: float = GENERALISE, values: i
     """
     total = F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("words")
     beside = [F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in KINDS]
-    s = stats.agg(total, *beside)
+    sums = stats.agg(total, *beside).first()  # five numbers
     near = stats.filter("kind <> ''").groupBy("term", "kind").agg(F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("n_values")).filter(F.col("n_values") >= values)
     n = stats.filter("kind = ''").select("term", F.col("n").alias("n_term"))
-    p_kind = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in KINDS]) / F.col("words")
+    p_kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(sums[k] / sums["words"])) for k in KINDS if sums[k]], F.lit(None).cast("double"))
     # n_near can pass n_term where a word lies beside two values: the share is 1 at most
     share = F.least(F.lit(1.0), F.col("n_near") / F.col("n_term"))
     pmi = F.log(share / p_kind)
-    met = near.join(n, "term").crossJoin(F.broadcast(s))  # s is one row
-    return met.withColumn("disclosure", pmi / -F.log(p_kind)).filter(F.col("disclosure") >= generalise).select("term", "kind", "disclosure")
+    return near.join(n, "term").withColumn("disclosure", pmi / -F.log(p_kind)).filter(F.col("disclosure") >= generalise).select("term", "kind", "disclosure")
 
 
 FOUND = "doc_id long, _key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, near array<struct<term:string,start:long,end:long,kind:string>>"
