@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import string
 import zlib
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,9 @@ SPECIAL = "<|endoftext|>"
 REMEMBER = 600_000
 #: White space other than blank and newline, as Unicode has it: a text with any is encoded in one piece.
 OTHER_SPACE = "".join(map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Marks the unit at the start of a text; texts that hold it are encoded in one piece.
+FIRST = "\0"
+PUNCTUATION, ID = string.punctuation, attrgetter("id")
 RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 
 
@@ -42,7 +47,7 @@ class Units(dict):
 
     def __init__(self, make):
         self.make, self.older = make, {}
-        super().__init__({"": b""})
+        super().__init__()
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= REMEMBER:
@@ -71,8 +76,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = self.tokenizer.token_to_id(SPECIAL)
-        self.units, self.tails = Units(self.unit), {"": b""}
-        self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
+        self.units, self.tails = Units(self.unit), {}
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, dict(enumerate(_byte_letters()))
         self.newline = self.whole("\n")
         self.by_unit = self.special is not None and '"ByteLevel"' in (head := self.tokenizer.to_str()) and '"normalizer":null' in head.replace(" ", "")
 
@@ -81,30 +86,30 @@ class Encoder:
 
     def plain(self, text: str) -> bool:
         """May the text be cut?"""
-        if not self.by_unit or text[-2:].isspace() or SPECIAL in text or "\0" in text:
+        if not self.by_unit or text[-2:].isspace() or SPECIAL in text or FIRST in text:
             return False
         return not any(map(text.__contains__, OTHER_SPACE)) and not any(map(text.__contains__, RUNS))
 
     def unit(self, unit: str) -> bytes:
-        """A unit of one word, with punctuation after it or not, goes straight to the library's model: such a word is one piece of the pre-tokenizer, with the blank before it but not the newline."""
-        if not unit:
-            return b""
-        lead = unit[0] if unit[0] in " \n" else ""
-        rest = unit[1:] if lead else unit
-        core = rest.rstrip(".,;:!?")
-        if not core.isalpha():
-            return self.whole(unit)
-        raw = self.units.get(lead + core) if len(core) < len(rest) else None
+        """A unit begins with FIRST at the start of a text, with a newline, or else with a blank that isn't shown. A unit of one word, with punctuation after it or not, goes straight to the library's model: such a word is one piece of the pre-tokenizer, with the blank before it but not the newline; the punctuation is another."""
+        core = unit.rstrip(PUNCTUATION)
+        lead = core[:1]
+        word = core[1:] if lead == FIRST or lead == "\n" else core
+        if not word.isalpha():
+            return self.whole(unit[1:] if unit[:1] == FIRST else unit if unit[:1] == "\n" else " " + unit)
+        tail = unit[len(core) :]
+        raw = self.units.get(core) if tail else None
         if raw is None:
-            shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-            raw = array("I", [t.id for t in self.model.tokenize("Ġ" + shown if lead == " " else shown)]).tobytes()
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            raw = array("I", map(ID, self.tokenize(shown if lead == FIRST or lead == "\n" else "Ġ" + shown))).tobytes()
             if lead == "\n":
                 raw = self.newline + raw
-        tail = rest[len(core) :]
+        if not tail:
+            return raw
         if tail not in self.tails:
             if len(self.tails) > 10_000:
-                self.tails = {"": b""}
-            self.tails[tail] = self.whole(tail) if tail else b""
+                self.tails = {}
+            self.tails[tail] = self.whole(tail)
         return raw + self.tails[tail]
 
     def encode(self, text: str) -> bytes:
@@ -112,7 +117,9 @@ class Encoder:
             return b""
         if not self.plain(text):
             return self.whole(text)
-        return b"".join(map(self.units.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
+        units = text.replace("\n", " \n").split(" ")
+        units[0] = FIRST + units[0]
+        return b"".join(map(self.units.__getitem__, units))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return list(map(self.encode, texts))
@@ -191,19 +198,18 @@ class Codec:
     def __init__(self, lengths: np.ndarray):
         self.lengths, self.codes = lengths.astype(np.int64), canonical(lengths)
         self.longest = int(lengths.max(initial=1))
-        self._table: tuple[np.ndarray, np.ndarray] | None = None
+        self._table: np.ndarray | None = None
 
     @property
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and length by the next longest bits."""
+    def table(self) -> np.ndarray:
+        """Symbol and length (low five bits) by the next longest bits."""
         if self._table is None:
-            sym, size = np.zeros(1 << self.longest, np.int32), np.ones(1 << self.longest, np.int64)
+            table = np.ones(1 << self.longest, np.int64)
             used = np.flatnonzero(self.lengths)
             order = used[np.lexsort((used, self.lengths[used]))]
             fill = 1 << (self.longest - self.lengths[order])
-            n = int(fill.sum())
-            sym[:n], size[:n] = np.repeat(order, fill), np.repeat(self.lengths[order], fill)
-            self._table = sym, size
+            table[: int(fill.sum())] = np.repeat(order << 5 | self.lengths[order], fill)
+            self._table = table
         return self._table
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -228,17 +234,16 @@ class Codec:
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """All stretches between checkpoints at once, a token of each at a step."""
-        sym, size = self.table
+        table = self.table
         raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.int64)
         # 32 bits from every byte on: a window of up to 25 bits at any bit
         wide = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
         pos, out = checkpoints.astype(np.int64), np.zeros((STEP, len(checkpoints)), np.int32)
         shift, mask = 32 - self.longest, (1 << self.longest) - 1
-        most = len(wide) - 1
         for j in range(min(STEP, n)):
-            at = (wide[np.minimum(pos >> 3, most)] >> (shift - (pos & 7))) & mask
-            out[j] = sym[at]
-            pos += size[at]
+            got = table[(wide.take(pos >> 3, mode="clip") >> (shift - (pos & 7))) & mask]
+            out[j] = got >> 5
+            pos += got & 31
         return out.T.ravel()[:n]
 
 
@@ -249,8 +254,8 @@ def token_counts(ids: DataFrame, kind: str = "<u4") -> DataFrame:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for raw in b.column("ids"):
-                c = np.bincount(np.frombuffer(raw.as_buffer(), kind))
+            for part in pieces(b):
+                c = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), kind))
                 if len(c) > len(total):
                     total = np.pad(total, (0, len(c) - len(total)))
                 total[: len(c)] += c
@@ -303,8 +308,8 @@ def tokenized(docs: DataFrame, path: str, bounds: list[int], kind: str) -> DataF
 
 
 def placed(ids: DataFrame, width: int) -> DataFrame:
-    """Rows by bucket and doc_id, each with the tokens of its bucket before it (at): the one shuffle of ids. A running count is all that a task holds."""
-    schema = pa.schema([("bucket", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    """Rows by bucket and doc_id, each with its tokens (n) and those of its bucket before it (at): the one shuffle of ids. A running count is all that a task holds."""
+    schema = pa.schema([("bucket", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         now, at = None, 0
@@ -316,10 +321,10 @@ def placed(ids: DataFrame, width: int) -> DataFrame:
                     now, at = bucket, 0
                 out[i] = at
                 at += size
-            yield batch(schema, b.column("bucket"), out, b.column("doc_id"), b.column("ids"))
+            yield batch(schema, b.column("bucket"), out, n, b.column("doc_id"), b.column("ids"))
 
     ordered = ids.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
-    return map_arrow(ordered, run, "bucket int, at long, doc_id long, ids binary")
+    return map_arrow(ordered, run, "bucket int, at long, n long, doc_id long, ids binary")
 
 
 def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
@@ -339,7 +344,7 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
     codec = fit_codec(token_counts(ids, kind))
     used = np.flatnonzero(codec.lengths)
     spark.createDataFrame(list(zip(used.tolist(), codec.lengths[used].tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{out}/codec")
-    totals = dict(ids.groupBy("bucket").agg(F.sum(F.length("ids") / width).cast("long")).collect())  # a row for each range, RANGES at most
+    totals = dict(ids.groupBy("bucket").agg(F.sum("n")).collect())  # a row for each range, RANGES at most
     base, at = {}, 0
     for k in sorted(totals):
         base[k], at = at, at + totals[k]
@@ -370,7 +375,7 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
         if names:
             yield flush()
 
-    map_arrow(ids, run, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
+    map_arrow(ids.drop("n"), run, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
     drop_saved(ids)
 
 
