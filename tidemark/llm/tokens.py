@@ -7,6 +7,7 @@ import os
 import string
 import zlib
 from array import array
+from codecs import charmap_decode
 from operator import attrgetter
 
 import numpy as np
@@ -77,7 +78,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = self.tokenizer.token_to_id(SPECIAL)
         self.units, self.tails = Units(self.unit), {}
-        self.tokenize, self.letters = self.tokenizer.model.tokenize, dict(enumerate(_byte_letters()))
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, "".join(_byte_letters())
         self.newline = self.whole("\n")
         self.by_unit = self.special is not None and '"ByteLevel"' in (head := self.tokenizer.to_str()) and '"normalizer":null' in head.replace(" ", "")
 
@@ -100,7 +101,7 @@ class Encoder:
         tail = unit[len(core) :]
         raw = self.units.get(core) if tail else None
         if raw is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            shown = word if word.isascii() else charmap_decode(word.encode(), "strict", self.letters)[0]
             raw = array("I", map(ID, self.tokenize(shown if lead == FIRST or lead == "\n" else "Ġ" + shown))).tobytes()
             if lead == "\n":
                 raw = self.newline + raw
@@ -146,7 +147,7 @@ def encoded(part: pa.RecordBatch, path: str) -> list[bytes]:
 # --- Huffman ---------------------------------------------------------------------------------------
 
 #: Tokens between two bit-offset checkpoints; tokens in a block, about (whole documents).
-STEP, BLOCK = 128, 1 << 16
+STEP, BLOCK = 128, 1 << 18
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -204,7 +205,7 @@ class Codec:
     def table(self) -> np.ndarray:
         """Symbol and length (low five bits) by the next longest bits."""
         if self._table is None:
-            table = np.ones(1 << self.longest, np.int64)
+            table = np.ones(1 << self.longest, np.uint32)
             used = np.flatnonzero(self.lengths)
             order = used[np.lexsort((used, self.lengths[used]))]
             fill = 1 << (self.longest - self.lengths[order])
@@ -235,34 +236,29 @@ class Codec:
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """All stretches between checkpoints at once, a token of each at a step."""
         table = self.table
-        raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.int64)
+        raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
         # 32 bits from every byte on: a window of up to 25 bits at any bit
         wide = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-        pos, out = checkpoints.astype(np.int64), np.zeros((STEP, len(checkpoints)), np.int32)
-        shift, mask = 32 - self.longest, (1 << self.longest) - 1
+        pos, out = checkpoints.astype(np.uint32), np.zeros((STEP, len(checkpoints)), np.int32)
+        shift, mask = np.uint32(32 - self.longest), np.uint32((1 << self.longest) - 1)
         for j in range(min(STEP, n)):
-            got = table[(wide.take(pos >> 3, mode="clip") >> (shift - (pos & 7))) & mask]
+            got = table.take((wide.take(pos >> 3, mode="clip") >> (shift - (pos & 7))) & mask)
             out[j] = got >> 5
             pos += got & 31
         return out.T.ravel()[:n]
 
 
-def token_counts(ids: DataFrame, kind: str = "<u4") -> DataFrame:
-    """(id, n) over a table of id bytes; each task adds up before it sends."""
+def token_counts(placed_: DataFrame) -> DataFrame:
+    """(id, n) from the rows of COUNTS that placed() adds: one from each task, already added up."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for part in pieces(b):
-                c = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), kind))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield batch(schema, used.astype(np.int32), total[used])
+            for raw in b.column("ids").to_pylist():
+                k = len(raw) // 12
+                yield batch(schema, np.frombuffer(raw, "<u4", k).astype(np.int32), np.frombuffer(raw, "<i8", k, 4 * k))
 
-    return map_arrow(ids.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(placed_.filter(F.col("bucket") == COUNTS).select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def fit_codec(counts: DataFrame) -> Codec:
@@ -307,13 +303,28 @@ def tokenized(docs: DataFrame, path: str, bounds: list[int], kind: str) -> DataF
     return map_arrow(docs.select("doc_id", "text"), run, "bucket int, doc_id long, ids binary")
 
 
-def placed(ids: DataFrame, width: int) -> DataFrame:
-    """Rows by bucket and doc_id, each with its tokens (n) and those of its bucket before it (at): the one shuffle of ids. A running count is all that a task holds."""
+#: Bucket of the rows that hold a task's counts of ids instead of a document.
+COUNTS = -1
+
+
+def placed(ids: DataFrame, kind: str) -> DataFrame:
+    """Rows by bucket and doc_id, each with its tokens (n) and those of its bucket before it (at): the one shuffle of ids.
+
+    A last row of each task, in the bucket COUNTS, has the ids it met and how often, so
+    that counting needs no pass of its own. A running count and these are all that a
+    task holds.
+    """
+    width = int(kind[2])
     schema = pa.schema([("bucket", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        now, at = None, 0
+        now, at, total = None, 0, np.zeros(1 << 16, np.int64)
         for b in batches:
+            for part in pieces(b):
+                c = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), kind))
+                if len(c) > len(total):
+                    total = np.pad(total, (0, len(c) - len(total)))
+                total[: len(c)] += c
             k, n = b.column("bucket").to_numpy(), pa.compute.binary_length(b.column("ids")).to_numpy() // width
             out = np.zeros(len(k), np.int64)
             for i, (bucket, size) in enumerate(zip(k.tolist(), n.tolist(), strict=True)):
@@ -322,6 +333,9 @@ def placed(ids: DataFrame, width: int) -> DataFrame:
                 out[i] = at
                 at += size
             yield batch(schema, b.column("bucket"), out, n, b.column("doc_id"), b.column("ids"))
+        used = np.flatnonzero(total)
+        if len(used):
+            yield batch(schema, [COUNTS], [0], [0], [None], [used.astype("<u4").tobytes() + total[used].astype("<i8").tobytes()])
 
     ordered = ids.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
     return map_arrow(ordered, run, "bucket int, at long, n long, doc_id long, ids binary")
@@ -340,8 +354,9 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
     kind = "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     width = int(kind[2])
     bounds = ranges(docs.select("doc_id"))
-    ids = save(placed(tokenized(docs, path, bounds, kind), width), "ids")
-    codec = fit_codec(token_counts(ids, kind))
+    saved = save(placed(tokenized(docs, path, bounds, kind), kind), "ids")
+    codec = fit_codec(token_counts(saved))
+    ids = saved.filter(F.col("bucket") != COUNTS)
     used = np.flatnonzero(codec.lengths)
     spark.createDataFrame(list(zip(used.tolist(), codec.lengths[used].tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{out}/codec")
     totals = dict(ids.groupBy("bucket").agg(F.sum("n")).collect())  # a row for each range, RANGES at most
@@ -376,7 +391,7 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
             yield flush()
 
     map_arrow(ids.drop("n"), run, FILE).write.option("compression", "none").parquet(f"{out}/blocks")
-    drop_saved(ids)
+    drop_saved(saved)
 
 
 def read_codec(spark: SparkSession, path: str) -> Codec:
