@@ -282,6 +282,34 @@ def test_one_of_each_group_stays(spark, docs, empty):
     assert ids.count(None) == 2 and len(ids) == len(set(ids)) + 1
 
 
+def half_copies(r, n, k):
+    """Two texts of n five-word shingles, of which k words apart are changed: 5 shingles each."""
+    w = [f"w{r.randrange(10**9)}" for _ in range(n + 4)]
+    v = list(w)
+    for i in range(k):
+        v[10 + 7 * i] = f"x{r.randrange(10**9)}"
+    return " ".join(w), " ".join(v)
+
+
+def plain_groups(texts, least=0.8):
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return {min(i for i in range(len(texts)) if root[i] == g) for g in set(root)}
+
+
+def test_stage_finds_all_pairs_from_the_asked_similarity(spark):
+    r = random.Random(8)
+    # 4 of 200 shingles' words changed: 180 of 220 are shared, 0.818
+    texts = [t for _ in range(80) for t in half_copies(r, 200, 4)]
+    got = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == plain_groups(texts) and len(got) == 80
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 def plain_minima(p, w):

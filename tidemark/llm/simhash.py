@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, drop_saved, lower_ascii, map_arrow, pieces, save, words
+from .common import batch, drop_saved, lower_ascii, map_arrow, pieces, save, text_key, words
 from .components import components
 
 #: Cost of a shuffled probe row against a compared pair.
@@ -344,16 +344,162 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     return fps.join(reps.withColumnsRenamed({"fp": "_f", "fp2": "_g"}), (F.col("fp") == F.col("_f")) & (F.col("fp2") == F.col("_g"))).select("doc_id", "fp", F.col("root").alias("component_id"))
 
 
-#: Stage defaults: five words; 10 of 64 bits to find a pair, and 25 of 128 bits, a similarity of 0.8, to keep it.
-STAGE = {"size": 5, "bits": 10, "bits2": 15}
+#: Stage defaults: shingles of five words; a pair is linked if its shingle sets have a Jaccard similarity of 0.8 at least.
+STAGE = {"size": 5, "least": 0.8}
+#: Min-hashes in a band, and bands. A pair at 0.8 shares no band with a chance of (1 - 0.8^4)^24, 3 in a million.
+DEPTH, BANDS = 4, 24
+#: Fingerprints turn a candidate away beyond so many of 128 bits. Pairs at 0.8 differ in 19, with a deviation of 4; unrelated ones in 64.
+FAR = 48
+#: Nodes in a line when shingle sets are dealt to blocks.
+LINE = 4000
+_DRAW = np.random.default_rng(20).integers(0, 1 << 63, (2, DEPTH * BANDS), np.uint64)
+_FLIP, _ODD = _DRAW[0], _DRAW[1] * np.uint64(2) + np.uint64(1)
 
 
-def deduplicate(docs: DataFrame, **params) -> DataFrame:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the different shingles, sorted."""
+    return np.unique(hashes(text, size))
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes of a set; none for an empty set."""
+    if not len(s):
+        return np.zeros(0, np.int64)
+    low = np.full(DEPTH * BANDS, (1 << 64) - 1, np.uint64)
+    for lo in range(0, len(s), 1 << 12):
+        low = np.minimum(low, mix((s[lo : lo + (1 << 12), None] ^ _FLIP) * _ODD).min(0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for m in low.reshape(BANDS, DEPTH).T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + m)
+    return keys.view(np.int64)
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, _key, node, n, fp, fp2, keys) for every row; node is a digest of the shingle set, n its size."""
+    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            for part in pieces(b):
+                rows = []
+                for text in part.column("text").to_pylist():
+                    s = shingle_set(text, size)
+                    rows.append((signed(xxhash.xxh64_intdigest(s.tobytes(), 7)), len(s), signed(majority(s)), signed(majority(mix(s))), band_keys(s)))
+                yield batch(schema, part.column("doc_id"), part.column("_key"), *zip(*rows, strict=True))
+
+    return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, "doc_id long, _key long, node long, n long, fp long, fp2 long, keys array<long>")
+
+
+def hopeful(a: str, b: str, least: float):
+    """What a pair of rows must hold to be worth a look at its shingles: sizes that allow the similarity, and near fingerprints."""
+    differ = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.fp2").bitwiseXOR(F.col(f"{b}.fp2")))
+    return (F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(least)) & (differ <= FAR)
+
+
+def reach(sa: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the other sorted sets have the Jaccard similarity with sa; no set is empty."""
+    size = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = sa[np.minimum(np.searchsorted(sa, flat), len(sa) - 1)] == flat
+    both = np.add.reduceat(hit, np.r_[0, np.cumsum(size)[:-1]], dtype=np.int64)
+    return both / (len(sa) + size - both) >= least
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) whose shingle sets reach the similarity.
+
+    Nodes have a line by hash, and pairs of lines are blocks. A set goes once to each
+    block that asks for it, so the pairs of a large group don't carry it each.
+    """
+    lines = 16 + sets.count() // LINE
+    line = [F.pmod(F.xxhash64(c), F.lit(lines)) for c in ("a", "b")]
+    dealt = pairs.select("a", "b", (line[0] * lines + line[1]).alias("block"))
+    asked = dealt.select(F.explode(F.array("a", "b")).alias("a"), "block").distinct()
+    of_block = asked.join(sets.withColumnRenamed("node", "a"), "a").select("block", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), "set")
+    both = of_block.unionByName(dealt.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("set")))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        block, held = None, {}
+        for batch_ in batches:
+            for part in pieces(batch_, 256):
+                of, kind, x, y = (part.column(c).to_pylist() for c in ("block", "kind", "a", "b"))
+                col, asked_of = part.column("set"), {}
+
+                def flush():
+                    return [(a, b) for a, bs in asked_of.items() for b, ok in zip(bs, reach(held[a], [held[b] for b in bs], least), strict=True) if ok]
+
+                out = []
+                for i in range(part.num_rows):
+                    if of[i] != block:
+                        out += flush()
+                        asked_of.clear()
+                        block, held = of[i], {}
+                    if kind[i]:
+                        asked_of.setdefault(x[i], []).append(y[i])
+                    else:
+                        held[x[i]] = np.array(col[i].values)
+                out += flush()
+                if out:
+                    yield batch(schema, *zip(*out, strict=True))
+
+    return map_arrow(both.repartition("block").sortWithinPartitions("block", "kind", "a"), run, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the rows given as doc_id, _key, node."""
+    schema = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            for part in pieces(b, 128):
+                yield batch(schema, part.column("node"), [np.sort(shingle_set(t, size).view(np.int64)) for t in part.column("text").to_pylist()])
+
+    asked = nodes.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "node")
+    met = docs.select("doc_id", text_key().alias("_key"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    return map_arrow(met.select("node", "text"), run, "node long, set array<long>").dropDuplicates(["node"])
+
+
+def alike(docs: DataFrame, size: int, least: float, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """sketches(), and (node, root) of the sets linked to others: components over all pairs with the similarity.
+
+    First only neighbours in a bucket are compared, which joins most of a large group
+    at a cost in proportion to it; then all pairs of a bucket that aren't joined yet.
+    """
+    rows = save(sketches(docs, size), "sketches")
+    reps = save(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id"), F.col("_key"), F.col("n"), F.col("fp"), F.col("fp2"), F.col("keys"))).alias("r")).select("node", "r.*"), "representatives")
+    dealt = reps.select(F.explode("keys").alias("key"), "node", "n", "fp", "fp2")
+    last = F.lag(F.struct("node", "n", "fp", "fp2")).over(Window.partitionBy("key").orderBy("node"))
+    near = dealt.withColumn("x", F.struct("node", "n", "fp", "fp2")).withColumn("y", last).filter(F.col("y").isNotNull()).filter(hopeful("x", "y", least))
+    pairs = save(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "neighbours")
+    sets = save(shingle_sets(docs, reps.join(_ends(pairs), "node", "left_semi"), size), "sets")
+    links = save(verified(pairs, sets, least), "links")
+    first = components(links)
+    known = dealt.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", "fp", "fp2", F.coalesce("root", "node").alias("root"), F.lit(False).alias("probe"))
+    known = save(known, "buckets")
+    mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
+    open_ = spread(known.join(mixed, "key", "left_semi"), cell)
+    x, y = open_.alias("x"), open_.alias("y")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & hopeful("x", "y", least))
+    rest = save(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = save(shingle_sets(docs, reps.join(_ends(rest), "node", "left_semi").join(sets, "node", "left_anti"), size), "sets")
+    all_links = save(links.unionByName(verified(rest, sets.unionByName(more), least)), "links")
+    out = components(all_links)
+    drop_saved(pairs, sets, links, known, rest, more, all_links)
+    return rows, out
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def deduplicate(docs: DataFrame, size: int = STAGE["size"], least: float = STAGE["least"]) -> DataFrame:
     """docs without all but the least doc_id of each group; of rows that repeat a kept doc_id one stays. Rows without doc_id stay, once for each text."""
-    fps, reps = groups(docs, **(STAGE | params))
-    keep = reps.filter("node IS NOT NULL").select(F.col("root").alias("doc_id")).distinct()
+    rows, met = alike(docs, size, least)
+    group = rows.filter("doc_id IS NOT NULL").join(met.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    keep = group.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     whole = docs.join(keep, "doc_id", "left_semi")
-    odd = fps.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
+    odd = rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
     if not odd.isEmpty():
         whole = whole.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
     return whole
