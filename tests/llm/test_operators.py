@@ -310,6 +310,14 @@ def test_stage_finds_all_pairs_from_the_asked_similarity(spark):
     assert got == plain_groups(texts) and len(got) == 80
 
 
+def test_stage_links_no_pair_below_the_asked_similarity(spark):
+    r = random.Random(9)
+    # 0.778, 0.695 and 0.6: all but the first few links by bits would be wrong
+    texts = [t for k in (5, 7, 10) for _ in range(30) for t in half_copies(r, 200, k)]
+    got = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == plain_groups(texts) == set(range(180))
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 def plain_minima(p, w):
