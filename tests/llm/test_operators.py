@@ -109,6 +109,17 @@ def test_terms_match_a_plain_count(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in got)
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    away = [(200, f"{prose(30, 700)} (ReachMe, {prose(30, 701)}"), (201, f"reachme {prose(30, 702)} a.b@c.example {prose(20, 703)} reachme.")]
+    df = cue_docs(spark).union(spark.createDataFrame(away, "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in privacy.find_spans(df).collect()}
+    for i, text in away:
+        marked = {(int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].split(",")) if k == "term"}
+        assert {m.span() for m in re.finditer("reachme", text.lower())} <= marked
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
+    assert all("reachme" not in clean[i].lower() for i, _ in away)
+
+
 def test_pii_edges(docs, empty):
     got = privacy.find_spans(docs).collect()
     assert len(got) == N

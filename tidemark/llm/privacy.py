@@ -6,9 +6,11 @@ import hashlib
 import math
 import re
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: What str.split() cuts at and the contract's words don't.
+CONTROL = re.compile("[\x1c-\x1f]")
 EDGE = string.punctuation
 
 #: Protected entities are the four kinds. A term is near one if fewer than REACH words lie between.
@@ -31,6 +35,8 @@ REACH = 4
 GENERALISE, REMOVE = 0.75, 0.95
 #: It must have been seen beside so many different values of the kind: copies of one document show one value.
 VALUES = 3
+#: Bits of the map by which a task knows words that can't be disclosing terms.
+MAP_BITS = 1 << 23
 #: Entries of a task's counts that are kept before they go out.
 FLUSH = 150_000
 
@@ -177,13 +183,12 @@ def disclosing_terms(stats: DataFrame, generalise: float = GENERALISE, values: i
     return near.join(n, "term").withColumn("disclosure", pmi / -F.log(p_kind)).filter(F.col("disclosure") >= generalise).select("term", "kind", "disclosure")
 
 
-FOUND = "doc_id long, _key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, near array<struct<term:string,start:long,end:long,kind:string>>"
+FOUND = "doc_id long, _key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and the terms beside them, for every row."""
-    near_t = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("base_sha256", pa.string()), ("near", near_t)])
+    """Base spans of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("base_sha256", pa.string())])
 
     def run(batches):
         for b in batches:
@@ -192,25 +197,85 @@ def scan(docs: DataFrame) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     spans = base_spans(text) if text else []
                     c, line = Counter(k for k, _, _ in spans), show(spans)
-                    rows.append((*[c[k] for k in KINDS], line, hashlib.sha256(line.encode()).hexdigest(), [dict(term=t, start=s, end=e, kind=k) for t, s, e, k, _ in near_terms(text, spans)] if spans else []))
+                    rows.append((*[c[k] for k in KINDS], line, hashlib.sha256(line.encode()).hexdigest()))
                 yield batch(schema, part.column("doc_id"), part.column("_key"), *map(list, zip(*rows, strict=True)))
 
     return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, FOUND)
 
 
+def bit_map(terms: DataFrame) -> np.ndarray:
+    """A bit for the CRC of each term, 1 MB whatever their number: a word whose bit is unset isn't among them."""
+    bit = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(MAP_BITS))
+    rows = terms.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 8).alias("i")).agg(F.expr("bit_or(shiftleft(1, cast(b % 8 AS int)))").alias("m")).toArrow()
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    out[rows.column("i").to_numpy()] = rows.column("m").to_numpy()
+    return out
+
+
+def gaps(text: str, spans) -> Iterator[tuple[int, int]]:
+    """What lies between the base spans."""
+    at = 0
+    for _, a, b in spans:
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    yield at, len(text)
+
+
+OCCURS = "doc_id long, _key long, term string, start long, end long"
+
+
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, _key, term, start, end) of all words outside base spans that may be among the terms; a join decides."""
+    bits = bit_map(terms)
+    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def run(batches):
+        seen: dict[str, bool] = {}
+
+        def may(w: str) -> bool:
+            if w not in seen:
+                if len(seen) > FLUSH:
+                    seen.clear()
+                t = norm(w)
+                at = zlib.crc32(t.encode()) % MAP_BITS
+                seen[w] = bool(t) and bool(bits[at >> 3] >> (at & 7) & 1)
+            return seen[w]
+
+        for b in batches:
+            for part in pieces(b):
+                out = []
+                for d, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "_key", "text")), strict=True):
+                    if not text:
+                        continue
+                    spans = base_spans(text)
+                    if not spans and text.isascii() and not any(map(may, set(text.split()))) and not CONTROL.search(text):
+                        continue
+                    for lo, hi in gaps(text, spans):
+                        for m in WORD_RE.finditer(text, lo, hi):
+                            if may(m[0]):
+                                s = m.start() + len(m[0]) - len(m[0].lstrip(EDGE))
+                                e = m.start() + len(m[0].rstrip(EDGE))
+                                out.append((d, key, norm(m[0]), s, e))
+                if out:
+                    yield batch(schema, *zip(*out, strict=True))
+
+    return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, OCCURS)
+
+
 def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, values: int = VALUES) -> DataFrame:
     """One row for each row of docs: doc_id, _key, the counts, base_sha256, terms (array of start, end, action), spans.
 
     A null text is empty. Rows that agree in doc_id and text get the same result, a
-    null doc_id included. Terms are looked for only beside base spans, so documents
-    without personal data lose nothing. Columns besides doc_id and text aren't read.
+    null doc_id included. A disclosing term is marked wherever it stands, in documents
+    without personal data too. Columns besides doc_id and text aren't read.
     """
     found = save(scan(docs), "pii")
     stats = save(statistics(docs), "stats")  # read three times below
     terms = save(disclosing_terms(stats, generalise, values), "terms")
     drop_saved(stats)
-    cand = found.filter(F.size("near") > 0).select("doc_id", "_key", F.explode("near").alias("t")).select("doc_id", "_key", "t.*").distinct()
-    hits = cand.join(terms, ["term", "kind"]).groupBy("doc_id", "_key", "start", "end").agg(F.max("disclosure").alias("d"))
+    most = terms.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    hits = occurrences(docs, terms).join(most, "term").groupBy("doc_id", "_key", "start", "end").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
     per = hits.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms")).withColumnRenamed("_key", "_k").withColumnRenamed("doc_id", "_d")
     out = found.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
