@@ -120,6 +120,21 @@ def test_disclosing_terms_are_marked_wherever_they_stand(spark):
     assert all("reachme" not in clean[i].lower() for i, _ in away)
 
 
+def test_terms_beside_one_value_are_found(spark):
+    rows = [(i, f"{prose(40, i)} zoltan.q writes from zoltan@one.example {prose(40, 900 + i)}") for i in range(6)] + [(100 + i, prose(200, 200 + i)) for i in range(40)]
+    # exact copies of one text are one text
+    rows += [(200 + i, f"{prose(40, 800)} onlyhere other@two.example {prose(40, 801)}") for i in range(5)]
+    # 4 of 16 occurrences beside one value: enough against the value, not against the kind
+    rows += [(300 + i, f"{prose(20, 600 + i)} qqq {prose(20, 650 + i)} qqq {prose(20, 700 + i)}") for i in range(6)] + [(400 + i, f"{prose(20, 400 + i)} qqq three@three.example {prose(20, 450 + i)}") for i in range(4)]
+    rows += [(500 + i, f"{prose(30, 5000 + i)} user{i}@mail{i}.example {prose(30, 6000 + i)}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term: r.disclosure for r in privacy.disclosing_terms(privacy.statistics(df)).collect()}
+    assert math.isclose(got["zoltan.q"], 1.0) and "onlyhere" not in got and 0.75 <= got["qqq"] < 0.95
+    texts = df.drop("doc_id").collect()
+    spans = {r.doc_id: r.spans for r in privacy.find_spans(df).collect()}
+    assert all("term:" in spans[i] for i in range(6)) and len(texts) == len(spans)
+
+
 def test_pii_edges(docs, empty):
     got = privacy.find_spans(docs).collect()
     assert len(got) == N

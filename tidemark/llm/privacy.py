@@ -31,10 +31,10 @@ EDGE = string.punctuation
 
 #: Protected entities are the four kinds. A term is near one if fewer than REACH words lie between.
 REACH = 4
-#: A term discloses a kind if its pointwise mutual information reaches such a share of the kind's information content.
+#: A term discloses a kind, or one value of it, if its pointwise mutual information reaches such a share of the kind's or value's information content.
 GENERALISE, REMOVE = 0.75, 0.95
-#: It must have been seen beside so many different values of the kind: copies of one document show one value.
-VALUES = 3
+#: It must have been seen so in so many different texts: exact copies of one document count once.
+TEXTS = 3
 #: Bits of the map by which a task knows words that can't be disclosing terms.
 MAP_BITS = 1 << 23
 #: Entries of a task's counts that are kept before they go out.
@@ -127,15 +127,19 @@ def _after(text: str, b: int) -> list[tuple[int, int]]:
     return out
 
 
-STATS = "term string, kind string, value string, n long"
+def digest(s: str) -> str:
+    return hashlib.md5(s.encode()).hexdigest()[:16]
+
+
+STATS = "term string, kind string, value string, doc string, n long"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """(term, kind, value, n): occurrences of each term in the corpus (kind ''), and beside each value of a kind.
+    """(term, kind, value, doc, n): occurrences of each term in the corpus (kind ''), and beside each value of a kind in each different text.
 
     Counted in each task and sent out whenever FLUSH entries are held; Spark adds them up.
     """
-    schema = pa.schema([("term", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("term", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("doc", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         everywhere: Counter = Counter()
@@ -146,10 +150,10 @@ def statistics(docs: DataFrame) -> DataFrame:
             for w, n in everywhere.items():
                 if t := norm(w):
                     terms[t] += n
-            keys = [(t, "", "", n) for t, n in terms.items()] + [(*k, n) for k, n in near.items()]
+            keys = [(t, "", "", "", n) for t, n in terms.items()] + [(*k, n) for k, n in near.items()]
             everywhere.clear()
             near.clear()
-            return batch(schema, *(zip(*keys, strict=True) if keys else [[]] * 4))
+            return batch(schema, *(zip(*keys, strict=True) if keys else [[]] * 5))
 
         for b in batches:
             for part in pieces(b):
@@ -157,30 +161,36 @@ def statistics(docs: DataFrame) -> DataFrame:
                     if text:
                         everywhere.update(WORD_RE.findall(text) if not text.isascii() or "\x1c" <= min(text) <= "\x1f" else text.split())
                         if spans := base_spans(text):
-                            near.update((t, k, hashlib.md5(v.encode()).hexdigest()[:16]) for t, _, _, k, v in near_terms(text, spans))
+                            doc = digest(text)
+                            near.update((t, k, digest(v), doc) for t, _, _, k, v in near_terms(text, spans))
                 if len(everywhere) + len(near) > FLUSH:
                     yield flush()
         yield flush()
 
-    return map_arrow(docs.select("text"), run, STATS).groupBy("term", "kind", "value").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, STATS).groupBy("term", "kind", "value", "doc").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(stats: DataFrame, generalise: float = GENERALISE, values: int = VALUES) -> DataFrame:
-    """(term, kind, disclosure): pointwise mutual information of term and kind over the information content of the kind.
+def disclosing_terms(stats: DataFrame, generalise: float = GENERALISE, texts: int = TEXTS) -> DataFrame:
+    """(term, kind, disclosure): pointwise mutual information of term and kind, or of term and one value of it, over the information content of the kind or value; the greatest counts.
 
     A term met only beside the kind has a disclosure of 1. p(kind) is the share of
-    the corpus's words that lie beside it.
+    the corpus's words that lie beside it, p(value) likewise.
     """
     total = F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("words")
     beside = [F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in KINDS]
     sums = stats.agg(total, *beside).first()  # five numbers
-    near = stats.filter("kind <> ''").groupBy("term", "kind").agg(F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("n_values")).filter(F.col("n_values") >= values)
+    words = F.lit(sums["words"]).cast("double")
+    near = stats.filter("kind <> ''")
     n = stats.filter("kind = ''").select("term", F.col("n").alias("n_term"))
     p_kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(sums[k] / sums["words"])) for k in KINDS if sums[k]], F.lit(None).cast("double"))
+    met = [F.sum("n").alias("n_near"), F.countDistinct("doc").alias("n_texts")]
+    by_kind = near.groupBy("term", "kind").agg(*met).withColumn("p", p_kind)
+    p_value = near.groupBy("kind", "value").agg((F.sum("n") / words).alias("p"))
+    by_value = near.groupBy("term", "kind", "value").agg(*met).filter(F.col("n_texts") >= texts).join(p_value, ["kind", "value"]).select("term", "kind", "n_near", "n_texts", "p")
     # n_near can pass n_term where a word lies beside two values: the share is 1 at most
     share = F.least(F.lit(1.0), F.col("n_near") / F.col("n_term"))
-    pmi = F.log(share / p_kind)
-    return near.join(n, "term").withColumn("disclosure", pmi / -F.log(p_kind)).filter(F.col("disclosure") >= generalise).select("term", "kind", "disclosure")
+    found = by_kind.unionByName(by_value).filter(F.col("n_texts") >= texts).join(n, "term").withColumn("disclosure", F.log(share / F.col("p")) / -F.log("p"))
+    return found.filter(F.col("disclosure") >= generalise).groupBy("term", "kind").agg(F.max("disclosure").alias("disclosure"))
 
 
 FOUND = "doc_id long, _key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string"
@@ -263,7 +273,7 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, OCCURS)
 
 
-def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, values: int = VALUES) -> DataFrame:
+def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, texts: int = TEXTS) -> DataFrame:
     """One row for each row of docs: doc_id, _key, the counts, base_sha256, terms (array of start, end, action), spans.
 
     A null text is empty. Rows that agree in doc_id and text get the same result, a
@@ -272,7 +282,7 @@ def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     """
     found = save(scan(docs), "pii")
     stats = save(statistics(docs), "stats")  # read three times below
-    terms = save(disclosing_terms(stats, generalise, values), "terms")
+    terms = save(disclosing_terms(stats, generalise, texts), "terms")
     drop_saved(stats)
     most = terms.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     hits = occurrences(docs, terms).join(most, "term").groupBy("doc_id", "_key", "start", "end").agg(F.max("disclosure").alias("d"))
