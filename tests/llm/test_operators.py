@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -407,9 +408,9 @@ def plain_targets(sizes, weights=(3, 1, 2)):
     return done | {s: w[s] * level for s in free}
 
 
-@pytest.mark.parametrize("slice_rows", [4000, 3])
-def test_mix(docs, slice_rows):
-    rows = mixing.mix(docs, slice_rows=slice_rows).collect()
+@pytest.mark.parametrize("slices", [4096, 64, 3])
+def test_mix(docs, slices):
+    rows = mixing.mix(docs, slices=slices).collect()
     assert len(rows) == N
     sizes = {}
     for r in rows:
@@ -424,6 +425,50 @@ def test_mix(docs, slice_rows):
         assert len({(r.doc_id, r.text) for r in extra}) <= 1  # one document at most is taken in part
 
 
+def plain_taken(rows, target):
+    """By definition: (key, id, text) -> words taken of each row like it."""
+    out, total = {}, sum(r["size"] for r in rows)
+    epochs = int(target // total) if total else 0
+    left = int(target - epochs * total)
+    units = Counter((r.key, r.doc_id is not None, r.doc_id, r.t) for r in rows)
+    size = {(r.key, r.doc_id is not None, r.doc_id, r.t): r["size"] for r in rows}
+    for u in sorted(units):
+        n = size[u] * units[u]
+        out[u] = epochs * size[u] + max(0, min(n, left)) // units[u]
+        left -= n
+    return out
+
+
+@pytest.mark.parametrize("slices", [4096, 3])
+@pytest.mark.parametrize("weight", [None, 0.05, 1e-9])
+def test_mix_takes_the_documents_of_the_definition(docs, slices, weight, monkeypatch):
+    """All weights low, too: then keys lie far from 1."""
+    if weight:
+        monkeypatch.setattr(mixing, "quality_weight", lambda text: F.lit(weight))
+    key = mixing.exponential_key(mixing.quality_weight(F.col("text")), "doc_id", mixing.text_key())
+    rows = mixing.mix(docs, slices=slices).select("*", key.alias("key"), mixing.text_key().alias("t")).collect()
+    for s in {r.source for r in rows}:
+        mine = [r for r in rows if r.source == s]
+        want = plain_taken(mine, mine[0].target)
+        assert all(r.taken == want[(r.key, r.doc_id is not None, r.doc_id, r.t)] for r in mine)
+
+
+def test_mix_keeps_columns_of_any_name(docs):
+    odd = {n: F.lit(n) for n in ("epochs_", "_source", "_text", "_id", "_size", "_key", "row", "place", "_s", "whole", "_upto")}
+    out = mixing.mix(docs.withColumns(odd | {"taken": F.lit("own")}))
+    assert set(out.columns) == {*docs.columns, *odd, "size", "source_size", "target", "taken", "epochs"}
+    r = out.first()
+    assert all(r[n] == n for n in odd) and isinstance(r.taken, int)
+    again = mixing.mixed_documents(docs.withColumns(odd | {"epochs": F.lit("own")}))
+    assert again.columns == [*docs.columns, *odd, "epochs"] and again.first().epochs == "own"
+
+
+def test_many_sources_are_ranked_by_code_point(spark):
+    names = [f"s{k}" for k in range(500)] + ["ä", "Z", "", None]
+    got = {r.source: r.place for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string").repartition(7)).collect()}
+    assert got == {n: k for k, n in enumerate(sorted(filter(lambda x: x is not None, names)) + [None])}
+
+
 def test_heavier_documents_come_sooner(spark):
     w = spark.range(4000).select(mixing.exponential_key(F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0), "id").alias("k"), (F.col("id") % 2).alias("o"))
     first = w.orderBy("k").limit(500).filter("o = 0").count()

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, map_arrow, pieces
+from .common import batch, map_arrow, pieces, text_key
 
-#: Rows of labels that a fit takes at most (those with the least hash of doc_id), and the share kept for calibration.
+#: Rows that a fit takes at most (those with the least hash of doc_id), and one in how many is kept back for calibration.
 SAMPLE, HELD = 2000, 4
 BITS = 15
 MASK = (1 << BITS) - 1
@@ -136,7 +136,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], rounds: int = 12
         k = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w -= k * m / (np.sqrt(v) + 1e-8) * (np.abs(gw) > 0)
         b -= 0.05 * k * mb / (np.sqrt(vb) + 1e-8)
-    z = np.array([b + float((w[r[0]] * r[1]).sum()) for r in cal])
+    z = np.array([b + float(w[r[0]] @ r[1]) for r in cal])
     spread = float(z.std()) or 1.0
     yc = np.array([r[2] for r in cal], float)
     good, bad = yc.sum(), len(yc) - yc.sum()
@@ -153,25 +153,45 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], rounds: int = 12
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, quality, _h) of the labelled rows that a fit takes: sample of them at most, those with the least hash."""
+    """(doc_id, _key, text, quality, _h) of the rows that a fit may learn from: those with one of sample labelled ids, the ones with the least hash.
+
+    An id whose labels differ has none. Rows of one id that agree in text are one row to fit().
+    """
     h = F.xxhash64("doc_id")
-    chosen = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality", h.alias("_h")).dropDuplicates(["doc_id"]).orderBy("_h", "doc_id").limit(sample)
-    return docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows
+    one = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"), F.max("quality").cast("long").alias("_most")).filter("quality = _most")
+    chosen = one.select(F.col("doc_id").alias("_d"), "quality", h.alias("_h")).orderBy("_h", "_d").limit(sample)
+    return docs.filter("text IS NOT NULL").select("doc_id", text_key().alias("_key"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).drop("_d")  # at most sample rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Features are made on the executors; at most sample sparse rows come to the driver. None if a class is missing."""
-    schema = pa.schema([("h", pa.int64()), ("quality", pa.int64()), ("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float32()))])
+    """None if a class is missing.
 
-    def run(batches):
+    Features are made on all executors; one task there fits on sample sparse rows at
+    most (rows of one id with different texts count each, those with the least hash
+    are taken), so only the weights come to the driver.
+    """
+    row = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("h", pa.int64()), ("quality", pa.int64()), ("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float32()))])
+    done = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("scale", pa.float64()), ("shift", pa.float64())])
+
+    def features(batches):
         for b in batches:
-            for text, q, h in zip(*(b.column(c).to_pylist() for c in ("text", "quality", "_h")), strict=True):
+            for d, key, text, q, h in zip(*(b.column(c).to_pylist() for c in ("doc_id", "_key", "text", "quality", "_h")), strict=True):
                 i, v = sparse(text, word_hashes(split_words(text)))
-                yield batch(schema, [h], [q], [i.astype(np.int32)], [v.astype(np.float32)])
+                yield batch(row, [d], [key], [h], [q], [i.astype(np.int32)], [v.astype(np.float32)])
 
-    got = map_arrow(labelled(docs, labels, sample), run, "h long, quality long, idx array<int>, val array<float>").toArrow()
-    rows = sorted(zip(got["h"].to_pylist(), got["quality"].to_pylist(), (np.array(x.values if hasattr(x, "values") else x.as_py()) for x in got["idx"]), (np.array(x.values if hasattr(x, "values") else x.as_py()) for x in got["val"]), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
-    return train([(i.astype(np.int64), v.astype(float), q, h % HELD == 0) for h, q, i, v in rows]) if rows else None
+    def learn(batches):
+        rows = []
+        for b in batches:
+            idx, val = b.column("idx"), b.column("val")
+            rows += [(idx[i].values.to_numpy(), val[i].values.to_numpy(), q, h % HELD == 0) for i, (q, h) in enumerate(zip(b.column("quality").to_pylist(), b.column("h").to_pylist(), strict=True))]
+        if rows and (m := train(rows)):
+            yield batch(done, [m.weights.tobytes()], [m.bias], [m.scale], [m.shift])
+
+    made = map_arrow(labelled(docs, labels, sample), features, "doc_id long, _key long, h long, quality long, idx array<int>, val array<float>")
+    apart = made.groupBy("doc_id", "_key").agg(*[F.first(c).alias(c) for c in ("h", "quality", "idx", "val")])
+    bounded = apart.orderBy("h", "doc_id", "_key").limit(sample).coalesce(1).sortWithinPartitions("h", "doc_id", "_key")
+    got = map_arrow(bounded.select("h", "quality", "idx", "val"), learn, "weights binary, bias double, scale double, shift double").first()
+    return got and Model(np.frombuffer(bytes(got["weights"]), np.float32), got["bias"], got["scale"], got["shift"])
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
