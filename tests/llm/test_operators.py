@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import threading
 import time
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -669,6 +671,69 @@ def test_shards(spark, docs, empty, tmp_path):
     assert "new" in store.read().columns and store.read().count() == 2 * N
 
 
+def test_writers_at_one_time(spark, docs, tmp_path):
+    """Every append of four threads counts once, while a fifth compacts and vacuums; every version is written by one writer."""
+    root = f"file://{tmp_path}/t"
+    parts = [docs.filter(F.coalesce(F.col("doc_id"), F.lit(0)) % 8 == k) for k in range(8)]
+    stop = threading.Event()
+
+    def tidy():
+        store = shards.ShardStore(spark, root, fan=3, base=1 << 20)
+        while not stop.is_set():
+            store.compact()
+            store.vacuum()
+
+    with ThreadPoolExecutor(5) as pool:
+        cleaner = pool.submit(tidy)
+        done = [pool.submit(lambda p=p: shards.ShardStore(spark, root).append(p)) for p in parts]
+        versions = [f.result() for f in done]
+        stop.set()
+        cleaner.result()
+    store = shards.ShardStore(spark, root)
+    assert len(set(versions)) == 8 and sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
+
+
+def test_one_of_two_commits_wins(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/t")
+
+    def go(n):
+        try:
+            return store.commit(n, [])
+        except shards.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        for n in range(20):
+            assert sorted(x for x in pool.map(go, [n] * 8) if x) == [n + 1]
+
+
+def test_vacuum_spares_a_run_that_is_being_written(spark, docs, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/t")
+    with store._writing() as path:
+        docs.write.parquet(path)
+        assert store.vacuum() == 0
+        store.commit(0, [store._run(path, docs.schema)])
+    assert store.vacuum() == 0 and store.read().count() == N
+    # a writer that died: its note is too old after a while, and its run can't be committed
+    store._fs().create(store._path(f"{store.root}/pending/dead"), False).close()
+    docs.write.parquet(f"{store.root}/data/dead")
+    dead = store._run(f"{store.root}/data/dead", docs.schema)
+    assert store.vacuum() == 0 and store.vacuum(age=60, clock=lambda: time.time() + 3600) == 1
+    with pytest.raises(FileNotFoundError):
+        store.commit(1, [*store.manifest()[1], dead])
+
+
+def test_merged_files_have_the_target_size(spark, docs, tmp_path):
+    size = 1 << 16
+    noise = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    store = shards.ShardStore(spark, f"file://{tmp_path}/t", target=size * 4, fan=4, base=1 << 20)
+    for k in range(4):
+        store.append(noise.filter(F.col("id") % 4 == k).repartition(5))
+    store.compact()
+    (run,) = store.manifest()[1]
+    assert run.rows == 20_000 and run.files == round(run.size / (size * 4)) > 3
+
+
 def test_tiers(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/t", base=10, ratio=4, fan=2)
     assert [store.tier(s) for s in (1, 10, 11, 39, 41, 161)] == [0, 0, 1, 1, 2, 3]

@@ -2,17 +2,26 @@
 
 Arrivals are appended as small immutable runs of files. Runs of one size tier merge,
 once there are enough of them, into files of the target size. What a table consists
-of is said by a versioned manifest alone: a new version is written aside and renamed
-into place, which one writer wins.
+of is said by a versioned manifest alone: a new version is written aside and put into
+place by an operation that fails if the version is there already, so one writer wins.
+
+A writer notes each run under pending/ before the run's first file exists and until
+after its commit, so vacuum() leaves alone what is still being written. The notes of
+writers that died count no more after an age; a run that such a vacuum has taken can't
+be committed, as commit() looks whether its runs are there.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import remove
@@ -20,6 +29,10 @@ from .common import remove
 MB = 1 << 20
 #: Size of a merged file; runs of a tier that start a merge; bytes of the lowest tier and how much a tier is larger than the one below.
 TARGET, FAN, BASE, RATIO = 128 * MB, 4, 16 * MB, 4
+#: Files of the target size that one job of a merge writes.
+AT_ONCE = 256
+#: Seconds after which the note of a writer counts no more.
+AGE = 7 * 86_400
 
 
 @dataclass(frozen=True)
@@ -38,6 +51,9 @@ class Conflict(RuntimeError):
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fan: int = FAN, base: int = BASE, ratio: int = RATIO):
         self.spark, self.root, self.target, self.fan, self.base, self.ratio = spark, root.rstrip("/"), target, fan, base, ratio
+        # merges plan in a session of their own: there a union of frames of one partition keeps a partition for each
+        self._merging = spark.newSession()
+        self._merging.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     # --- files ---------------------------------------------------------------------------------------
 
@@ -66,41 +82,77 @@ class ShardStore:
             stream.close()
         return v, [Run(**r) for r in json.loads(text)["runs"]]
 
+    def _put(self, aside, final) -> bool:
+        """Gives the file its final name, in one step, unless the name is taken.
+
+        On a local disk by a hard link, elsewhere by a rename that doesn't replace,
+        which HDFS and file systems like it do in one step. On a store without such
+        a rename, only one writer at a time may commit.
+        """
+        jvm = self.spark._jvm
+        try:
+            if self._fs().getUri().getScheme() == "file":
+                local = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, aside)]
+                jvm.java.nio.file.Files.createLink(*local)
+                self._fs().delete(aside, False)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, final, none)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e) or self._fs().exists(final):
+                return False
+            raise
+        return True
+
     def commit(self, base: int, runs: list[Run]) -> int:
-        """Version base + 1, or Conflict if it is there already: a rename doesn't replace."""
+        """Version base + 1. Conflict if it is there already, FileNotFoundError if a run isn't."""
         fs, new = self._fs(), base + 1
+        for r in runs:
+            if not fs.exists(self._path(r.path)):
+                raise FileNotFoundError(f"run {r.path} is gone")
         aside, final = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{new:010d}.json")
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps({"version": new, "runs": [asdict(r) for r in runs]}).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(aside, final):
+        if not self._put(aside, final):
             fs.delete(aside, False)
             raise Conflict(f"version {new} exists")
         return new
 
-    def _write(self, df: DataFrame) -> Run:
-        """A run of files in a folder of its own; Spark's committer makes it whole or leaves nothing that is read."""
-        path = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+    @contextlib.contextmanager
+    def _writing(self):
+        """The path of a new run, noted as pending until the block ends."""
+        name = uuid.uuid4().hex
+        note = self._path(f"{self.root}/pending/{name}")
+        self._fs().create(note, False).close()
+        try:
+            yield f"{self.root}/data/{name}"
+        finally:
+            self._fs().delete(note, False)
+
+    def _run(self, path: str, schema) -> Run:
+        """What stands at the path after Spark's committer has made it whole."""
         total = self._fs().getContentSummary(self._path(path))
-        back = self.spark.read.schema(df.schema).parquet(path)
-        return Run(path, total.getLength(), back.count(), sum(f.endswith(".parquet") for f in back.inputFiles()), df.schema.json())
+        back = self.spark.read.schema(schema).parquet(path)
+        return Run(path, total.getLength(), back.count(), sum(f.endswith(".parquet") for f in back.inputFiles()), schema.json())
 
     # --- operations ------------------------------------------------------------------------------------
 
-    def append(self, df: DataFrame, attempts: int = 5) -> int:
-        """One arrival. An arrival without rows changes nothing."""
-        run = self._write(df)
-        if not run.rows:
-            remove(self.spark, run.path)
-            return self.manifest()[0]
-        for _ in range(attempts):
-            v, runs = self.manifest()
-            try:
-                return self.commit(v, [*runs, run])
-            except Conflict:
-                continue
-        raise Conflict("too many writers")
+    def append(self, df: DataFrame, attempts: int = 20) -> int:
+        """One arrival. An arrival without rows changes nothing. Writers may append at the same time."""
+        with self._writing() as path:
+            df.write.parquet(path)
+            run = self._run(path, df.schema)
+            if not run.rows:
+                remove(self.spark, path)
+                return self.manifest()[0]
+            for _ in range(attempts):
+                v, runs = self.manifest()
+                try:
+                    return self.commit(v, [*runs, run])
+                except Conflict:
+                    continue
+            raise Conflict("too many writers")
 
     def tier(self, size: int) -> int:
         return 0 if size <= self.base else 1 + int(math.log(size / self.base, self.ratio))
@@ -113,30 +165,55 @@ class ShardStore:
         return next((by[t] for t in sorted(by) if len(by[t]) >= self.fan), [])
 
     def compact(self) -> int:
-        """Merges until no tier is full; returns the version. Partitions of the scan are joined to files of the target size: no shuffle, so no key can be hot."""
+        """Merges until no tier is full; returns the version.
+
+        Files are dealt in order to groups of about the target size; a task reads one
+        group and writes one file. So no task does more than that, nothing is
+        shuffled, and no key can be hot. A commit that another writer forestalls is
+        tried again on the new version, as long as that still has the merged runs.
+        """
         while True:
             v, runs = self.manifest()
             some = self.due(runs)
             if not some:
                 return v
-            n = max(1, round(sum(r.size for r in some) / self.target))
-            merged = self._write(self._frame(some).coalesce(n))
-            try:
-                self.commit(v, [r for r in runs if r not in some] + [merged])
-            except Conflict:
-                remove(self.spark, merged.path)
-
-    def _frame(self, runs: list[Run]) -> DataFrame:
+            with self._writing() as path:
+                schema = self._frame(some).schema
+                groups = self._groups(some)
+                for lo in range(0, len(groups), AT_ONCE):
+                    frames = [self._frame(g, self._merging).coalesce(1) for g in groups[lo : lo + AT_ONCE]]
+                    _union(frames).write.mode("append").parquet(path)
+                merged = self._run(path, schema)
+                while True:
+                    try:
+                        self.commit(v, [r for r in runs if r not in some] + [merged])
+                        break
+                    except Conflict:
+                        v, runs = self.manifest()
+                        if not all(r in runs for r in some):  # another compaction was faster
+                            remove(self.spark, path)
+                            break
+
+    def _groups(self, runs: list[Run]) -> list[list[Run]]:
+        """The files of runs as runs of one file, in groups of about the target size; names and sizes come to the driver."""
+        fs, out, size = self._fs(), [[]], 0
+        for r in runs:
+            for f in fs.listStatus(self._path(r.path)):
+                if f.getPath().getName().endswith(".parquet"):
+                    if out[-1] and size + f.getLen() / 2 > self.target:
+                        out.append([])
+                        size = 0
+                    out[-1].append(Run(f.getPath().toString(), f.getLen(), 0, 1, r.schema))
+                    size += f.getLen()
+        return out
+
+    def _frame(self, runs: list[Run], spark: SparkSession | None = None) -> DataFrame:
         from pyspark.sql.types import StructType
 
         frames: dict[str, list[str]] = {}
         for r in runs:
             frames.setdefault(r.schema, []).append(r.path)
-        parts = [self.spark.read.schema(StructType.fromJson(json.loads(s))).parquet(*paths) for s, paths in frames.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        return _union([(spark or self.spark).read.schema(StructType.fromJson(json.loads(s))).parquet(*paths) for s, paths in frames.items()])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table at a version (the last by default)."""
@@ -145,11 +222,29 @@ class ShardStore:
             raise ValueError("the table is empty")
         return self._frame(runs)
 
-    def vacuum(self) -> int:
-        """Deletes runs that the last version doesn't name; earlier versions can't be read any more then."""
-        v, runs = self.manifest()
-        fs, at, live = self._fs(), self._path(f"{self.root}/data"), {r.path.rsplit("/", 1)[1] for r in runs}
-        gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in live] if fs.exists(at) else []
+    def vacuum(self, age: float = AGE, clock: Callable[[], float] = time.time) -> int:
+        """Deletes runs that neither the last version nor a writer's note names; earlier versions, and readers of them, can't read them any more then. Notes older than age seconds go first.
+
+        Data is listed before notes and notes before the version: a run without a note
+        by then has been committed before the version is read, or never will be.
+        """
+        fs = self._fs()
+        ls = lambda name: list(fs.listStatus(at)) if fs.exists(at := self._path(f"{self.root}/{name}")) else []
+        data, pending = ls("data"), set()
+        for note in ls("pending"):
+            if note.getModificationTime() / 1000 < clock() - age:
+                fs.delete(note.getPath(), False)
+            else:
+                pending.add(note.getPath().getName())
+        live = {r.path.rsplit("/", 1)[1] for r in self.manifest()[1]} | pending
+        gone = [s.getPath() for s in data if s.getPath().getName() not in live]
         for p in gone:
             fs.delete(p, True)
         return len(gone)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """A balanced tree, so that the plan of many frames isn't deep."""
+    while len(frames) > 1:
+        frames = [a[0].unionByName(a[1], allowMissingColumns=True) if len(a) == 2 else a[0] for a in (frames[i : i + 2] for i in range(0, len(frames), 2))]
+    return frames[0]
