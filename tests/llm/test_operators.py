@@ -370,10 +370,22 @@ def test_one_of_each_group_stays(spark, docs, empty):
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, edited(t, 2, i)) for i, t in enumerate(base)] + [(200, base[0]), (200, base[0])]
     kept = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(i for i in kept if i < 100) == list(range(12)) and len(kept) == len(set(kept)) and len(kept) <= 14
-    out = simhash.deduplicate(docs)
-    assert out.columns == docs.columns and simhash.deduplicate(empty).count() == 0
-    ids = [r.doc_id for r in out.collect()]
-    assert ids.count(None) == 2 and len(ids) == len(set(ids)) + 1
+    odd = docs.withColumns({n: F.lit(n) for n in ("row", "_key", "_may", "gone", "_d", "_r")})
+    out = simhash.deduplicate(odd)
+    assert out.columns == odd.columns and simhash.deduplicate(empty).count() == 0
+    # one of each text (null and empty are alike), as no two of them are near copies but 30 words and one of TEXTS[31:33]
+    texts = plain_groups([r.text or "" for r in docs.collect()])
+    got = out.collect()
+    assert len(got) == len(texts) and {r.row for r in got} == {"row"}
+    assert sum(r.doc_id is None for r in got) == 1  # the other row without an id has no words, as other texts with an id
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """The other text of an id isn't lost with a copy of the first; rows without ids are compared, too."""
+    a, b, c = prose(200, 41), prose(200, 42), prose(200, 43)
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (2, b, 2), (None, c, 3), (None, edited(c, 1, 1), 4), (None, c, 3), (3, edited(a, 1, 2), 5)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect())
+    assert got[:2] == [(False, 1, 0), (False, 2, 2)] and len(got) == 3 and got[2][0] and got[2][2] in (3, 4)
 
 
 def half_copies(r, n, k):

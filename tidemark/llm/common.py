@@ -81,6 +81,24 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of the map that a few keys are looked up in.
+MAP_BITS = 1 << 22
+
+
+def may_hold(df: DataFrame, key: Column, some: DataFrame, name: str, bits: int = MAP_BITS) -> DataFrame:
+    """df with name added: false for rows whose key (a long) is certainly not in some (one long column).
+
+    The keys set bits of a map by hash. Its words, bits / 64 at most, are broadcast, so
+    wide rows needn't be shuffled to learn that they meet nothing. The map is saved.
+    """
+    (k,) = some.columns
+    at = F.pmod(F.xxhash64(F.col(f"`{k}`")), F.lit(bits))
+    words_ = save(some.select(at.alias("b")).groupBy(F.floor(F.col("b") / 64).alias(f"{name}_w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias(f"{name}_m")), "map")
+    pos = F.pmod(F.xxhash64(key), F.lit(bits))
+    met = df.join(F.broadcast(words_), F.floor(pos / 64) == F.col(f"{name}_w"), "left")
+    return met.withColumn(name, F.coalesce(F.col(f"{name}_m").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (pos % 64).cast("int"))) != 0, F.lit(False))).drop(f"{name}_w", f"{name}_m")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,23 +23,20 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) links between long ids -> (node, root): root is the least id reachable; ids without links have no row.
 
-    Nulls link nothing. Rounds grow with the logarithm of a component's size; each is
-    written to the shared folder and the one before deleted.
+    Nulls link nothing. Rounds grow with the logarithm of a component's size, and go on
+    until one changes nothing; each is written to the shared folder and the one before
+    deleted. The result is such a saved table, which drop_saved() deletes.
     """
     cur = save(edges.filter("a <> b").select("a", "b"), "edges")
-    mark = _mark(cur)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
+    mark, was = _mark(cur), None
+    while mark[0] and mark != was:
         new = save(_stars(cur), "edges")
         was, mark = mark, _mark(new)
         drop_saved(cur)
         cur = new
-        if mark == was:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._saved = cur._saved
+    return out

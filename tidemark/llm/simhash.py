@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, drop_saved, lower_ascii, map_arrow, pieces, save, text_key, words
+from .common import batch, drop_saved, lower_ascii, map_arrow, may_hold, pieces, save, text_key, words
 from .components import components
 
 #: Cost of a shuffled probe row against a compared pair.
@@ -344,6 +344,8 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     return fps.join(reps.withColumnsRenamed({"fp": "_f", "fp2": "_g"}), (F.col("fp") == F.col("_f")) & (F.col("fp2") == F.col("_g"))).select("doc_id", "fp", F.col("root").alias("component_id"))
 
 
+# --- near-duplicates by the shingles themselves -----------------------------------------------------
+
 #: Stage defaults: shingles of five words; a pair is linked if its shingle sets have a Jaccard similarity of 0.8 at least.
 STAGE = {"size": 5, "least": 0.8}
 #: Min-hashes in a band, and bands. A pair at 0.8 shares no band with a chance of (1 - 0.8^4)^24, 3 in a million.
@@ -351,7 +353,7 @@ DEPTH, BANDS = 4, 24
 #: Fingerprints turn a candidate away beyond so many of 128 bits. Pairs at 0.8 differ in 19, with a deviation of 4; unrelated ones in 64.
 FAR = 48
 #: Nodes in a line when shingle sets are dealt to blocks.
-LINE = 4000
+LINE = 1000
 _DRAW = np.random.default_rng(20).integers(0, 1 << 63, (2, DEPTH * BANDS), np.uint64)
 _FLIP, _ODD = _DRAW[0], _DRAW[1] * np.uint64(2) + np.uint64(1)
 
@@ -390,10 +392,16 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, "doc_id long, _key long, node long, n long, fp long, fp2 long, keys array<long>")
 
 
-def hopeful(a: str, b: str, least: float):
-    """What a pair of rows must hold to be worth a look at its shingles: sizes that allow the similarity, and near fingerprints."""
-    differ = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.fp2").bitwiseXOR(F.col(f"{b}.fp2")))
-    return (F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(least)) & (differ <= FAR)
+def hopeful(pairs: DataFrame, about: DataFrame, least: float) -> DataFrame:
+    """The (a, b) worth a look at their shingles: sizes that allow the similarity, and near fingerprints. about has node, n, fp, fp2."""
+    side = lambda x: about.select(*[F.col(c).alias(f"{x}_{c}") for c in about.columns])
+    met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+    return met.filter(_near(F.col("a_n"), F.col("b_n"), F.col("a_fp"), F.col("b_fp"), F.col("a_fp2"), F.col("b_fp2"), least)).select("a", "b")
+
+
+def _near(n, m, fp, gp, fp2, gp2, least: float):
+    differ = F.bit_count(fp.bitwiseXOR(gp)) + F.bit_count(fp2.bitwiseXOR(gp2))
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(least)) & (differ <= FAR)
 
 
 def reach(sa: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
@@ -447,7 +455,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the rows given as doc_id, _key, node."""
+    """(node, set) of the rows given as doc_id, _key, node. Only texts that may be among them are shuffled."""
     schema = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -456,36 +464,46 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 yield batch(schema, part.column("node"), [np.sort(shingle_set(t, size).view(np.int64)) for t in part.column("text").to_pylist()])
 
     asked = nodes.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "node")
-    met = docs.select("doc_id", text_key().alias("_key"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    some = may_hold(docs.select("doc_id", text_key().alias("_key"), "text"), F.col("_key"), asked.select("_k"), "_may").filter("_may").drop("_may")
+    met = some.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
     return map_arrow(met.select("node", "text"), run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def alike(docs: DataFrame, size: int, least: float, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """sketches(), and (node, root) of the sets linked to others: components over all pairs with the similarity.
+    """(doc_id, _key, node) of every row, and (node, root) of the sets linked to others: components over all pairs with the similarity.
 
-    First only neighbours in a bucket are compared, which joins most of a large group
-    at a cost in proportion to it; then all pairs of a bucket that aren't joined yet.
+    Most buckets hold one set and go at once. In the others, first each set is compared
+    with the bucket's least node only, which joins most of a large group at a cost in
+    proportion to it and is combined before the shuffle; then all pairs of a bucket
+    that aren't joined yet.
     """
-    rows = save(sketches(docs, size), "sketches")
-    reps = save(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id"), F.col("_key"), F.col("n"), F.col("fp"), F.col("fp2"), F.col("keys"))).alias("r")).select("node", "r.*"), "representatives")
-    dealt = reps.select(F.explode("keys").alias("key"), "node", "n", "fp", "fp2")
-    last = F.lag(F.struct("node", "n", "fp", "fp2")).over(Window.partitionBy("key").orderBy("node"))
-    near = dealt.withColumn("x", F.struct("node", "n", "fp", "fp2")).withColumn("y", last).filter(F.col("y").isNotNull()).filter(hopeful("x", "y", least))
-    pairs = save(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "neighbours")
-    sets = save(shingle_sets(docs, reps.join(_ends(pairs), "node", "left_semi"), size), "sets")
-    links = save(verified(pairs, sets, least), "links")
+    sketched = save(sketches(docs, size), "sketches")
+    rows = sketched.select("doc_id", "_key", "node")
+    reps = save(sketched.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "_key")).alias("r"), *[F.first(c).alias(c) for c in ("n", "fp", "fp2", "keys")]).select("node", "r.*", "n", "fp", "fp2", "keys"), "representatives")
+    about, place = reps.select("node", "n", "fp", "fp2"), reps.select("doc_id", "_key", "node")
+    dealt = reps.select(F.explode("keys").alias("key"), "node")
+    centres = dealt.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("_m")).filter("c < _m").drop("_m")
+    shared = save(dealt.join(centres, "key"), "buckets")
+    stars = save(hopeful(shared.filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), about, least), "stars")
+    sets = save(shingle_sets(docs, place.join(_ends(stars), "node", "left_semi"), size), "sets")
+    links = save(verified(stars, sets, least), "links")
     first = components(links)
-    known = dealt.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", "fp", "fp2", F.coalesce("root", "node").alias("root"), F.lit(False).alias("probe"))
-    known = save(known, "buckets")
+    known = save(shared.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    drop_saved(shared)
     mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    open_ = spread(known.join(mixed, "key", "left_semi"), cell)
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & hopeful("x", "y", least))
-    rest = save(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = save(shingle_sets(docs, reps.join(_ends(rest), "node", "left_semi").join(sets, "node", "left_anti"), size), "sets")
+    open_ = save(known.join(mixed, "key", "left_semi").join(about, "node").withColumn("probe", F.lit(False)), "open")
+    drop_saved(known, first)
+    dealt_out = spread(open_, cell)
+    x, y = dealt_out.alias("x"), dealt_out.alias("y")
+    close = _near(*[F.col(f"{s}.{c}") for c in ("n", "fp", "fp2") for s in ("x", "y")], least)
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close)
+    # a star's pair has its least node first, too
+    rest = save(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = save(shingle_sets(docs, place.join(_ends(rest), "node", "left_semi").join(sets, "node", "left_anti"), size), "sets")
     all_links = save(links.unionByName(verified(rest, sets.unionByName(more), least)), "links")
     out = components(all_links)
-    drop_saved(pairs, sets, links, known, rest, more, all_links)
+    drop_saved(stars, sets, links, open_, rest, more, all_links, reps)
+    rows._saved = sketched._saved
     return rows, out
 
 
@@ -494,12 +512,25 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, size: int = STAGE["size"], least: float = STAGE["least"]) -> DataFrame:
-    """docs without all but the least doc_id of each group; of rows that repeat a kept doc_id one stays. Rows without doc_id stay, once for each text."""
+    """docs with one document of each group: the one with the least doc_id, a null id counting as the greatest, then the least key of the text.
+
+    Rows are told apart by doc_id and text; of rows that agree in both, one stays. Texts
+    without words (null, empty) are copies of each other. Columns of any name are kept
+    as they are. Only rows that may go, or that repeat, are shuffled with their texts.
+    """
     rows, met = alike(docs, size, least)
-    group = rows.filter("doc_id IS NOT NULL").join(met.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    keep = group.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    whole = docs.join(keep, "doc_id", "left_semi")
-    odd = rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
-    if not odd.isEmpty():
-        whole = whole.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
-    return whole
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
+    group = rows.groupBy("node", "doc_id", "_key").agg(F.count(F.lit(1)).alias("c")).join(met.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "_key", "c", F.coalesce("root", "node").alias("root"))
+    group = save(group, "groups")
+    drop_saved(met, rows)
+    keep = group.groupBy("root").agg(F.min(order).alias("k")).select(F.col("root").alias("_r"), "k")
+    # rows that go, and rows that stay but once
+    odd = save(group.join(keep, F.col("root") == F.col("_r")).select("doc_id", "_key", "c", (order != F.col("k")).alias("gone")).filter("gone OR c > 1").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "gone"), "odd")
+    drop_saved(group)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_key", text_key("row.text"))
+    asked = may_hold(row, F.col("_key"), odd.select("_k"), "_may")
+    maybe = asked.filter("_may").join(odd, F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").filter("gone IS NULL OR NOT gone")
+    hashed = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()])
+    once = maybe.filter("gone IS NOT NULL").groupBy(F.col("row.doc_id").alias("_d"), "_key").agg(F.min_by("row", hashed).alias("row"))
+    out = asked.filter("NOT _may").select("row").unionByName(maybe.filter("gone IS NULL").select("row")).unionByName(once.select("row"))
+    return out.select("row.*")
