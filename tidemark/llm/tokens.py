@@ -21,7 +21,7 @@ from .common import batch, drop_saved, map_arrow, pieces, save
 END = 0
 SPECIAL = "<|endoftext|>"
 #: Units that a worker remembers; older ones go when it is full.
-REMEMBER = 600_000
+REMEMBER = 250_000
 #: White space other than blank and newline, as Unicode has it: a text with any is encoded in one piece.
 OTHER_SPACE = "".join(map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Marks the unit at the start of a text; texts that hold it are encoded in one piece.
