@@ -1,8 +1,11 @@
 """Pipelines, the front, the model stage, the benchmark and streams."""
 
 import json
+import sys
+from dataclasses import dataclass
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.plans import benchmark as B
@@ -12,6 +15,10 @@ from tidemark.plans.pipeline import SPECS, Pipeline, resolve
 from tidemark.streaming import windows as stream
 
 
+# workers can't import this file
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @pytest.fixture(scope="module")
 def wave(spark):
     v = F.when(F.col("id").between(100, 103), 60.0).otherwise(10 + 5 * F.sin(F.col("id") / 3))
@@ -61,9 +68,72 @@ def test_answers_are_asked_once(spark, tmp_path):
 
 def test_budgets_and_requests():
     assert models.forecast_budget(9, 5, 3) == 6 and models.detect_budget(10, 0.5) == 5
-    c = models.HttpChatClient("http://x", "m", system="S")
+    c = models.HttpChatClient("http://x", "m", system="S", user="U")
     assert c.request("p", 7, models.Sampling(samples=2, seed=1))["n"] == 2
-    assert "messages" in c.request("p", 7, models.Sampling())
+    assert [m["content"] for m in c.request("p", 7, models.Sampling())["messages"]] == ["S", "U p ,"]
+    plain = models.HttpChatClient.for_values("http://x", "m", lambda t: [ord(x) for x in t], chat=False)
+    body = plain.request("1,2", 7, models.Sampling())
+    assert body["prompt"] == "1,2 ," and set(body["logit_bias"]) == {str(ord(x)) for x in "0123456789,"} and set(body["logit_bias"].values()) == {30}
+    assert models.ForecastBudget(5)(plain, "10,20,30") == 15 and models.DetectBudget(0.5)(plain, "10,20,30") == 4
+    assert models.ForecastBudget(5, padding=2)(plain, "10,20,30") == 25 and models.ForecastBudget(2)(models.PersistenceClient(), "1" * 40) == 22
+
+
+class Counting(models.HttpChatClient):
+    """Answers with its budget, so that what the stages pass on can be seen."""
+
+    def send(self, body):
+        text = body["messages"][1]["content"]
+        return {"choices": [{"message": {"content": f"{body['max_tokens']}"}, "logprobs": {"of": text}} for _ in range(body["n"])]}
+
+
+def test_stages_pass_budgets_and_keep_logprobs(spark, wave):
+    given = {"rolling_window_sequences#1": {"window_size": 20}, "forecast_model#1": {"client": Counting("u", "m"), "logprobs": True, "top_logprobs": 2, "samples": 2}}
+    c = Pipeline.load("mistral_detector", given).run(0, 5, signals=wave)
+    w = {r.win: r.text for r in c["windows"].collect()}
+    for r in c["responses"].collect():
+        count = -(-len(w[r.win]) // 4)
+        assert int(r.response) == (count + 1) // 20 * 5 and json.loads(r.logprobs)["of"] == f"{w[r.win]} ,"
+    c = Pipeline.load("gpt_prompter", {"rolling_window_sequences#1": {"window_size": 20}, "detect_model#1": {"client": Counting("u", "m"), "samples": 1, "anomalous_percent": 0.25}}).run(0, 5, signals=wave)
+    w = {r.win: r.text for r in c["windows"].collect()}
+    assert all(int(r.response) == -(-len(w[r.win]) // 4) // 4 and r.logprobs is None for r in c["responses"].collect())
+
+
+class Echo(models.RuleClient):
+    """Repeats the prompt before its answer, as a local model does."""
+
+    def complete(self, prompts, budgets, sampling):
+        assert all(p.endswith("[RESPONSE]") for p in prompts)
+        return [[f"{p} [9]" for _ in range(sampling.samples)] for p in prompts]
+
+
+def test_the_model_sees_the_prompt(spark, wave):
+    given = {"rolling_window_sequences#1": {"window_size": 20}, "detect_model#1": {"client": Echo()}}
+    c = Pipeline.load("mistral_prompter_0shot", given).run(0, 6, signals=wave)
+    assert {r.response for r in c["responses"].collect()} == {"9"}
+    # the built-in client looks at the prompt as well
+    c = Pipeline.load("mistral_prompter_0shot", {"rolling_window_sequences#1": {"window_size": 20}}).run(0, 6, signals=wave)
+    assert c["responses"].filter("response <> ''").count() > 0
+
+
+#: What the nine pipelines set, stage by stage (fixed values).
+SHIPPED = {
+    "gpt_detector": {"window_size": 140, "target_size": 1, "space": True, "steps": 5, "remove_outliers": True},
+    "mistral_detector": {"window_size": 140, "target_size": 1, "steps": 5},
+    "mistral_detector_kmeans": {"n_clusters": 100, "window_size": 140, "target_size": 1, "steps": 5},
+    "multivariate_mistral_detector_jsonformat": {"window_size": 140, "target_size": 1, "steps": 5, "encoder": "json_format", "multivariate_allowed_symbols": ["d", ":", ","]},
+    "gpt_prompter": {"window_size": 200, "step_size": 40, "space": True, "samples": 10},
+    "mistral_prompter": {"window_size": 200, "step_size": 40, "samples": 10, "restrict_tokens": True},
+    "mistral_prompter_0shot": {"window_size": 100, "step_size": 40, "samples": 1, "temperature": 0.01},
+    "mistral_prompter_1shot": {"window_size": 200, "step_size": 40, "samples": 1, "temperature": 0.01},
+    "mistral_prompter_multivariate_0shot": {"window_size": 100, "step_size": 40, "samples": 1, "temperature": 0.01, "multivariate": True, "interval": True},
+}
+FORECASTS = {"trunc": 1, "errors": "coerce", "window_size_portion": 0.3, "window_step_size_portion": 0.1, "fixed_threshold": True}
+
+
+@pytest.mark.parametrize("name", SHIPPED)
+def test_shipped_parameters(name):
+    got = {k: v for params in SPECS[name]["params"].values() for k, v in params.items()}
+    assert got == SHIPPED[name] | (FORECASTS if "detector" in name else {"alpha": 0.4, "beta": 0.5})
 
 
 def test_rule_client_matches_its_column(spark):
@@ -74,12 +144,33 @@ def test_rule_client_matches_its_column(spark):
 
 def test_harness(spark, wave):
     assert harness.run_pipeline(wave, "persistence_control", window_size=20).count() == 140
-    with pytest.raises(NotImplementedError):
+    with pytest.raises(ValueError, match="binning"):
         harness.run_pipeline(wave, "json_format", "binning")
     with pytest.raises(ValueError, match="strategy"):
         harness.run_pipeline(wave, "json_format", "luck")
 
 
+@dataclass
+class Ramp:
+    """Answers with values of the first dimension that rise by one each step."""
+
+    def complete(self, prompts, budgets, sampling):
+        last = [int(p.rsplit("d0:", 1)[1].split(",")[0]) for p in prompts]
+        return [[",".join(f"d0:{v + s + k}" for s in range(1, 4)) for k in range(sampling.samples)] for v in last]
+
+
+def test_harness_for_several_steps(spark):
+    sig = spark.range(40).select(F.lit("s").alias("signal_id"), (F.col("id") * 21600).alias("ts"), F.lit(0).alias("dim"), (F.col("id") * 0.01 + 5).alias("value"))
+    got = harness.run_pipeline(sig, "json_format", window_size=10, steps_ahead=[1, 3, 4], stride=5, client=Ramp(), samples=3).collect()
+    # three samples, 0, 0.01 and 0.02 too high: the median is one too high; the fourth step has no answer
+    assert {(r.step, r.error) for r in got if r.step < 4} == {(1, 0.01), (3, 0.01)} and {r.win for r in got} == set(range(6))
+    assert all(r.error is None or r.error != r.error for r in got if r.step == 4)
+    z = harness.run_pipeline(sig, "persistence_control", window_size=10, normalize=True)
+    assert abs(z.agg(F.avg("error")).first()[0] - 1 / 11.69) < 0.01
+    with pytest.raises(ValueError, match="several steps"):
+        harness.run_pipeline(sig, "value_interleave", steps_ahead=[1])
+
+
 def test_hyperparameters(tmp_path):
     assert B.hyperparameters({"d": {"p": {"a": 1}}}, "d", "p") == {"a": 1}
     (tmp_path / "f.json").write_text(json.dumps({"b": 2}))
@@ -102,6 +193,43 @@ def test_benchmark_resumes_and_keeps_errors(spark, wave, tmp_path):
     assert spark.read.parquet(cache).count() == n
 
 
+class Picky(models.PersistenceClient):
+    """Fails at a prompt that begins with a 9."""
+
+    def complete(self, prompts, budgets, sampling):
+        if any(p.startswith("9") for p in prompts):
+            raise RuntimeError("a bad prompt")
+        return super().complete(prompts, budgets, sampling)
+
+
+def test_one_bad_signal_spares_the_others_and_is_run_again(spark, wave, tmp_path):
+    bad = wave.withColumn("signal_id", F.lit("bad")).withColumn("value", F.when(F.col("ts") == 0, 104.0).otherwise(F.col("value")))
+    four = wave.unionByName(bad)
+    for k in range(2):
+        four = four.unionByName(wave.withColumn("signal_id", F.lit(f"s{k}")))
+    truth = spark.createDataFrame([(s, 100 * 21600, 103 * 21600) for s in ("s", "s0", "s1", "bad")], "signal_id string, start long, end long")
+    given = {"rolling_window_sequences#1": {"window_size": 20}, "find_anomalies#1": {"window_size_portion": 1.0, "anomaly_padding": 2}}
+    cache, found = str(tmp_path / "scores"), str(tmp_path / "found")
+    run = lambda sig, client, **kw: B.benchmark(spark, {"d": (sig, truth)}, ["mistral_detector"], given, cache_dir=cache, anomaly_dir=found, resume=True, forecast_model=client, **kw)
+    run(four, Picky())
+    rows = {r.signal: r for r in spark.read.parquet(cache).collect()}
+    assert {s for s, r in rows.items() if r.status == "OK" and r.f1 == 1} == {"s", "s0", "s1"} and rows["bad"].status.startswith("ERROR") and rows["bad"].f1 == 0
+    assert spark.read.csv(f"{found}/mistral_detector_d_0", header=True).select("signal_id").distinct().count() == 3
+    # resumed with a client that can: the bad signal and a new one are run, the others aren't
+    run(four.unionByName(wave.withColumn("signal_id", F.lit("new"))), models.PersistenceClient(), workers=2)
+    again = spark.read.parquet(cache).groupBy("signal").count().collect()
+    assert {r.signal: r["count"] for r in again} == {"s": 1, "s0": 1, "s1": 1, "bad": 2, "new": 1}
+    assert run(four, Picky()).first().f1 > 0.7
+    assert B.benchmark(spark, {}, []).count() == 0
+
+
+def test_command_line(spark, wave, tmp_path):
+    wave.write.parquet(str(tmp_path / "w_signals.parquet"))
+    spark.createDataFrame([("s", 100 * 21600, 103 * 21600)], "signal_id string, start long, end long").write.parquet(str(tmp_path / "w_truth.parquet"))
+    out = B.main(["--data", str(tmp_path), "-p", "mistral_detector", "-w", "2", "-o", str(tmp_path / "o"), "-c", str(tmp_path / "c"), "-ad", str(tmp_path / "a")])
+    assert out.count() == 1 and spark.read.parquet(str(tmp_path / "c")).count() == 1 and (tmp_path / "a" / "mistral_detector_w_0").exists()
+
+
 def test_streams(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([("s", k * 4 + i, float(k * 4 + i)) for i in range(4)], "signal_id string, idx long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

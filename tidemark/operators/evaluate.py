@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 
 def contextual_confusion(truth: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
-    """(keys, tp, fp, fn) of intervals that overlap; an equi-join on the keys with the range as residual.
+    """(keys, tp, fp, fn) of intervals that overlap. A truth that is met counts once, as does a finding that meets nothing. tn has no meaning and is NULL.
 
-    A truth that is met counts once, as does a finding that meets nothing. tn has no meaning and is NULL.
+    Each side is read once and both are shuffled once, by the keys. An interval meets
+    one of the other side if, of those that begin up to its end, the furthest end
+    reaches its start: a running maximum, so nothing grows with the pairs.
     """
-    t, p = truth.alias("t"), found.alias("p")
-    on = [F.col(f"t.{k}") == F.col(f"p.{k}") for k in keys] + [F.col("t.start") <= F.col("p.end"), F.col("p.start") <= F.col("t.end")]
-    one = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    tp, fn, fp = one(t.join(p, on, "left_semi"), "tp"), one(t.join(p, on, "left_anti"), "fn"), one(p.join(t, on, "left_anti"), "fp")
-    everyone = truth.select(*keys).unionByName(found.select(*keys)).distinct()
-    for side in (tp, fp, fn):
-        everyone = everyone.join(side, list(keys), "left")
-    return everyone.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")], F.lit(None).cast("bigint").alias("tn"))
+    side = lambda df, is_truth: df.select(*keys, "start", "end", F.lit(is_truth).alias("_t"))
+    both = side(truth, True).unionByName(side(found, False))
+    for name, other in (("_of_found", ~F.col("_t")), ("_of_truth", F.col("_t"))):
+        # the other side stands at its starts and goes first where an end meets one
+        order = Window.partitionBy(*keys).orderBy(F.when(other, F.col("start")).otherwise(F.col("end")), F.when(other, 0).otherwise(1))
+        both = both.withColumn(name, F.max(F.when(other, F.col("end"))).over(order))
+    met = F.coalesce(F.when(F.col("_t"), F.col("_of_found")).otherwise(F.col("_of_truth")) >= F.col("start"), F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    return both.groupBy(*keys).agg(count(F.col("_t") & met).alias("tp"), count(~F.col("_t") & ~met).alias("fp"), count(F.col("_t") & ~met).alias("fn"), F.lit(None).cast("bigint").alias("tn"))
 
 
 def _ratio(a, b):

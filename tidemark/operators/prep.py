@@ -32,10 +32,12 @@ def time_segments_aggregate(df: DataFrame, interval: int, method: str | list[str
     names = [method] if isinstance(method, str) else list(method)
     if unknown := [m for m in names if m not in METHODS]:
         raise ValueError(f"unknown aggregation methods: {unknown}")
-    ends = df.groupBy("signal_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    # one pass for the bounds: a row for each column of a signal, on which both sides below stand
+    per = Window.partitionBy("signal_id")
+    ends = df.groupBy("signal_id", "dim").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).select("signal_id", "dim", F.min("t0").over(per).alias("t0"), F.max("t1").over(per).alias("t1"))
     outs = [F.round(METHODS[m](F.col("value"), F.col("ts")), digits).alias("value" if isinstance(method, str) else m) for m in names]
-    cells = df.join(ends, "signal_id").withColumn("idx", F.floor((F.col("ts") - F.col("t0")) / interval).cast("bigint")).groupBy("signal_id", "dim", "idx").agg(*outs)
-    spine = df.select("signal_id", "dim").distinct().join(ends, "signal_id").select("signal_id", "dim", "t0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("t1") - F.col("t0")) / interval).cast("bigint"))).alias("idx"))
+    cells = df.join(ends, ["signal_id", "dim"]).withColumn("idx", F.floor((F.col("ts") - F.col("t0")) / interval).cast("bigint")).groupBy("signal_id", "dim", "idx").agg(*outs)
+    spine = ends.select("signal_id", "dim", "t0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("t1") - F.col("t0")) / interval).cast("bigint"))).alias("idx"))
     return spine.join(cells, ["signal_id", "dim", "idx"], "left").select("signal_id", "dim", "idx", (F.col("t0") + F.col("idx") * interval).alias("ts"), *[c for c in cells.columns if c not in ("signal_id", "dim", "idx")])
 
 
@@ -75,25 +77,27 @@ def scalar_to_float(x, minimum, decimal: int = 2):
     return x * F.lit(10.0**-decimal) + minimum
 
 
-def kmeans_1d(v: np.ndarray, k: int, seed: int = 0, inits: int = 10, rounds: int = 300) -> np.ndarray:
-    """Sorted centres of the best of several starts (k-means++ on distinct values)."""
-    v, rng, best = np.sort(v), np.random.default_rng(seed), (np.inf, None)
-    total, squares = np.concatenate([[0], np.cumsum(v)]), float(v @ v)
+def kmeans_1d(v: np.ndarray, k: int, seed: int = 0, inits: int = 10, rounds: int = 300, counts: np.ndarray | None = None) -> np.ndarray:
+    """Sorted centres of the best of several starts (k-means++) over values that each stand for so many rows; memory goes by distinct values."""
+    order = np.argsort(v)
+    v, n = v[order].astype(float), (np.ones(len(v)) if counts is None else np.asarray(counts, float))[order]
+    rng, best = np.random.default_rng(seed), (np.inf, None)
+    rows, total, squares = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * v)]), float(n @ (v * v))
     for _ in range(inits):
-        c = [v[rng.integers(len(v))]]
-        d = (v - c[0]) ** 2
+        c = [v[rng.choice(len(v), p=n / n.sum())]]
+        d = n * (v - c[0]) ** 2
         while len(c) < k:
-            c.append(v[rng.choice(len(v), p=d / d.sum())])
-            d = np.minimum(d, (v - c[-1]) ** 2)
+            c.append(v[rng.choice(len(v), p=d / d.sum())] if d.sum() > 0 else c[-1])
+            d = np.minimum(d, n * (v - c[-1]) ** 2)
         c = np.sort(np.array(c))
         for _ in range(rounds):
             cut = np.concatenate([[0], np.searchsorted(v, (c[1:] + c[:-1]) / 2, side="right"), [len(v)]])
-            n, s = np.diff(cut), np.diff(total[cut])
-            new = np.where(n > 0, s / np.maximum(n, 1), c)
+            m, s = np.diff(rows[cut]), np.diff(total[cut])
+            new = np.where(m > 0, s / np.maximum(m, 1), c)
             if np.allclose(new, c, rtol=0, atol=1e-12):
                 break
             c = np.sort(new)
-        cost = squares - float(np.sum(np.where(n > 0, s * s / np.maximum(n, 1), 0)))
+        cost = squares - float(np.sum(np.where(m > 0, s * s / np.maximum(m, 1), 0)))
         if cost < best[0]:
             best = (cost, c)
     return best[1]
@@ -109,8 +113,8 @@ def fit_cluster(df: DataFrame, n_clusters: int = 100, fit_fraction: float = 1.0)
     exact = sized.filter(F.col("_k") <= n_clusters).groupBy("signal_id", "dim").agg(F.array_sort(F.collect_list("value")).alias("centroids"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.repeat(pdf["value"].to_numpy(), pdf["count"].to_numpy())
-        return pd.DataFrame({"signal_id": [pdf["signal_id"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "centroids": [kmeans_1d(v, n_clusters).tolist()]})
+        centres = kmeans_1d(pdf["value"].to_numpy(), n_clusters, counts=pdf["count"].to_numpy())
+        return pd.DataFrame({"signal_id": [pdf["signal_id"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "centroids": [centres.tolist()]})
 
     rest = sized.filter(F.col("_k") > n_clusters).groupBy("signal_id", "dim").applyInPandas(solve, "signal_id string, dim int, centroids array<double>")
     return exact.unionByName(rest)

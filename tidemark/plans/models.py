@@ -1,22 +1,30 @@
 """The model stage (M1 to M7): a pluggable client behind one mapInPandas, its answers written once and read back.
 
 Sampling isn't repeatable and calls cost money, so a plan never goes on from the
-stage itself but from the table that it wrote (see ask()).
+stage itself but from the table that it wrote (see ask()). A client counts tokens by
+count(), where it can, and budgets come from that.
 """
 
 from __future__ import annotations
 
 import json
+import operator
 import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import save
+
+#: Characters of a token where a client can't count; tokens of an answer without a budget; the bias of tokens that a value may have.
+CHARACTERS, TOKENS, BIAS = 4, 256, 30
+
 
 @dataclass
 class Sampling:
@@ -87,36 +95,61 @@ class ReplayClient:
 
 @dataclass
 class HttpChatClient:
-    """M1, M3: a chat or completion endpoint that speaks the common JSON protocol."""
+    """M1, M3: a chat or completion endpoint that speaks the common JSON protocol.
+
+    user and system are the templates of a request: the user's part, the text and the
+    separator stand side by side with blanks between. Without chat the text and the
+    separator are all of it, and logit_bias favours the tokens that a value may have.
+    encode counts tokens; without one, a token is taken as so many characters.
+    """
 
     url: str
     model: str
     headers: dict[str, str] = field(default_factory=dict)
     system: str = ""
+    user: str = ""
     chat: bool = True
+    sep: str = ","
     logit_bias: dict[str, float] = field(default_factory=dict)
+    encode: Callable[[str], list[int]] | None = None
     timeout: float = 120
+    padding: float = 0
+
+    def count(self, text: str) -> int:
+        return len(self.encode(text)) if self.encode else -(-len(text) // CHARACTERS)
+
+    @classmethod
+    def for_values(cls, url: str, model: str, encode: Callable[[str], list[int]], sep: str = ",", bias: float = BIAS, **more) -> HttpChatClient:
+        """With the bias on the tokens of digits and the separator."""
+        return cls(url, model, sep=sep, encode=encode, logit_bias={str(t): bias for x in [*"0123456789", sep] for t in encode(x)}, **more)
 
     def request(self, prompt: str, budget: int, sampling: Sampling) -> dict:
         body = {"model": self.model, "max_tokens": budget, "n": sampling.samples, "temperature": sampling.temperature, "top_p": sampling.top_p}
         if sampling.seed is not None:
             body["seed"] = sampling.seed
         if self.chat:
-            body["messages"] = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
+            body["messages"] = [{"role": "system", "content": self.system}, {"role": "user", "content": " ".join(x for x in (self.user, prompt, self.sep) if x)}]
             if sampling.logprobs:
                 body |= {"logprobs": True, "top_logprobs": sampling.top_logprobs}
         else:
-            body |= {"prompt": prompt, "logit_bias": self.logit_bias} | ({"logprobs": sampling.top_logprobs} if sampling.logprobs else {})
+            body |= {"prompt": " ".join([prompt, self.sep]), "logit_bias": self.logit_bias} | ({"logprobs": sampling.top_logprobs} if sampling.logprobs else {})
         return body
 
-    def complete(self, prompts, budgets, sampling):
+    def send(self, body: dict) -> dict:
+        with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"} | self.headers), timeout=self.timeout) as r:
+            return json.load(r)
+
+    def complete_with_logprobs(self, prompts, budgets, sampling) -> list[list[tuple[str, str | None]]]:
+        """Texts, each with its log-probabilities as JSON (None if they weren't asked for)."""
         out = []
         for prompt, budget in zip(prompts, budgets, strict=True):
-            data = json.dumps(self.request(prompt, budget, sampling)).encode()
-            with urllib.request.urlopen(urllib.request.Request(self.url, data, {"Content-Type": "application/json"} | self.headers), timeout=self.timeout) as r:
-                out.append([c["message"]["content"] if self.chat else c["text"] for c in json.load(r)["choices"]])
+            choices = self.send(self.request(prompt, budget, sampling))["choices"]
+            out.append([(c["message"]["content"] if self.chat else c["text"], json.dumps(c["logprobs"]) if c.get("logprobs") is not None else None) for c in choices])
         return out
 
+    def complete(self, prompts, budgets, sampling):
+        return [[text for text, _ in row] for row in self.complete_with_logprobs(prompts, budgets, sampling)]
+
 
 @dataclass
 class LocalCausalClient:
@@ -126,6 +159,7 @@ class LocalCausalClient:
     sep: str = ","
     allowed_symbols: tuple[str, ...] = ()
     restrict_tokens: bool = True
+    padding: float = 0
     _loaded: tuple | None = None
 
     def _model(self):
@@ -134,19 +168,26 @@ class LocalCausalClient:
                 from transformers import AutoModelForCausalLM, AutoTokenizer
             except ImportError as e:
                 raise RuntimeError("LocalCausalClient needs the optional transformers package") from e
-            self._loaded = AutoTokenizer.from_pretrained(self.name), AutoModelForCausalLM.from_pretrained(self.name, device_map="auto", torch_dtype="float16")
+            tokenizer = AutoTokenizer.from_pretrained(self.name)
+            self._loaded = tokenizer, AutoModelForCausalLM.from_pretrained(self.name, device_map="auto", torch_dtype="float16"), self.banned(tokenizer) if self.restrict_tokens else None
         return self._loaded
 
+    def __getstate__(self):
+        return self.__dict__ | {"_loaded": None}  # a model is loaded where it is used
+
+    def count(self, text: str) -> int:
+        return len(self._model()[0](text)["input_ids"])
+
     def banned(self, tokenizer) -> list[list[int]]:
         fine = set("0123456789") | {self.sep, *self.allowed_symbols}
         return [[i] for t, i in tokenizer.get_vocab().items() if not set(tokenizer.convert_tokens_to_string([t])) <= fine and i != tokenizer.eos_token_id]
 
     def complete(self, prompts, budgets, sampling):
-        tokenizer, model = self._model()
+        tokenizer, model, banned = self._model()
         out = []
         for prompt, budget in zip(prompts, budgets, strict=True):
             ids = tokenizer(prompt, return_tensors="pt").to(model.device)
-            extra = {"bad_words_ids": self.banned(tokenizer)} if self.restrict_tokens else {}
+            extra = {"bad_words_ids": banned} if banned else {}
             got = model.generate(**ids, do_sample=True, max_new_tokens=budget, temperature=sampling.temperature, top_p=sampling.top_p, num_return_sequences=sampling.samples, **extra)
             out.append(tokenizer.batch_decode(got[:, ids["input_ids"].shape[1] :] if self.restrict_tokens else got, skip_special_tokens=True))
         return out
@@ -161,11 +202,41 @@ def detect_budget(tokens: int, anomalous_percent: float) -> int:
     return int(tokens * anomalous_percent)
 
 
-ANSWERS = "sample int, response string"
+def count_tokens(client: ModelClient, text: str) -> int:
+    return client.count(text) if hasattr(client, "count") else -(-len(text) // CHARACTERS)
 
 
-def infer(prompts: DataFrame, client: ModelClient, sampling: Sampling | None = None, budget: Callable[[str], int] | None = None, text: str = "text") -> DataFrame:
-    """One row in, sampling.samples rows out; batches of prompts go to the client at once, and the client is unpickled once a task."""
+@dataclass
+class ForecastBudget:
+    """M1, M2: as many tokens for an answer as the prompt has for a value, and the client's padding, times steps."""
+
+    steps: int = 1
+    sep: str = ","
+    padding: float | None = None
+
+    def __call__(self, client: ModelClient, text: str) -> int:
+        padding = getattr(client, "padding", 0) if self.padding is None else self.padding
+        return max(1, forecast_budget(count_tokens(client, text), len(text.split(self.sep)), self.steps, padding))
+
+
+@dataclass
+class DetectBudget:
+    """M3, M4: the share of a window's tokens that may be anomalous."""
+
+    anomalous_percent: float = 0.5
+
+    def __call__(self, client: ModelClient, text: str) -> int:
+        return max(1, detect_budget(count_tokens(client, text), self.anomalous_percent))
+
+
+ANSWERS = "sample int, response string, logprobs string"
+
+
+def infer(prompts: DataFrame, client: ModelClient, sampling: Sampling | None = None, budget: Callable[[ModelClient, str], int] | None = None, text: str = "text") -> DataFrame:
+    """One row in, sampling.samples rows out; batches of prompts go to the client at once, and the client is unpickled once a task.
+
+    logprobs is the model's report as JSON if it was asked for and the client gives one, else NULL.
+    """
     sampling = sampling or Sampling()
     keys = [c for c in prompts.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != text)
@@ -173,24 +244,39 @@ def infer(prompts: DataFrame, client: ModelClient, sampling: Sampling | None = N
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf[text].fillna("").tolist()
-            answers = client.complete(texts, [budget(t) if budget else 256 for t in texts], sampling)
-            out = pdf[keys].assign(response=answers).explode("response", ignore_index=False)
+            budgets = [budget(client, t) if budget else TOKENS for t in texts]
+            if sampling.logprobs and hasattr(client, "complete_with_logprobs"):
+                answers = client.complete_with_logprobs(texts, budgets, sampling)
+            else:
+                answers = [[(a, None) for a in row] for row in client.complete(texts, budgets, sampling)]
+            out = pdf[keys].assign(answer=answers).explode("answer", ignore_index=False)
             out.insert(len(keys), "sample", out.groupby(level=0).cumcount().astype("int32"))
-            yield out.reset_index(drop=True)
+            got = [a if isinstance(a, tuple) else (None, None) for a in out.pop("answer")]
+            yield out.assign(response=[a for a, _ in got], logprobs=[b for _, b in got]).reset_index(drop=True)
 
     return prompts.mapInPandas(run, f"{schema}, {ANSWERS}")
 
 
 def ask(prompts: DataFrame, client: ModelClient, store: str | None = None, **kw) -> DataFrame:
-    """infer(), once: answers already in the store are kept, new ones appended, and the plan goes on from the store."""
+    """infer(), once: answers already in the store are kept, new ones appended, and the plan goes on from the store, with the answers to these prompts only.
+
+    Without a store of the caller's, the answers are written to a table of this session (tables.release() deletes it).
+    """
     if store is None:
-        return infer(prompts, client, **kw)
+        return save(infer(prompts, client, **kw), "answers")
     spark, keys = prompts.sparkSession, [c for c in prompts.columns if c != kw.get("text", "text")]
     p = spark._jvm.org.apache.hadoop.fs.Path(store)
+
+    def same(have):
+        return reduce(operator.and_, [F.col(f"`{k}`").eqNullSafe(have[f"_{k}"]) for k in keys])
+
+    new = prompts
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        prompts = prompts.join(spark.read.parquet(store).select(*keys).distinct(), keys, "left_anti")
-    infer(prompts, client, **kw).write.mode("append").parquet(store)
-    return spark.read.parquet(store)
+        have = spark.read.parquet(store).select(*[F.col(f"`{k}`").alias(f"_{k}") for k in keys]).distinct()
+        new = prompts.join(have, same(have), "left_anti")
+    infer(new, client, **kw).write.mode("append").parquet(store)
+    asked = prompts.select(*[F.col(f"`{k}`").alias(f"_{k}") for k in keys]).distinct()
+    return spark.read.parquet(store).join(asked, same(asked), "left_semi")
 
 
 def rule_responses(x, sample) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, parse
 from ..operators import forecast, prep, votes, windows
+from ..tables import save
 from . import models
 
 STAGES: dict[str, Callable] = {}
@@ -24,6 +25,10 @@ def stage(f: Callable) -> Callable:
     return f
 
 
+#: Frames that several later stages read: run() writes each once.
+SHARED = ("samples", "scaled", "windows", "errors")
+
+
 @stage
 def time_segments_aggregate(c, interval=21600, method="mean", source="signals", out="samples"):
     return {out: prep.time_segments_aggregate(c[source], interval, method)}
@@ -72,25 +77,39 @@ def normal_as_string(c, interval=21600, decimal=2, sep=",", space=False):
 def prompt(c, system="", user="", one_shot="", marker="[RESPONSE]", multivariate=False):
     w = c["windows"]
     if multivariate:
-        return {"windows": w.withColumn("prompt", encode.multivariate_prompt(F.col("text"), system, user, marker))}
+        return {"windows": w.withColumn("prompt", encode.multivariate_prompt(F.col("text"), system, user, marker)), "marker": marker}
     if "normal_text" in c:
         w = w.join(c["normal_text"], "signal_id", "left")
-    return {"windows": w.withColumn("prompt", encode.prompt(F.col("text"), system, user, one_shot, F.col("normal") if "normal_text" in c else None, marker))}
+    return {"windows": w.withColumn("prompt", encode.prompt(F.col("text"), system, user, one_shot, F.col("normal") if "normal_text" in c else None, marker)), "marker": marker}
+
+
+@stage
+def normalize(c, source="samples", out="samples"):
+    return {out: prep.normalize(c[source])}
 
 
 @stage
-def forecast_model(c, client=None, samples=1, steps=1, num_dims=1, store=None, **sampling):
+def forecast_model(c, client=None, samples=1, steps=1, num_dims=1, store=None, padding=None, multivariate_allowed_symbols=(), **sampling):
+    """M1, M2. The budget of an answer follows from the prompt's tokens, its values and steps."""
     client = client or models.PersistenceClient(c["sep"], steps, num_dims)
+    if multivariate_allowed_symbols and hasattr(client, "allowed_symbols"):
+        client = replace(client, allowed_symbols=tuple(multivariate_allowed_symbols))
     asked = c["windows"].select("signal_id", "win", "first_index", "text")
-    return {"responses": models.ask(asked, client, store, sampling=models.Sampling(samples=samples, **sampling))}
+    return {"responses": models.ask(asked, client, store, sampling=models.Sampling(samples=samples, **sampling), budget=models.ForecastBudget(steps, c["sep"], padding))}
 
 
 @stage
-def detect_model(c, client=None, samples=1, store=None, extract=False, **sampling):
-    column = "prompt" if "prompt" in c["windows"].columns and client is not None else "text"
-    asked = c["windows"].select("signal_id", "win", "first_index", F.col(column).alias("text"))
-    got = models.ask(asked, client or models.RuleClient(), store, sampling=models.Sampling(samples=samples, **sampling))
-    return {"responses": got.withColumn("response", parse.extract_response(F.col("response"))) if extract and client is not None else got}
+def detect_model(c, client=None, samples=1, store=None, anomalous_percent=0.5, restrict_tokens=None, **sampling):
+    """M3, M4. The model sees the prompt where the pipeline makes one, else the text; of an answer that repeats the prompt, what follows the marker counts."""
+    w, client = c["windows"], client or models.RuleClient()
+    if restrict_tokens is not None and hasattr(client, "restrict_tokens"):
+        client = replace(client, restrict_tokens=restrict_tokens)
+    asked = w.select("signal_id", "win", "first_index", F.col("prompt" if "prompt" in w.columns else "text").alias("text"))
+    got = models.ask(asked, client, store, sampling=models.Sampling(samples=samples, **sampling), budget=models.DetectBudget(anomalous_percent))
+    if "prompt" in w.columns:
+        marker = c.get("marker", "[RESPONSE]")
+        got = got.withColumn("response", F.when(F.col("response").contains(marker), parse.extract_response(F.col("response"), marker)).otherwise(F.col("response")))
+    return {"responses": got}
 
 
 @stage
@@ -171,10 +190,13 @@ def format_anomalies(c, padding_size=50):
     return {"anomalies": votes.format_anomalies(c["idx"], c["scaled"], padding_size)}
 
 
+#: Stages that read a shared frame once and put another in its place.
+REPLACES = {"samples": ("impute", "normalize"), "windows": ("format_as_string", "prompt")}
+
 HEAD = ["time_segments_aggregate", "impute"]
 FORECAST_TAIL = ["aggregate_rolling_window", "regression_errors", "find_anomalies"]
 VOTE_TAIL = ["positions", "find_anomalies_in_windows", "merge_anomalous_sequences", "format_anomalies"]
-DETECT = {"rolling_window_sequences#1": {"window_size": 140, "target_size": 1}, "forecast_model#1": {"samples": 5}, "format_as_integer#1": {"trunc": 1, "errors": "coerce"}, "find_anomalies#1": {"window_size_portion": 0.3, "window_step_size_portion": 0.1, "fixed_threshold": True}}
+DETECT = {"rolling_window_sequences#1": {"window_size": 140, "target_size": 1}, "forecast_model#1": {"steps": 5}, "format_as_integer#1": {"trunc": 1, "errors": "coerce"}, "find_anomalies#1": {"window_size_portion": 0.3, "window_step_size_portion": 0.1, "fixed_threshold": True}}
 VOTE = {"rolling_window_sequences#1": {"window_size": 200, "step_size": 40}, "detect_model#1": {"samples": 10}, "find_anomalies_in_windows#1": {"alpha": 0.4}, "merge_anomalous_sequences#1": {"beta": 0.5}}
 
 
@@ -194,9 +216,9 @@ SPECS = {
     "gpt_detector": _spec(_SCALED, FORECAST_TAIL, DETECT, format_as_string={"space": True}, aggregate_rolling_window={"remove_outliers": True}),
     "mistral_detector": _spec(_SCALED, FORECAST_TAIL, DETECT),
     "mistral_detector_kmeans": _spec(["float2cluster", *_SCALED[1:-1], "cluster2float"], FORECAST_TAIL, DETECT, float2cluster={"n_clusters": 100}),
-    "multivariate_mistral_detector_jsonformat": _spec(_SCALED, FORECAST_TAIL, DETECT, format_as_string={"encoder": "json_format"}),
+    "multivariate_mistral_detector_jsonformat": _spec(_SCALED, FORECAST_TAIL, DETECT, format_as_string={"encoder": "json_format"}, forecast_model={"multivariate_allowed_symbols": ["d", ":", ","]}),
     "gpt_prompter": _spec(_VOTED, VOTE_TAIL, VOTE, format_as_string={"space": True}),
-    "mistral_prompter": _spec(_PROMPTED, VOTE_TAIL, VOTE),
+    "mistral_prompter": _spec(_PROMPTED, VOTE_TAIL, VOTE, detect_model={"restrict_tokens": True}),
     "mistral_prompter_0shot": _spec(_PROMPTED, VOTE_TAIL, VOTE, rolling_window_sequences={"window_size": 100}, detect_model={"samples": 1, "temperature": 0.01}),
     "mistral_prompter_1shot": _spec(["float2scalar", "normal_as_string", *_PROMPTED[1:]], VOTE_TAIL, VOTE, detect_model={"samples": 1, "temperature": 0.01}),
     "mistral_prompter_multivariate_0shot": _spec(_PROMPTED, VOTE_TAIL, VOTE, rolling_window_sequences={"window_size": 100}, prompt={"multivariate": True}, parse_anomaly_response={"interval": True}, detect_model={"samples": 1, "temperature": 0.01}),
@@ -228,12 +250,16 @@ class Pipeline:
         return cls(s)
 
     def run(self, start: int = 0, stop: int | None = None, **inputs: DataFrame) -> dict:
-        """Stages start..stop (all by default) over the context kept from earlier calls and the inputs."""
+        """Stages start..stop (all by default) over the context kept from earlier calls and the inputs. Frames that several stages read are written once (tables.release() deletes them)."""
         self.context |= inputs
         seen: dict[str, int] = {}
         for i, name in enumerate(self.spec["stages"]):
             seen[name] = seen.get(name, 0) + 1
             if i < start or (stop is not None and i > stop):
                 continue
-            self.context |= STAGES[name](self.context, **self.spec["params"].get(f"{name}#{seen[name]}", {}))
+            made = STAGES[name](self.context, **self.spec["params"].get(f"{name}#{seen[name]}", {}))
+            last = i + 1 == len(self.spec["stages"]) or i == stop
+            after = self.spec["stages"][i + 1] if not last else ""
+            # a frame that the next stage replaces isn't worth a table
+            self.context |= {k: save(v, k) if k in SHARED and not last and after not in REPLACES.get(k, ()) else v for k, v in made.items()}
         return self.context

@@ -6,6 +6,7 @@ import ast
 import json
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,22 +48,34 @@ def slice_timestamp(df: DataFrame, start=None, end=None, column: str = "timestam
 
 
 class SignalStore:
-    """Named normal signals under a root that any Hadoop file system serves; the first hit wins."""
+    """Named normal signals under roots that any Hadoop file system serves; the first hit wins.
 
-    def __init__(self, spark: SparkSession, *roots: str):
-        self.spark, self.roots = spark, roots
+    What is found under a later root is copied to the first, the cache, if there is
+    one to write to (cache=True), and comes from there the next time. A file system
+    that isn't installed counts as a miss; any other failure (no permission, no
+    answer) is an error.
+    """
+
+    def __init__(self, spark: SparkSession, *roots: str, cache: bool = False):
+        self.spark, self.roots, self.cache = spark, roots, cache
 
     def resolve(self, name: str) -> str:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        tries = [name] if "/" in name else [f"{r.rstrip('/')}/{name}{tail}.csv" for r in self.roots for tail in ("_normal", "")]
-        for path in tries:
+        tries = [(None, name)] if "/" in name else [(r, f"{r.rstrip('/')}/{name}{tail}.csv") for r in self.roots for tail in ("_normal", "")]
+        for root, path in tries:
             p = jvm.org.apache.hadoop.fs.Path(path)
             try:
-                if p.getFileSystem(conf).exists(p):
-                    return path
-            except Exception as e:  # a file system that isn't there counts as a miss
-                if "UnsupportedFileSystem" not in str(e):
+                fs = p.getFileSystem(conf)
+            except Py4JJavaError as e:
+                if "UnsupportedFileSystem" in str(e.java_exception) or "No FileSystem for scheme" in str(e.java_exception):
                     continue
+                raise
+            if fs.exists(p):
+                if not self.cache or root in (None, self.roots[0]):
+                    return path
+                kept = jvm.org.apache.hadoop.fs.Path(f"{self.roots[0].rstrip('/')}/{p.getName()}")
+                jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, kept.getFileSystem(conf), kept, False, conf)
+                return kept.toString()
         raise FileNotFoundError(f"no signal {name!r} under {self.roots or 'any root'}")
 
     def load(self, name: str, timestamp_column=None, value_column=None, start=None, end=None) -> DataFrame:
@@ -128,7 +141,9 @@ def event_multivariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One signal, one dimension for each event type in order of name."""
     types = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct()
     dims = types.withColumn("dim", F.row_number().over(Window.orderBy("event_type")) - 1)
-    return event_signals(spark, sf_dir).drop("dim").join(F.broadcast(dims.withColumnRenamed("event_type", "signal_id")), "signal_id").select(F.lit("all").alias("signal_id"), "ts", "dim", "value")
+    # the id hangs on a column: joins on a literal would fold to cross joins
+    name = F.concat(F.lit("all"), F.substring("signal_id", 1, 0)).alias("signal_id")
+    return event_signals(spark, sf_dir).drop("dim").join(dims.withColumnRenamed("event_type", "signal_id"), "signal_id").select(name, "ts", "dim", "value")
 
 
 def write_scores(df: DataFrame, path: str) -> None:
