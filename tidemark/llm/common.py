@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,73 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import drop_saved, new_path, release, remove, save, saved_count, shared_dir
+
+__all__ = ["MAP_BITS", "WORD", "batch", "documents", "drop_saved", "lower_ascii", "map_arrow", "may_hold", "new_path", "pieces", "release", "remove", "save", "saved_count", "shared_dir", "text_key", "words"]
+
 #: Words of the contracts: runs of anything but a blank and the five ASCII controls of white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Only on a single machine (a local master, as in tests) may it be unset: a temporary folder then takes its place for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; the master is {master}")
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Tables saved in this process and not deleted yet, oldest first.
-_SAVED: list[tuple[SparkSession, str]] = []
-
-
-def save(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df once to the shared folder and goes on from there: a lost executor costs no more than a read. See release()."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    _SAVED.append((spark, path))
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved = path
-    return out
-
-
-def drop_saved(*frames: DataFrame) -> None:
-    """Deletes saved tables that nothing lazy reads any more."""
-    for df in frames:
-        if path := getattr(df, "_saved", None):
-            _SAVED[:] = [x for x in _SAVED if x[1] != path]
-            remove(df.sparkSession, path)
-
-
-def saved_count() -> int:
-    return len(_SAVED)
-
-
-def release(since: int = 0, *keep: DataFrame) -> None:
-    """Deletes what was saved after so many tables, but for keep: to be called when the results that read it have been consumed. It happens anyway when the process ends."""
-    stay = {getattr(df, "_saved", None) for df in keep}
-    gone = [x for x in _SAVED[since:] if x[1] not in stay]
-    _SAVED[:] = [x for x in _SAVED if x not in gone]
-    for spark, path in gone:
-        remove(spark, path)
-
-
-@atexit.register
-def _at_exit() -> None:
-    with contextlib.suppress(Exception):  # the JVM may have gone first
-        release()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Bits of the map that a few keys are looked up in.
 MAP_BITS = 1 << 22
 
