@@ -173,3 +173,40 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.csv").write_text('dataset,signals\nx,"[\'a\', \'b\']"\n')
     assert S.read_catalog(spark, str(tmp_path / "c.csv")) == {"x": ["a", "b"]}
     assert S.synthetic_multivariate(spark).count() == 25
+
+
+def test_missing_errors_keep_their_positions(spark):
+    rows = [("s", 10 * i, 100.0 if i == 30 else float("nan") if i < 10 else 1.0 + i % 2) for i in range(60)]
+    got = forecast.find_anomalies(spark.createDataFrame(rows, "signal_id string, ts long, error double"), 1.0, 1.0, True, 2, 4.0).collect()
+    assert [(r.start, r.end) for r in got] == [(280, 320)]
+
+
+def test_confusion_matches_every_pair(spark):
+    r = np.random.default_rng(5)
+    side = lambda n: [(f"s{r.integers(3)}", int(a), int(a + r.integers(0, 9))) for a in r.integers(0, 120, n)]
+    t, p = side(40), side(30)
+    df = lambda x: spark.createDataFrame(x, "signal_id string, start long, end long")
+    meets = lambda a, b: a[0] == b[0] and a[1] <= b[2] and b[1] <= a[2]
+    got = {x.signal_id: (x.tp, x.fp, x.fn) for x in evaluate.contextual_confusion(df(t), df(p)).collect()}
+    for s in got:
+        mine, theirs = [x for x in t if x[0] == s], [x for x in p if x[0] == s]
+        tp = sum(any(meets(a, b) for b in theirs) for a in mine)
+        assert got[s] == (tp, sum(not any(meets(a, b) for a in mine) for b in theirs), len(mine) - tp)
+
+
+def test_kmeans_weighs_values_by_their_counts():
+    v, n = np.array([0.0, 1.0, 10.0, 11.0, 30.0]), np.array([1, 9, 5, 5, 1])
+    whole = prep.kmeans_1d(np.repeat(v, n), 3)
+    assert np.allclose(prep.kmeans_1d(v, 3, counts=n), whole) and np.allclose(whole, [0.9, 10.5, 30])
+
+
+def test_a_signal_is_copied_to_the_cache(spark, tmp_path):
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far" / "x_normal.csv").write_text("timestamp,value\n1,2\n3,4\n")
+    store = S.SignalStore(spark, str(tmp_path / "near"), str(tmp_path / "far"), cache=True)
+    assert store.load("x").count() == 2 and (tmp_path / "near" / "x_normal.csv").exists()
+    (tmp_path / "far" / "x_normal.csv").unlink()
+    assert store.load("x").count() == 2
+    assert S.SignalStore(spark, "nosuchscheme://a/b", str(tmp_path / "near")).load("x").count() == 2
+    with pytest.raises(FileNotFoundError):
+        store.resolve("y")

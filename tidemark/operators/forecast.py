@@ -88,11 +88,12 @@ def _runs(flagged: DataFrame, padding: int) -> DataFrame:
 def find_anomalies(errors: DataFrame, window_size_portion: float = 0.33, window_step_size_portion: float = 0.1, fixed_threshold: bool = True, anomaly_padding: int = 50, k: float = 4.0, z_range: tuple[float, float, float] = (2.0, 10.0, 0.5), min_percent: float = 0.1) -> DataFrame:
     """(signal_id, ts, error) -> (signal_id, start, end, severity) in ts.
 
+    A missing error (NaN, NULL) keeps its position but counts for nothing.
     fixed: an error over mean + k deviations of its window. Else the threshold with
     the best gain in mean and deviation for what it flags, and runs pruned by the
     drop of their peaks.
     """
-    e = _windowed(errors.filter(~_gone(F.col("error"))), window_size_portion, window_step_size_portion)
+    e = _windowed(errors, window_size_portion, window_step_size_portion).filter(~_gone(F.col("error")))
     if fixed_threshold:
         per = Window.partitionBy("signal_id", "_win")
         e = e.withColumn("_mean", F.avg("error").over(per)).withColumn("_std", F.stddev_pop("error").over(per)).withColumn("_thr", F.col("_mean") + F.lit(k) * F.col("_std"))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..tables import save
 
-#: Characters of a token where a client can't count; tokens of an answer without a budget; the bias of tokens that a value may have.
-CHARACTERS, TOKENS, BIAS = 4, 256, 30
+#: Tokens of an answer without a budget; the bias of tokens that a value may have.
+TOKENS, BIAS = 256, 30
 
 
 @dataclass
@@ -58,7 +58,7 @@ class PersistenceClient:
 
 @dataclass
 class RuleClient:
-    """Names the values in the top tenths of a window's range; sample s takes s + 1 twentieths.
+    """Names the values in the top tenths of a window's range; sample s takes s + 1 twentieths. An example before an empty line isn't part of the window.
 
     With num_dims, the prompt is what follows its user part, and the answer is a
     range: the positions between the first dimension's highest values.
@@ -76,7 +76,7 @@ class RuleClient:
                 hits = [[i for i, x in enumerate(v) if x >= cut] for cut in cuts]
                 out.append([f"[[{h[0]}, {h[-1]}]]" for h in hits] or ["no anomalies"] * sampling.samples)
                 continue
-            v = [int(x) for x in re.findall(r"-?\d+", p.replace(" ", ""))]
+            v = [int(x) for x in re.findall(r"-?\d+", p.rsplit("\n\n", 1)[-1].replace(" ", ""))]
             top, low = max(v, default=0), min(v, default=0)
             named = [sorted({x for x in v if x >= top - (top - low) * (s + 1) // 20}) if top > low else [] for s in range(sampling.samples)]
             out.append([f"Answer: [{', '.join(map(str, n))}]" if n else "no anomalies" for n in named])
@@ -100,7 +100,7 @@ class HttpChatClient:
     user and system are the templates of a request: the user's part, the text and the
     separator stand side by side with blanks between. Without chat the text and the
     separator are all of it, and logit_bias favours the tokens that a value may have.
-    encode counts tokens; without one, a token is taken as so many characters.
+    encode counts tokens; without one, each character is taken as a token, so that no answer is cut.
     """
 
     url: str
@@ -116,7 +116,7 @@ class HttpChatClient:
     padding: float = 0
 
     def count(self, text: str) -> int:
-        return len(self.encode(text)) if self.encode else -(-len(text) // CHARACTERS)
+        return len(self.encode(text)) if self.encode else len(text)
 
     @classmethod
     def for_values(cls, url: str, model: str, encode: Callable[[str], list[int]], sep: str = ",", bias: float = BIAS, **more) -> HttpChatClient:
@@ -203,7 +203,7 @@ def detect_budget(tokens: int, anomalous_percent: float) -> int:
 
 
 def count_tokens(client: ModelClient, text: str) -> int:
-    return client.count(text) if hasattr(client, "count") else -(-len(text) // CHARACTERS)
+    return client.count(text) if hasattr(client, "count") else len(text)
 
 
 @dataclass

@@ -494,7 +494,7 @@ sq AS (SELECT signal_id, greatest(min(i) - {pad}, 0) AS start, least(max(i) + {p
 anomalies AS (SELECT m.signal_id, a.ts AS start, b.ts AS "end", round(m.severity, 6) AS severity FROM mg m JOIN o a ON a.signal_id = m.signal_id AND a.i = m.start JOIN o b ON b.signal_id = m.signal_id AND b.i = m."end")"""
 
 
-DETECT = {"rolling_window_sequences": {"window_size": FW}, "forecast_model": {"samples": 1}, "find_anomalies": {"k": 2.0, "anomaly_padding": 2}}
+DETECT = {"rolling_window_sequences": {"window_size": FW}, "find_anomalies": {"k": 2.0, "anomaly_padding": 2}}
 
 
 def _detect(spark, d, spec="mistral_detector", multi=False, **more):
@@ -506,7 +506,8 @@ def regression_errors(spark, d):
     return _detect(spark, d)["errors"].select("signal_id", "position", "ts", F.round("error", 6).alias("error"))
 
 
-@query()
+@query(f"""WITH {PERSIST}, ord AS (SELECT signal_id, ts, error, row_number() OVER (PARTITION BY signal_id ORDER BY ts) AS i, 1 - 2.0::DOUBLE / (greatest(1, floor(0.05::DOUBLE * count(*) OVER (PARTITION BY signal_id))) + 1) AS keep FROM err)
+SELECT a.signal_id, a.ts, round(sum(b.error * pow(a.keep, a.i - b.i)) / sum(pow(a.keep, a.i - b.i)), 6) AS error FROM ord a JOIN ord b ON a.signal_id = b.signal_id AND b.i <= a.i GROUP BY a.signal_id, a.ts""")
 def ewma_errors(spark, d):
     return forecast.regression_errors(_detect(spark, d)["errors"].drop("error"), True, 0.05).select("signal_id", "ts", F.round("error", 6).alias("error"))
 
@@ -531,9 +532,12 @@ def pipeline_detector_persistence(spark, d):
     return _detect(spark, d)["anomalies"].select("signal_id", "start", "end", F.round("severity", 6).alias("severity"))
 
 
-@query()
+WITHIN_IQR = PERSIST.replace("err AS", "all_err AS") + ", q4 AS (SELECT signal_id, quantile_cont(y_hat, 0.25) AS a, quantile_cont(y_hat, 0.75) AS b FROM all_err GROUP BY 1), err AS (SELECT w.signal_id, w.ts, CASE WHEN y_hat BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) THEN error END AS error FROM all_err w JOIN q4 ON w.signal_id = q4.signal_id)"
+
+
+@query(f'WITH {WITHIN_IQR}, {thresholded()} SELECT signal_id, start, "end", severity FROM anomalies')
 def pipeline_detector_gpt(spark, d):
-    return _detect(spark, d, "gpt_detector")["anomalies"]
+    return _detect(spark, d, "gpt_detector")["anomalies"].select("signal_id", "start", "end", F.round("severity", 6).alias("severity"))
 
 
 @query()
@@ -541,14 +545,24 @@ def pipeline_detector_kmeans(spark, d):
     return _detect(spark, d, "mistral_detector_kmeans", float2cluster={"n_clusters": 30})["anomalies"]
 
 
-@query()
+FIRST_DIM = PERSIST.replace(quantised(), quantised(sig=SIGM)).replace(f"WHERE a.idx >= {FW}", f"WHERE a.idx >= {FW} AND a.dim = 0 AND b.dim = 0")
+
+
+@query(f'WITH {FIRST_DIM}, {thresholded()} SELECT signal_id, start, "end", severity FROM anomalies')
 def pipeline_detector_multivariate(spark, d):
-    return _detect(spark, d, "multivariate_mistral_detector_jsonformat", True, forecast_model={"num_dims": 5})["anomalies"]
+    return _detect(spark, d, "multivariate_mistral_detector_jsonformat", True, forecast_model={"num_dims": 5})["anomalies"].select("signal_id", "start", "end", F.round("severity", 6).alias("severity"))
 
 
-@query()
+@query(f"WITH {PERSIST} SELECT signal_id, idx - {FW} AS position, ts, round(y, 6) AS y, round(y_hat, 6) AS y_hat, round(y - y_hat, 6) AS error FROM err")
 def formatter_harness(spark, d):
-    return harness.run_pipeline(S.event_signals(spark, d), "persistence_control", window_size=FW)
+    return harness.run_pipeline(S.event_signals(spark, d), "persistence_control", window_size=FW).select("signal_id", "position", "ts", *[F.round(c, 6).alias(c) for c in ("y", "y_hat", "error")])
+
+
+@query(f"""WITH {quantised()}, w AS (SELECT signal_id, idx // 5 AS win, idx + {FW} AS at, x, minimum FROM sc WHERE idx % 5 = 0 AND idx + {FW} + 2 < (SELECT max(idx) + 1 FROM sc m WHERE m.signal_id = sc.signal_id)),
+l AS (SELECT w.*, (SELECT x FROM sc b WHERE b.signal_id = w.signal_id AND b.idx = w.at - 1) AS last FROM w)
+SELECT l.signal_id, l.win, step, round(last * 0.01 + l.minimum - sc.value, 6) AS error FROM l JOIN (SELECT unnest([1, 3]) AS step) ON true JOIN sc ON sc.signal_id = l.signal_id AND sc.idx = l.at + step - 1""")
+def formatter_steps_ahead(spark, d):
+    return harness.run_pipeline(S.event_signals(spark, d), "persistence_control", window_size=FW, steps_ahead=[1, 3], stride=5).select("signal_id", "win", "step", F.round("error", 6).alias("error"))
 
 
 VOTE = {"rolling_window_sequences": {"window_size": VW, "step_size": VS}, "detect_model": {"samples": NS}, "find_anomalies_in_windows": {"alpha": 0.6}, "format_anomalies": {"padding_size": 2}}
@@ -567,13 +581,19 @@ def _prompter(spec: str, sql: str | None, normal=False, samples=NS, **more):
 
 P_SQL = f'WITH {PROMPTER} SELECT signal_id, start, "end", severity FROM anomalies'
 _prompter("mistral_prompter", P_SQL)
-_prompter("gpt_prompter", P_SQL, format_as_string={"space": False})
+_prompter("gpt_prompter", P_SQL)
 P1_SQL = P_SQL.replace(f"range(0, {NS})", "range(0, 1)").replace(f"ceil(0.6 * {NS})", "1")
 _prompter("mistral_prompter_0shot", P1_SQL, samples=1)
 _prompter("mistral_prompter_1shot", P1_SQL, normal=True, samples=1)
 
 
-@query()
+SPAN_SQL = f"""{win_sql(VW, VS, sig=SIGM)}, tgt AS (SELECT signal_id, win, first_index, [x[5 * i + 1] FOR i IN range(0, {VW})] AS v FROM win),
+hit AS (SELECT signal_id, first_index, [i FOR i IN range(0, {VW}) IF v[i + 1] >= list_max(v) - (list_max(v) - list_min(v)) // 20] AS h FROM tgt),
+each AS (SELECT signal_id, first_index + unnest(range(h[1], h[-1] + 1)) AS idx FROM hit),
+hits AS (SELECT signal_id, idx FROM each GROUP BY 1, 2 HAVING count(*) >= ceil(0.5 * {VW} / {VS})), {PADDED}, {MERGE.format('p', 'pad', 'anomalies', '0.0::DOUBLE')}"""
+
+
+@query(f'WITH {SPAN_SQL} SELECT signal_id, start, "end", severity FROM anomalies')
 def pipeline_prompter_multivariate(spark, d):
     p = Pipeline.load("mistral_prompter_multivariate_0shot", VOTE | {"detect_model": {"samples": 1, "client": models.RuleClient(num_dims=5)}})
     return p.run(signals=S.event_multivariate(spark, d))["anomalies"].select("signal_id", "start", "end", "severity")
