@@ -6,6 +6,7 @@ import random
 import re
 import threading
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
@@ -264,8 +265,8 @@ def test_languages_of_held_out_documents(spark):
 
 def test_bundles_match_the_definition():
     letters = langid.Letters()
-    (at, counts, codes), = langid.blocks(["Ab ab, 1é"])
-    v = langid.bundle(counts, codes, letters)[0]
+    (at, entries), = langid.blocks(["Ab ab, 1é"])
+    v = langid.bundle(entries, letters)[0]
     text, want = " ab ab é ", np.zeros(langid.DIMS)
     one = lambda c: letters.table(np.array([ord(c)]))[0].astype(int)
     for a, b, c in zip(text, text[1:], text[2:]):
@@ -273,6 +274,28 @@ def test_bundles_match_the_definition():
     assert at == [0] and np.allclose(v, want / np.linalg.norm(want), atol=1e-5)
 
 
+def test_ngrams_in_chunks():
+    text = prose(300, 3) + " 12 日本語 é, " + "ab" * 40 + "  "
+    plain = Counter()
+    c = re.sub(r"[^a-zé日本語]+", " ", f" {text.lower()} ")
+    plain.update(zip(c, c[1:], c[2:]))
+    for chunk in (1 << 20, len(text), 64, 7, 2):
+        codes, counts = langid.ngrams(text, chunk)
+        assert {tuple(chr(x >> s & 0x1FFFFF) for s in (42, 21, 0)): n for x, n in zip(codes.tolist(), counts.tolist())} == plain
+    assert len(langid.ngrams("")[0]) == 0 == len(langid.ngrams(" 1 ")[0])
+
+
+def test_texts_of_many_letters_take_little_memory():
+    r = np.random.default_rng(1)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9FA5, 1500))) for _ in range(256)]
+    tracemalloc.start()
+    for _, entries in langid.blocks(texts):
+        langid.bundle(entries, langid.Letters(64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+
+
 def test_language_edges(docs, empty):
     p = langid.learn(docs)
     got = langid.predict(docs, p).collect()
@@ -436,15 +459,16 @@ def plain_minima(p, w):
 def test_window_minima_are_rightmost(spark, k, w):
     text = "a b a b a b c a b a b a b d " * 3
     row = spark.createDataFrame([(text,)], "text string")
-    got = winnow.with_fingerprint(row, "text", "fp", k, w).first().fp
+    found = winnow.with_fingerprint(row, "text", "fp", k, w).first()
     t = text.split()
     grams = winnow.with_rolled(row.withColumn("t", F.transform(winnow.tokens(F.col("text")), lambda x: F.xxhash64(x))), "t", "h", k).first().h
     same = {}
     assert len(grams) == len(t) - k + 1
     assert all(same.setdefault(tuple(t[i : i + k]), h) == h for i, h in enumerate(grams)) and len(set(grams)) == len(same)
     top = (1 << winnow.PLACE) - 1
-    assert got == plain_minima([(h >> winnow.PLACE << winnow.PLACE) | (top - i) for i, h in enumerate(grams)], w)
-    places = [top - (p & top) for p in got]
+    want = plain_minima([(h >> winnow.PLACE << winnow.PLACE) | (top - i) for i, h in enumerate(grams)], w)
+    places = found.fp_at
+    assert places == [top - (p & top) for p in want] and found.fp == [grams[p] for p in places]
     assert places == sorted(places) and all(b - a <= w for a, b in zip(places, places[1:]))
 
 
@@ -468,6 +492,33 @@ def test_next_document_and_edit(spark, docs, empty, monkeypatch):
         assert got[i].fp is not None and 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
     assert got[1 + TEXTS.index(LONG)].fp == got[TEXTS.index(LONG)].fp and got[1 + TEXTS.index(LONG)].near_next == 1
     assert winnow.compare_with_next(docs).count() == N and winnow.compare_with_next(empty).count() == 0
+    odd = winnow.fingerprint(docs.withColumns({n: F.lit(n) for n in ("_text", "_fp", "fp", "hashes", "row")}))
+    assert odd.first().fp == "fp" and isinstance(odd.first().hashes, list) and odd.count() == N
+
+
+def test_one_id_of_many_rows_is_divided(spark, monkeypatch):
+    """Half of the rows have one id, others none: ranges stay small, and every row meets the next one in order."""
+    monkeypatch.setattr(winnow, "RANGE", 20)
+    rows = [(7, prose(20, i)) for i in range(200)] + [(None, prose(20, 300 + i)) for i in range(100)] + [(i, prose(20, 500 + i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seated = winnow.seat(df)
+    assert max(r["count"] for r in seated.groupBy("_range").count().collect()) <= 60 and seated.filter("_guest = 1").count() == seated.select("_range").distinct().count()
+    got = winnow.follow(seated, ["text"]).collect()
+    keys = {r.text: r.k for r in df.select("text", winnow.text_key().alias("k")).collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], keys[r[1]]), reverse=True)
+    follows = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    assert len(got) == 400 and all(r.next.text == follows[r.text] for r in got)
+
+
+def test_token_ranges_divide_one_id(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "RANGE", 20)
+    rows = [(7, prose(20, i)) for i in range(200)] + [(None, prose(20, 300 + i)) for i in range(100)] + [(i, prose(20, 500 + i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", tokens.text_key())
+    bounds = tokens.ranges(df)
+    ids, keys = (np.array(x, np.int64) for x in zip(*[(tokens.NONE if r.doc_id is None else r.doc_id, r.k) for r in df.collect()]))
+    at = tokens.bucket_of(bounds, ids, keys)
+    plain = [sum((int(a), int(b)) < (i, k) for a, b in bounds) for i, k in zip(ids.tolist(), keys.tolist())]
+    assert at.tolist() == plain and np.bincount(at).max() <= 60
 
 
 # --- 6 -------------------------------------------------------------------------------------------
@@ -755,7 +806,7 @@ def test_tiers(spark, tmp_path):
 
 # --- 10 ------------------------------------------------------------------------------------------
 
-def plain_repeats(rows, least):
+def plain_repeats(rows, least, rank=lambda d, t: d):
     """Spans by their words, first places, and covered sentences, without hashes."""
     seen, per = {}, {}
     for d, t in rows:
@@ -764,21 +815,15 @@ def plain_repeats(rows, least):
         n, found = len(s), set()
         for i in range(n):
             for j in range(i + 1, n + 1):
-                if sum(map(len, s[i:j])) >= least:
-                    found.add((i, j))
-                    break
-        for j in range(n, 0, -1):
-            for i in range(j - 1, -1, -1):
-                if sum(map(len, s[i:j])) >= least:
-                    found.add((i, j))
-                    break
-        per[d] = {p: tuple(map(tuple, s[p[0] : p[1]])) for p in found}
-        for p, k in per[d].items():
-            seen.setdefault(k, []).append((d, p[0]))
+                if j > i + 1 and sum(map(len, s[i:j])) >= least or j == i + 1 and len(s[i]) >= 2 * least:
+                    found.add((i, j))  # every run, not the shortest only
+        per[d, t] = {p: tuple(map(tuple, s[p[0] : p[1]])) for p in found}
+        for p, k in per[d, t].items():
+            seen.setdefault(k, []).append((rank(d, t), p[0]))
     out = {}
-    for d, found in per.items():
-        gone = {x for p, k in found.items() if min(seen[k]) != (d, p[0]) for x in range(*p)}
-        out[d] = len(gone)
+    for (d, t), found in per.items():
+        gone = {x for p, k in found.items() if min(seen[k]) != (rank(d, t), p[0]) for x in range(*p)}
+        out[d, t] = len(gone)
     return out
 
 
@@ -786,11 +831,31 @@ def test_repeated_passages_go(spark):
     passage = ". ".join(prose(10, 700 + i).replace(".", "") for i in range(6)) + "."
     rows = [(i, f"{prose(60, 300 + i)}. {passage} {prose(40, 400 + i)}.") for i in range(6)] + [(50 + i, prose(150, 800 + i)) for i in range(6)] + [(90, "\n".join(["one two three four five"] * 12))]
     got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {d: r.n_removed for d, r in got.items()} == plain_repeats(rows, spans.WORDS)
+    assert {(d, dict(rows)[d]): r.n_removed for d, r in got.items()} == plain_repeats(rows, spans.WORDS)
     assert passage in got[0].text and all(passage not in got[i].text and got[i].n_removed >= 6 for i in range(1, 6))
     assert all(got[50 + i].n_removed == 0 and got[50 + i].text == dict(rows)[50 + i] for i in range(6))
 
 
+def test_spans_match_every_run(spark):
+    """Random texts of few sentences: what goes is what a hash of every run would take. Ids repeat or are missing."""
+    r = random.Random(6)
+    pool = [" ".join(r.choice(VOCAB) for _ in range(r.choice([1, 4, 9, 24, 30, 60]))) + "." for _ in range(40)]
+    texts = {" ".join(r.choice(pool) for _ in range(r.randint(1, 9))) for _ in range(80)}
+    rows = [(r.choice([None, 1, 2, 3, 4 + i]), t) for i, t in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = {x.text: x.k for x in df.select("text", spans.text_key().alias("k")).collect()}
+    want = plain_repeats(rows, spans.WORDS, lambda d, t: (d is None, d or 0, keys[t]))
+    got = Counter((x.doc_id, x.n_removed) for x in spans.remove_repeats(df).collect())
+    assert got == Counter((d, n) for (d, _), n in want.items()) and sum(want.values()) > 30
+
+
+def test_a_passage_under_one_id_or_none_goes(spark):
+    passage = "one two three four five six seven eight nine ten. " * 3
+    for ids in ((1, 1), (None, None)):
+        df = spark.createDataFrame([(ids[0], passage + prose(9, 1)), (ids[1], prose(9, 2) + " and so. " + passage)], "doc_id long, text string")
+        assert sorted(r.n_removed for r in spans.remove_repeats(df).collect())[1] >= 3
+
+
 def test_span_edges(docs, empty):
     rows = spans.remove_repeats(docs).collect()
     assert len(rows) == N and spans.remove_repeats(empty).count() == 0

@@ -37,13 +37,22 @@ class Letters:
         return np.stack([self.rows[self.at[c]] for c in points.tolist()])
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes (three code points in 63 bits) of letter n-grams; every run of other characters is one blank."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters(c)
-    keep = letter | np.concatenate([[True], letter[:-1]])  # the first of a run of blanks
-    c = np.where(letter, c, 32)[keep].astype(np.int64)
-    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) >= N else np.zeros(0, np.int64)
+def ngrams(text: str, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (three code points in 63 bits) of the different letter n-grams and their counts; every run of other characters is one blank, as are both ends. Long texts are read in chunks."""
+    codes, counts, tail = [], [], np.array([32], np.int64)
+    for lo in range(0, len(text) + 1, chunk):
+        part = text[lo : lo + chunk].lower()
+        c = np.frombuffer((part if lo + chunk <= len(text) else part + " ").encode("utf-32-le", "replace"), np.uint32)
+        c = np.concatenate([tail, np.where(_letters(c), c, 32)])
+        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]  # the first of a run of blanks
+        i, n = np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
+        codes.append(i)
+        counts.append(n)
+        tail = c[-2:]
+    if len(codes) == 1:
+        return codes[0], counts[0]
+    i, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return i, np.bincount(at, np.concatenate(counts), len(i)).astype(np.int64)
 
 
 _IS = np.zeros(0x110000 // 8 + 1, np.uint8)
@@ -69,25 +78,39 @@ def gram_vectors(codes: np.ndarray, letters: Letters) -> np.ndarray:
 
 
 def blocks(texts: list[str | None]):
-    """(positions, counts by n-gram, codes): documents of about BLOCK characters at a time."""
+    """Positions, and what bundle() takes, for documents of about BLOCK characters at a time (or one that is longer)."""
     at, size = [], 0
     for i, t in enumerate(texts):
         at.append(i)
         size += len(t or "")
         if size > BLOCK or len(at) >= 256 or i == len(texts) - 1:
             grams = [ngrams(texts[j] or "") for j in at]
-            codes, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            row = np.repeat(np.arange(len(at)), [len(g) for g in grams])
-            counts = np.bincount(row * len(codes) + inverse, minlength=len(at) * len(codes)).reshape(len(at), -1) if len(codes) else np.zeros((len(at), 0))
-            yield at, counts.astype(np.float32), codes
+            row = np.repeat(np.arange(len(at)), [len(g) for g, _ in grams])
+            yield at, (len(at), row, np.concatenate([g for g, _ in grams]), np.concatenate([n for _, n in grams]))
             at, size = [], 0
 
 
-def bundle(counts: np.ndarray, codes: np.ndarray, letters: Letters) -> np.ndarray:
-    """Unit document vectors: the sum of n-gram vectors by count, made in slices of n-grams."""
-    out = np.zeros((len(counts), letters.dims), np.float32)
-    for lo in range(0, len(codes), 4096):
-        out += counts[:, lo : lo + 4096] @ gram_vectors(codes[lo : lo + 4096], letters).astype(np.float32)
+#: Different n-grams whose vectors are made at a time.
+SLICE = 4096
+
+
+def bundle(docs: tuple[int, np.ndarray, np.ndarray, np.ndarray], letters: Letters) -> np.ndarray:
+    """Unit document vectors: the sum of n-gram vectors by count. docs: their number, and document, code and count of each entry.
+
+    Only a slice of n-grams at a time has a column for each of the block's documents,
+    so memory goes by the entries, however many n-grams differ.
+    """
+    size, row, code, count = docs
+    out = np.zeros((size, letters.dims), np.float32)
+    codes, at = np.unique(code, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    row, at, count = row[order], at[order], count[order]
+    for lo in range(0, len(codes), SLICE):
+        a, b = np.searchsorted(at, [lo, lo + SLICE])
+        part = codes[lo : lo + SLICE]
+        dense = np.zeros((size, len(part)), np.float32)
+        dense[row[a:b], at[a:b] - lo] = count[a:b]
+        out += dense @ gram_vectors(part, letters).astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
@@ -113,8 +136,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
         letters, sums = Letters(), {}
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            for at, counts, codes in blocks(texts):
-                for i, v in zip(at, bundle(counts, codes, letters), strict=True):
+            for at, entries in blocks(texts):
+                for i, v in zip(at, bundle(entries, letters), strict=True):
                     sums.setdefault(langs[i], np.zeros(DIMS))
                     sums[langs[i]] += v
         for lang, v in sums.items():
@@ -146,8 +169,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keys: tuple[str,
             for part in pieces(b):
                 texts = part.column("text").to_pylist()
                 pred, score = [UND] * len(texts), [0.0] * len(texts)
-                for at, counts, codes in blocks(texts) if p is not None else ():
-                    cos = bundle(counts, codes, letters) @ p.T
+                for at, entries in blocks(texts) if p is not None else ():
+                    cos = bundle(entries, letters) @ p.T
                     e = np.exp(SHARP * (cos - cos.max(1, keepdims=True)))
                     e /= e.sum(1, keepdims=True)
                     best = cos.argmax(1)

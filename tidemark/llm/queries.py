@@ -31,7 +31,7 @@ def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 def op5_winnowing(spark: SparkSession, d: str) -> DataFrame:
     out = winnow.compare_with_next(documents(spark, d))
-    return out.select("doc_id", "n_chars", "edited_sha256", winnow.digest(F.col("fp")).alias("fingerprint"), winnow.digest(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", winnow.digest(F.col("fp"), F.col("fp_at")).alias("fingerprint"), winnow.digest(F.col("edited_fp"), F.col("edited_fp_at")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,11 @@
-"""Substring deduplication by sliding spans of sentences."""
+"""Substring deduplication by sliding spans of sentences.
+
+A span is a run of several consecutive sentences with WORDS words at least, or a single
+sentence of ALONE words. Only the shortest spans from, and up to, each sentence are
+hashed: two texts that share a longer run share its shortest ones, which cover it, so
+what goes is the same as with a hash of every run. Runs of fewer words stay, as do
+copies of texts that have fewer in all: short phrases recur in unrelated texts.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, drop_saved, map_arrow, pieces, save, text_key
+from .common import batch, drop_saved, map_arrow, may_hold, pieces, save, text_key
 
 #: A sentence ends after . ! or ? before white space, or at a newline.
 CUT = re.compile(r"(?<=[.!?])\s+|\n\s*")
-#: A span is the shortest run of sentences from (or up to) a sentence with so many words: several sentences, or a single long one.
-WORDS = 25
+#: Words of a run of two sentences or more; words of a single sentence.
+WORDS, ALONE = 25, 50
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -48,25 +55,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def span_hashes(text: str, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def span_hashes(text: str, least: int = WORDS, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes, first and last (exclusive) sentence of every span. Case and white space don't count."""
     none = (np.zeros(0, np.int64),) * 4
     cuts = sentences(text)
     split = [text[a:b].lower().split() for a, b in cuts]
     size = np.array([len(s) for s in split], np.int64)
-    if size.sum() < least:
+    if size.sum() < min(least, alone):
         return none
     h = np.array([xxhash.xxh3_64_intdigest(" ".join(s)) for s in split], np.uint64)
     upto = np.concatenate([[0], np.cumsum(size)])
     n = len(cuts)
-    # forward from i: the first j with upto[j] - upto[i] >= least; backward to j: the last such i
-    i = np.arange(n)
-    j = np.searchsorted(upto, upto[:-1] + least, side="left")
-    f = j <= n
-    k = np.arange(1, n + 1)
-    b = np.searchsorted(upto, upto[1:] - least, side="right") - 1
-    g = b >= 0
-    pairs = np.unique(np.concatenate([i[f] * (n + 1) + j[f], b[g] * (n + 1) + k[g]]))
+    # forward from i: the first j with upto[j] - upto[i] >= least; backward to k: the last such i; two sentences at least
+    i, k = np.arange(n), np.arange(1, n + 1)
+    j = np.maximum(np.searchsorted(upto, upto[:-1] + least, side="left"), i + 2)
+    b = np.minimum(np.searchsorted(upto, upto[1:] - least, side="right") - 1, k - 2)
+    one = i[size >= alone]
+    pairs = np.unique(np.concatenate([i[j <= n] * (n + 1) + j[j <= n], b[b >= 0] * (n + 1) + k[b >= 0], one * (n + 1) + one + 1]))
     first, last = pairs // (n + 1), pairs % (n + 1)
     one, two = (mixed(_rolling(mixed(h + s), base, first, last) + (last - first).astype(np.uint64)) for base, s in ((B1, np.uint64(1)), (B2, np.uint64(2))))
     return one.view(np.int64), (two >> np.uint64(33)).astype(np.int64), first, last
@@ -107,15 +112,15 @@ def repeated(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """doc_id, _key, covered: ranges of sentences that lie in a span which is not the first of its kind.
 
     The first is the earliest in the document with the least doc_id (null ids count
-    as the greatest); rows of one doc_id count as one document. A span's count and
-    least doc_id are combined before the shuffle, so one passage in a third of all
-    documents is a row from each task; only spans that repeat are joined back, and the
-    skew join splits a hot one.
+    as the greatest), then the least key of the text; rows that agree in both are one
+    document. A span's count and first document are combined before the shuffle, so
+    one passage in a third of all documents is a row from each task; only spans that
+    repeat are joined back, and the skew join splits a hot one.
     """
     spans = save(all_spans(docs, least), "spans")
-    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
-    seen = save(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(rank).alias("least")).filter("c > 1").select("h1", "h2", "least"), "repeated")
-    later = spans.join(seen, ["h1", "h2"]).filter((rank > F.col("least")) | F.col("again"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_key").alias("key"))
+    seen = save(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("least")).filter("c > 1").select("h1", "h2", "least"), "repeated")
+    later = spans.join(seen, ["h1", "h2"]).filter((place > F.col("least")) | F.col("again"))
     out = save(later.select("doc_id", "_key", "first", "last").distinct().groupBy("doc_id", "_key").agg(F.collect_list(F.struct("first", "last")).alias("covered")), "covered")
     drop_saved(spans, seen)
     return out
@@ -139,9 +144,11 @@ def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
 
 
 def remove_repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
-    """doc_id, n_sentences, n_removed, text for every row. A null text stays null and has no sentences; rows that agree in doc_id and text count as one document."""
+    """doc_id, n_sentences, n_removed, text for every row. A null text stays null and has no sentences; rows that agree in doc_id and text count as one document. Only texts that may lose sentences are shuffled."""
     cover = repeated(docs, least).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
-    met = docs.select("doc_id", "text", text_key().alias("_key")).join(cover, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    asked = may_hold(docs.select("doc_id", "text", text_key().alias("_key")), F.col("_key"), cover.select("_k"), "_may")
+    met = asked.filter("_may").join(cover, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    clean = asked.filter("NOT _may").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("covered"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def run(batches):
@@ -153,4 +160,4 @@ def remove_repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
                     rows.append((d, n, gone, new))
                 yield batch(schema, *zip(*rows, strict=True))
 
-    return map_arrow(met.select("doc_id", "text", "covered"), run, "doc_id long, n_sentences long, n_removed long, text string")
+    return map_arrow(met.select("doc_id", "text", "covered").unionByName(clean), run, "doc_id long, n_sentences long, n_removed long, text string")

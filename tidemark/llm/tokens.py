@@ -8,6 +8,7 @@ import string
 import zlib
 from array import array
 from codecs import charmap_decode
+from collections import Counter
 from operator import attrgetter
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, drop_saved, map_arrow, pieces, save
+from .common import batch, drop_saved, map_arrow, pieces, save, text_key
 
 END = 0
 SPECIAL = "<|endoftext|>"
@@ -231,15 +232,15 @@ class Codec:
             out[word[first]] = np.bitwise_or.reduceat(high, first)
             over = np.flatnonzero(left < 0)  # at most one code spills into each word
             out[word[over] + 1] |= code[over] << (64 + left[over]).astype(np.uint64)
-        return out.astype(">u8").tobytes()[: (total + 7) // 8], start[::STEP].astype(np.uint32)
+        return out.astype(">u8").tobytes()[: (total + 7) // 8], start[::STEP].astype(np.uint32 if total < 1 << 32 else np.uint64)
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
-        """All stretches between checkpoints at once, a token of each at a step."""
+        """All stretches between checkpoints (32 or 64 bits wide) at once, a token of each at a step."""
         table = self.table
         raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
         # 32 bits from every byte on: a window of up to 25 bits at any bit
         wide = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-        pos, out = checkpoints.astype(np.uint32), np.zeros((STEP, len(checkpoints)), np.int32)
+        pos, out = checkpoints.copy(), np.zeros((STEP, len(checkpoints)), np.int32)
         shift, mask = np.uint32(32 - self.longest), np.uint32((1 << self.longest) - 1)
         for j in range(min(STEP, n)):
             got = table.take((wide.take(pos >> 3, mode="clip") >> (shift - (pos & 7))) & mask)
@@ -248,6 +249,11 @@ class Codec:
         return out.T.ravel()[:n]
 
 
+def checkpoints_of(raw: bytes, n: int) -> np.ndarray:
+    """Of a block of n tokens: 64 bits each where a block has more than 2^32 of them."""
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * -(-n // STEP) else np.uint64)
+
+
 def token_counts(placed_: DataFrame) -> DataFrame:
     """(id, n) from the rows of COUNTS that placed() adds: one from each task, already added up."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
@@ -279,28 +285,49 @@ RANGE, RANGES = 4000, 16_384
 FILE = "bucket int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, checkpoints binary, payload binary"
 
 
-def ranges(docs: DataFrame) -> list[int]:
-    """Bounds of ranges of doc_id at quantiles over all ids; ids up to a bound belong to its range."""
+def ranges(docs: DataFrame) -> np.ndarray:
+    """Bounds (id, text key) of ranges at quantiles over all ids, null as the least; rows up to a bound belong to its range.
+
+    An id that is several of the quantiles holds as many ranges' rows and is divided
+    evenly by the key of the text, which is a hash.
+    """
     n = docs.count()
     parts = min(RANGES, max(1, n // RANGE))
-    cuts = docs.filter("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [1.0], max(10_000, parts * 20))).first()[0] if parts > 1 else []
-    return sorted(set(cuts or []))
+    key = F.coalesce("doc_id", F.lit(NONE))
+    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [1.0], max(10_000, parts * 20))).first()[0] if parts > 1 else []
+    out = []
+    for k, times in sorted(Counter(cuts or []).items()):
+        out += [(k, NONE + j * (2**64 // times)) for j in range(1, times)] + [(k, 2**63 - 1)]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+#: Stands for a null id, in the order of ids.
+NONE = -(2**63)
+
+
+def bucket_of(bounds: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many bounds lie below each (id, key)."""
+    at = np.searchsorted(bounds[:, 0], ids, side="left")
+    several = bounds[:-1][bounds[1:, 0] == bounds[:-1, 0], 0]
+    for k in np.unique(several[np.isin(several, ids)]):  # divided ids
+        rows, own = ids == k, bounds[bounds[:, 0] == k, 1]
+        at[rows] += np.searchsorted(own, keys[rows], side="left")
+    return at.astype(np.int32)
 
 
-def tokenized(docs: DataFrame, path: str, bounds: list[int], kind: str) -> DataFrame:
-    """(bucket, doc_id, ids) with the end id; null ids go before all others."""
-    schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
-    cuts = np.array(bounds, np.int64)
+def tokenized(docs: DataFrame, path: str, bounds: np.ndarray, kind: str) -> DataFrame:
+    """(bucket, doc_id, _key, ids) with the end id; null ids go before all others."""
+    schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("_key", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         for b in batches:
             for part in pieces(b, 256):
-                d = part.column("doc_id")
-                at = np.searchsorted(cuts, d.fill_null(-(2**63)).to_numpy(), side="left").astype(np.int32)
+                d, key = part.column("doc_id"), part.column("_key")
+                at = bucket_of(bounds, d.fill_null(NONE).to_numpy(), key.to_numpy())
                 raw = encoded(part, path)
-                yield batch(schema, at, d, raw if kind == "<u4" else [np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raw])
+                yield batch(schema, at, d, key, raw if kind == "<u4" else [np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raw])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "bucket int, doc_id long, ids binary")
+    return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, "bucket int, doc_id long, _key long, ids binary")
 
 
 #: Bucket of the rows that hold a task's counts of ids instead of a document.
@@ -337,7 +364,7 @@ def placed(ids: DataFrame, kind: str) -> DataFrame:
         if len(used):
             yield batch(schema, [COUNTS], [0], [0], [None], [used.astype("<u4").tobytes() + total[used].astype("<i8").tobytes()])
 
-    ordered = ids.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = ids.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "_key", "ids").drop("_key")
     return map_arrow(ordered, run, "bucket int, at long, n long, doc_id long, ids binary")
 
 
@@ -347,7 +374,7 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str | None = None) -> None:
     A block holds whole documents of about BLOCK tokens: their ids and token counts,
     the Huffman payload and the bit offset of every STEP-th token. Blocks decode by
     themselves; first is the place of a block's first token in the whole sequence by
-    ascending doc_id. Null doc_ids come first, rows of one id in order of their ids.
+    ascending doc_id. Null doc_ids come first, rows of one id in order of their text's key.
     Spark's commit of the table makes the files appear at once.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
@@ -413,7 +440,7 @@ def decoded(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame
         for b in batches:
             for i in range(b.num_rows):
                 r = {n: b.column(n)[i] for n in ("first", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "payload")}
-                ids = c.decode(r["payload"].as_py(), np.frombuffer(r["checkpoints"].as_py(), np.uint32), r["n_tokens"].as_py()).astype("<u4")
+                ids = c.decode(r["payload"].as_py(), checkpoints_of(r["checkpoints"].as_py(), r["n_tokens"].as_py()), r["n_tokens"].as_py()).astype("<u4")
                 sizes = np.array(r["doc_tokens"].as_py(), np.int64)
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.tobytes())
@@ -428,7 +455,7 @@ def decoded(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame
 def read_from(spark: SparkSession, path: str, block_first: int, skip: int, n: int) -> np.ndarray:
     """n tokens from the skip-th of the block that begins at block_first: only the stretches from the checkpoint before it are decoded."""
     row = spark.read.parquet(f"{path}/blocks").filter(F.col("first") == block_first).select("n_tokens", "checkpoints", "payload").first()
-    check, lo = np.frombuffer(bytes(row["checkpoints"]), np.uint32), skip // STEP
+    check, lo = checkpoints_of(bytes(row["checkpoints"]), row["n_tokens"]), skip // STEP
     hi = min(len(check), (skip + n + STEP - 1) // STEP)
     got = read_codec(spark, path).decode(bytes(row["payload"]), check[lo:hi], min(row["n_tokens"] - lo * STEP, (hi - lo) * STEP))
     return got[skip - lo * STEP :][:n]

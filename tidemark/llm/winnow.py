@@ -8,12 +8,16 @@ WINDOW + K - 1 equal tokens in two texts leaves an equal hash in both.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import save, text_key
+
 K, WINDOW, TOKEN = 5, 8, 16
-#: Low bits of a packed hash that hold the position, counted down so that the least is the rightmost.
-PLACE = 22
+#: Low bits of a packed number that hold the position, counted down so that the least is the rightmost: as many as an array can have places. The hash's high bits stand above them.
+PLACE = 31
 #: Rows that a range of ids holds, about, and ranges at most.
 RANGE, RANGES = 2000, 16_384
 
@@ -48,9 +52,12 @@ def with_rolled(df: DataFrame, tokens_: str, name: str, k: int = K) -> DataFrame
     return df.drop(*temps)
 
 
+_LOW = (1 << PLACE) - 1
+
+
 def packed(hashes: Column) -> Column:
     """High bits of the hash over the position counted down."""
-    return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, PLACE), PLACE).bitwiseOR(F.lit((1 << PLACE) - 1).cast("long") - F.pmod(i.cast("long"), F.lit(1 << PLACE))))
+    return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, PLACE), PLACE).bitwiseOR(F.lit(_LOW).cast("long") - i.cast("long")))
 
 
 def with_minima(df: DataFrame, packed_: str, name: str, window: int = WINDOW) -> DataFrame:
@@ -66,83 +73,88 @@ def with_minima(df: DataFrame, packed_: str, name: str, window: int = WINDOW) ->
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Adds name: array<bigint> of packed hashes and positions, in order. A text of fewer than k tokens is hashed whole; one without tokens has none.
+    """Adds name, array<bigint> of the chosen hashes in order, and name_at, their token positions. A text of fewer than k tokens is hashed whole; one without tokens has none.
 
     Each step is a column of its own, so that none is worked out twice.
     """
-    t, r, h, g = (f"_{name}_{x}" for x in "trhg")
+    t, r, h, g, m = (f"_{name}_{x}" for x in "trhgm")
     df = df.withColumn(t, F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w)))
     df = with_rolled(df, t, r, k)
     df = df.withColumn(h, F.when(F.size(t) >= k, F.col(r)).when(F.size(t) > 0, F.array(F.xxhash64(t))).otherwise(F.array().cast("array<bigint>")))
-    return with_minima(df.withColumn(g, packed(F.col(h))), g, name, window).drop(t, r, h, g)
-
+    df = with_minima(df.withColumn(g, packed(F.col(h))), g, m, window)
+    df = df.withColumn(f"{name}_at", F.transform(m, lambda p: (F.lit(_LOW).cast("long") - p.bitwiseAND(F.lit(_LOW).cast("long"))).cast("int")))
+    return df.withColumn(name, F.transform(f"{name}_at", lambda p: F.get(F.col(h), p))).drop(t, r, h, g, m)
 
-def hashes_of(fp: Column) -> Column:
-    return F.transform(fp, lambda p: F.shiftright(p, PLACE))
 
-
-def positions_of(fp: Column) -> Column:
-    """Token positions (modulo 2^22)."""
-    return F.transform(fp, lambda p: F.lit((1 << PLACE) - 1).cast("long") - p.bitwiseAND(F.lit((1 << PLACE) - 1).cast("long")))
-
-
-def digest(fp: Column) -> Column:
+def digest(hashes: Column, positions: Column) -> Column:
     """A short name of a fingerprint, hashes and positions."""
-    return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(fp)), 16, "0")), F.lower(F.lpad(F.hex(F.xxhash64(F.lit(1), fp)), 16, "0")))
+    return F.concat(*[F.lower(F.lpad(F.hex(F.xxhash64(F.lit(s), hashes, positions)), 16, "0")) for s in (0, 1)])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard of the hashes; two without any are alike."""
-    x, y = F.array_distinct(hashes_of(a)), F.array_distinct(hashes_of(b))
+    x, y = F.array_distinct(a), F.array_distinct(b)
     both = F.size(F.array_intersect(x, y))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
 def fingerprint(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """docs with hashes and positions added. A null text is empty."""
-    out = with_fingerprint(docs.withColumn("_text", F.coalesce("text", F.lit(""))), "_text", "_fp", k, window)
-    return out.withColumn("hashes", hashes_of(F.col("_fp"))).withColumn("positions", positions_of(F.col("_fp"))).drop("_fp", "_text")
+    """docs with hashes and positions added (columns so called are replaced, all others kept). A null text is empty."""
+    kept = [c for c in docs.columns if c not in ("hashes", "positions")]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    out = with_fingerprint(row.withColumn("text", F.coalesce("row.text", F.lit(""))), "text", "fp", k, window)
+    return out.select("row.*", F.col("fp").alias("hashes"), F.col("fp_at").alias("positions"))
 
 
-def _count_below(bounds: list[int], x: Column) -> Column:
-    """How many of the sorted bounds are less than x, in two steps of a square root each."""
+def _count_below(bounds: list[tuple[int, int]], k: Column, t: Column) -> Column:
+    """How many of the sorted pairs are less than (k, t), in two steps of a square root each."""
     if not bounds:
         return F.lit(0)
     side = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[i : i + side] for i in range(0, len(bounds), side)]
-    array = lambda v: F.expr("array(" + ",".join(f"{b}L" if b > -(2**63) else "cast('-9223372036854775808' as bigint)" for b in v) + ")")
-    block = F.size(F.filter(array([r[-1] for r in rows]), lambda b: b < x))  # whole rows below x
+    number = lambda b: f"{b}L" if b > -(2**63) else "cast('-9223372036854775808' as bigint)"
+    array = lambda v: F.expr("array(" + ",".join(f"struct({number(x)} AS k, {number(y)} AS t)" for x, y in v) + ")")
+    here = F.struct(k.alias("k"), t.alias("t"))
+    block = F.size(F.filter(array([r[-1] for r in rows]), lambda b: b < here))  # whole rows below
     within = F.get(F.array(*[array(r) for r in rows]), block)
-    return block * side + F.coalesce(F.size(F.filter(within, lambda b: b < x)), F.lit(0))
+    return block * side + F.coalesce(F.size(F.filter(within, lambda b: b < here)), F.lit(0))
+
+
+def bounds_of(cuts: list[int]) -> list[tuple[int, int]]:
+    """Quantiles of ids as pairs (id, text key). An id that is several of the quantiles holds as many ranges' rows: it is divided evenly by the key of the text, which is a hash."""
+    out, times = [], Counter(cuts)
+    for k in sorted(times):
+        n = times[k]
+        out += [(k, -(2**63) + j * (2**64 // n)) for j in range(1, n)] + [(k, 2**63 - 1)]
+    return out
 
 
-def seat(df: DataFrame) -> DataFrame:
-    """Rows by ranges of descending doc_id (_k, _range), each range with a guest: the first row of the range below it.
+def seat(df: DataFrame, range_rows: int | None = None) -> DataFrame:
+    """Rows by ranges of descending doc_id (_k, _t, _range), each range with a guest: the first row of the range below it.
 
-    Null ids come last; rows of one id are ordered by text; the first row of all is
-    the guest of the lowest range. Ranges are cut at quantiles of all ids; one shuffle
-    brings a range together, so no task holds more than a few of them.
+    Null ids come last; rows of one id are ordered by their text's key; the first row
+    of all is the guest of the lowest range. Ranges are cut at quantiles of all ids, and
+    an id with many rows by the text's key, too; one shuffle brings a range together,
+    so no task holds more than a few of them, but for one text under one id.
     """
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    n, top = df.agg(F.count(F.lit(1)), F.max(key)).first()
-    if not n:
-        return df.withColumn("_k", key).withColumn("_range", F.lit(0)).withColumn("_guest", F.lit(0))
-    parts = min(RANGES, max(1, n // RANGE))
-    cuts = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [1.0], max(10_000, parts * 20))).first()[0] or []
-    bounds = sorted({*cuts, top})
-    at = _count_below(bounds, F.col("_k")).cast("int")
-    # a range ends with its bound, the first of its rows by descending id; that row also closes the range above, and the greatest id the lowest range
-    is_bound = _count_below(bounds, F.col("_k") + 1) > F.col("_at") if top < 2**63 - 1 else F.col("_k").isin(bounds)
-    guest = F.when(is_bound, F.when(F.col("_at") == len(bounds) - 1, F.lit(0)).otherwise(F.col("_at") + 1))
-    seats = F.filter(F.array(F.struct(F.col("_at").alias("range"), F.lit(0).alias("guest")), F.struct(guest.alias("range"), F.lit(1).alias("guest"))), lambda s: s["range"].isNotNull())
-    seated = df.withColumn("_k", key).withColumn("_at", at).withColumn("_s", F.explode(seats)).withColumn("_range", F.col("_s.range")).withColumn("_guest", F.col("_s.guest")).drop("_at", "_s")
-    return seated.repartition("_range")
+    seated = df.withColumn("_k", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_t", text_key())
+    n = df.count()
+    parts = min(RANGES, max(1, n // (range_rows or RANGE)))
+    cuts = seated.agg(F.percentile_approx("_k", [i / parts for i in range(1, parts)] or [1.0], max(10_000, parts * 20))).first()[0] or [] if parts > 1 else []
+    seated = seated.withColumn("_range", _count_below(bounds_of(cuts), F.col("_k"), F.col("_t")).cast("int"))
+    first = seated.groupBy("_range").agg(F.max(F.struct("_k", "_t")).alias("x"))
+    everywhere = Window.orderBy("_range")  # RANGES rows, and one, at most
+    above = F.coalesce(F.lead("_range").over(everywhere), F.first("_range").over(everywhere))
+    guests = save(first.select(F.col("x._k").alias("_gk"), F.col("x._t").alias("_gt"), above.alias("_guest_of")), "guests")
+    met = seated.join(F.broadcast(guests), (F.col("_k") == F.col("_gk")) & (F.col("_t") == F.col("_gt")), "left").drop("_gk", "_gt")
+    seats = F.filter(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("_guest_of").alias("range"), F.lit(1).alias("guest"))), lambda s: s["range"].isNotNull())
+    return met.withColumn("_s", F.explode(seats)).withColumn("_range", F.col("_s.range")).withColumn("_guest", F.col("_s.guest")).drop("_s", "_guest_of").repartition("_range")
 
 
 def follow(seated: DataFrame, payload: list[str]) -> DataFrame:
     """Adds next: a struct of the payload of the row that follows."""
-    w = Window.partitionBy("_range").orderBy("_guest", F.col("_k").desc(), F.col("text").desc_nulls_last())
-    return seated.withColumn("next", F.lead(F.struct(*payload)).over(w)).filter("_guest = 0").drop("_k", "_range", "_guest")
+    w = Window.partitionBy("_range").orderBy("_guest", F.col("_k").desc(), F.col("_t").desc())
+    return seated.withColumn("next", F.lead(F.struct(*payload)).over(w)).filter("_guest = 0").drop("_k", "_t", "_range", "_guest")
 
 
 def half_edit(text: Column, n: Column, other: Column) -> Column:
@@ -152,7 +164,7 @@ def half_edit(text: Column, n: Column, other: Column) -> Column:
 
 
 def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fp, edited_fp (packed arrays), near_edited, near_next, for every row.
+    """doc_id, n_chars, edited_sha256, fp, fp_at, edited_fp, edited_fp_at (hashes and positions), near_edited, near_next, for every row.
 
     The text is shuffled once; fingerprints are made after the shuffle.
     """
@@ -161,4 +173,4 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     met = met.withColumn("n_chars", F.length("text").cast("long"))
     met = met.withColumn("edited", half_edit(F.col("text"), F.col("n_chars").cast("int"), F.col("next.text")))
     met = with_fingerprint(met, "edited", "edited_fp", k, window)
-    return met.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next.fp")).alias("near_next"))
+    return met.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "fp_at", "edited_fp", "edited_fp_at", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next.fp")).alias("near_next"))
