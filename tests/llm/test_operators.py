@@ -274,6 +274,32 @@ def test_bundles_match_the_definition():
     assert at == [0] and np.allclose(v, want / np.linalg.norm(want), atol=1e-5)
 
 
+def test_prototypes_and_predictions_match_the_definition(spark):
+    rows = [(i, prose(30, i, VOCAB[: 200] if i % 2 else [w[::-1] + "k" for w in VOCAB]), "ab"[i % 2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    letters = langid.Letters()
+
+    def plain(text):
+        out = np.zeros(langid.DIMS)
+        c = [ord(x) for x in re.sub("[^a-z]+", " ", f" {text.lower()} ")]
+        vec = {x: letters.table(np.array([x]))[0].astype(int) for x in set(c)}
+        for x, y, z in zip(c, c[1:], c[2:]):
+            out += np.roll(vec[x], 2) * np.roll(vec[y], 1) * vec[z]
+        return out / np.linalg.norm(out)
+
+    want = {}
+    for lang in "ab":
+        v = sum(plain(t) for _, t, x in rows if x == lang)
+        want[lang] = v / np.linalg.norm(v)
+    got = langid.learn(df)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    for r in langid.predict(df, got).collect():
+        cos = {k: float(plain(rows[r.doc_id][1]) @ want[k]) for k in want}
+        e = {k: math.exp(langid.SHARP * c) for k, c in cos.items()}
+        best = max(cos, key=cos.get)
+        assert r.lang_pred == best and math.isclose(r.score, e[best] / sum(e.values()), rel_tol=1e-2)
+
+
 def test_ngrams_in_chunks():
     text = prose(300, 3) + " 12 日本語 é, " + "ab" * 40 + "  "
     plain = Counter()
