@@ -429,6 +429,29 @@ def test_one_of_each_group_stays(spark, docs, empty):
     assert sum(r.doc_id is None for r in got) == 1  # the other row without an id has no words, as other texts with an id
 
 
+@pytest.mark.parametrize("cell", [500, 7, 2])
+def test_half_alike_groups_lose_no_link(spark, cell):
+    """Chains of edits of a few texts: pairs on both sides of 0.8 in common buckets, whatever the size of a cell."""
+    r = random.Random(12)
+    texts = []
+    for g in range(3):
+        w = [f"g{g}w{r.randrange(10**6)}" for _ in range(120)]
+        for _ in range(40):
+            v = list(w)
+            for i in r.sample(range(120), r.choice([1, 2, 3, 4])):
+                v[i] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows, met = simhash.alike(df, 5, 0.8, cell)
+    root = {x.node: x.root for x in met.collect()}
+    groups = {}
+    for x in rows.collect():
+        groups.setdefault(root.get(x.node, x.node), []).append(x.doc_id)
+    got = {min(v) for v in groups.values()}
+    want = plain_groups(texts)
+    assert got == want and 3 < len(want) < 110
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     """The other text of an id isn't lost with a copy of the first; rows without ids are compared, too."""
     a, b, c = prose(200, 41), prose(200, 42), prose(200, 43)

@@ -469,13 +469,86 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return map_arrow(met.select("node", "text"), run, "node long, set array<long>").dropDuplicates(["node"])
 
 
-def alike(docs: DataFrame, size: int, least: float, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+def joined_within(node: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, keys: np.ndarray, line: np.ndarray, sets: list[np.ndarray], band: int, both_lines: bool, least: float) -> list[tuple[int, int]]:
+    """Links between the sets of one cell of a bucket that aren't joined yet, as a forest: no pair becomes a row.
+
+    A pair is looked at in the first band only in which it agrees, and in one cell of
+    it: rows of one line in that line's own cell, others where both lines meet.
+    """
+    _, label = np.unique(root, return_inverse=True)
+    fp, fp2, out = fp.view(np.uint64), fp2.view(np.uint64), []
+    for i in range(len(node) - 1):
+        rest = slice(i + 1, None)
+        ok = label[rest] != label[i]
+        if both_lines:
+            ok &= line[rest] != line[i]
+        ok &= np.minimum(n[rest], n[i]) >= np.maximum(n[rest], n[i]) * least
+        at = np.flatnonzero(ok) + i + 1
+        at = at[np.bitwise_count(fp[at] ^ fp[i]).astype(np.int64) + np.bitwise_count(fp2[at] ^ fp2[i]) <= FAR]
+        at = at[(keys[at] == keys[i]).argmax(1) == band] if len(at) else at
+        if not len(at):
+            continue
+        for j in at[reach(sets[i], [sets[j] for j in at], least)].tolist():
+            if label[i] != label[j]:
+                out.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def in_cells(open_: DataFrame, cell: int) -> DataFrame:
+    """Adds line, part and both: a bucket of more than cell rows has lines by hash, and a cell for every line and for every two of them; a row stands in all cells of its line."""
+    large = save(open_.groupBy("key").count().filter(F.col("count") > cell).select(F.col("key").alias("_key"), F.ceil(F.col("count") / cell).alias("_n")), "large")
+    met = open_.join(large, F.col("key") == F.col("_key"), "left").withColumn("_n", F.coalesce("_n", F.lit(1).cast("long"))).withColumn("line", F.pmod(F.xxhash64("node"), F.col("_n")))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda x: F.struct(F.least(x, F.col("line")).alias("lo"), F.greatest(x, F.col("line")).alias("hi")))
+    return met.withColumn("part", F.explode(cells)).drop("_key", "_n")
+
+
+def more_links(open_: DataFrame, sets: DataFrame, least: float, cell: int) -> DataFrame:
+    """(a, b) from all pairs of sets that share a bucket, have other roots and the similarity: enough of them to connect all that are connected. A task holds the sets of one cell."""
+    rows = in_cells(open_, cell).join(sets, "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        now, held = None, []
+
+        def flush():
+            key, lo, hi = now
+            cols = [np.array([h[c] for h in held], np.int64) for c in range(5)]
+            keys = np.stack([h[5] for h in held])
+            band = int((keys[0] == key).argmax())
+            return joined_within(*cols, keys, np.array([h[6] for h in held]), [h[7] for h in held], band, lo != hi, least)
+
+        for b in batches:
+            for part in pieces(b, 256):
+                name = ("key", "lo", "hi", "node", "root", "n", "fp", "fp2", "line")
+                key, lo, hi, *rest, line = (part.column(c).to_pylist() for c in name)
+                keys, own, out = part.column("keys"), part.column("set"), []
+                for i in range(part.num_rows):
+                    if (at := (key[i], lo[i], hi[i])) != now:
+                        out += flush() if len(held) > 1 else []
+                        now, held = at, []
+                    held.append((*(c[i] for c in rest), keys[i].values.to_numpy(), line[i], np.array(own[i].values)))
+                if out:
+                    yield batch(schema, *zip(*out, strict=True))
+        if len(held) > 1 and (out := flush()):
+            yield batch(schema, *zip(*out, strict=True))
+
+    dealt = rows.select("key", "part.lo", "part.hi", "node", "root", "n", "fp", "fp2", "line", "keys", "set")
+    return map_arrow(dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node"), run, "a long, b long")
+
+
+#: Sets of a line in a large bucket.
+LINE_SETS = 500
+
+
+def alike(docs: DataFrame, size: int, least: float, cell: int = LINE_SETS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _key, node) of every row, and (node, root) of the sets linked to others: components over all pairs with the similarity.
 
     Most buckets hold one set and go at once. In the others, first each set is compared
     with the bucket's least node only, which joins most of a large group at a cost in
-    proportion to it and is combined before the shuffle; then all pairs of a bucket
-    that aren't joined yet.
+    proportion to it and is combined before the shuffle. Buckets that hold several
+    groups after that are gone through pair by pair within tasks, in cells of a bounded
+    number of sets; only links come out.
     """
     sketched = save(sketches(docs, size), "sketches")
     rows = sketched.select("doc_id", "_key", "node")
@@ -491,18 +564,13 @@ def alike(docs: DataFrame, size: int, least: float, cell: int = CELL) -> tuple[D
     known = save(shared.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     drop_saved(shared)
     mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    open_ = save(known.join(mixed, "key", "left_semi").join(about, "node").withColumn("probe", F.lit(False)), "open")
+    open_ = save(known.join(mixed, "key", "left_semi").join(reps.select("node", "n", "fp", "fp2", "keys"), "node"), "open")
     drop_saved(known, first)
-    dealt_out = spread(open_, cell)
-    x, y = dealt_out.alias("x"), dealt_out.alias("y")
-    close = _near(*[F.col(f"{s}.{c}") for c in ("n", "fp", "fp2") for s in ("x", "y")], least)
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close)
-    # a star's pair has its least node first, too
-    rest = save(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = save(shingle_sets(docs, place.join(_ends(rest), "node", "left_semi").join(sets, "node", "left_anti"), size), "sets")
-    all_links = save(links.unionByName(verified(rest, sets.unionByName(more), least)), "links")
+    ends = open_.select("node").distinct()
+    more = save(shingle_sets(docs, place.join(ends, "node", "left_semi").join(sets, "node", "left_anti"), size), "sets")
+    all_links = save(links.unionByName(more_links(open_, sets.join(ends, "node", "left_semi").unionByName(more), least, cell)), "links")
     out = components(all_links)
-    drop_saved(stars, sets, links, open_, rest, more, all_links, reps)
+    drop_saved(stars, sets, links, open_, more, all_links, reps)
     rows._saved = sketched._saved
     return rows, out
 
