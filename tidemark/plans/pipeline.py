@@ -259,7 +259,8 @@ class Pipeline:
                 continue
             made = STAGES[name](self.context, **self.spec["params"].get(f"{name}#{seen[name]}", {}))
             last = i + 1 == len(self.spec["stages"]) or i == stop
-            after = self.spec["stages"][i + 1] if not last else ""
-            # a frame that the next stage replaces isn't worth a table
-            self.context |= {k: save(v, k) if k in SHARED and not last and after not in REPLACES.get(k, ()) else v for k, v in made.items()}
+            later = [] if last else self.spec["stages"][i + 1 :]
+            # a frame that the next stage replaces isn't worth a table, nor are windows that only the model reads
+            worth = [k for k in made if k in SHARED and later and later[0] not in REPLACES.get(k, ()) and (k != "windows" or "positions" in later)]
+            self.context |= {k: save(v, k) if k in worth else v for k, v in made.items()}
         return self.context
