@@ -591,9 +591,10 @@ def deduplicate(docs: DataFrame, size: int = STAGE["size"], least: float = STAGE
     group = rows.groupBy("node", "doc_id", "_key").agg(F.count(F.lit(1)).alias("c")).join(met.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "_key", "c", F.coalesce("root", "node").alias("root"))
     group = save(group, "groups")
     drop_saved(met, rows)
-    keep = group.groupBy("root").agg(F.min(order).alias("k")).select(F.col("root").alias("_r"), "k")
-    # rows that go, and rows that stay but once
-    odd = save(group.join(keep, F.col("root") == F.col("_r")).select("doc_id", "_key", "c", (order != F.col("k")).alias("gone")).filter("gone OR c > 1").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "gone"), "odd")
+    keep = group.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k._key").alias("_k"))
+    # rows that go, and rows that stay but once; the join is by row, so a large group is dealt to all tasks
+    met = group.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    odd = save(met.select("doc_id", "_key", "c", F.col("_k").isNull().alias("gone")).filter("gone OR c > 1").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "gone"), "odd")
     drop_saved(group)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_key", text_key("row.text"))
     asked = may_hold(row, F.col("_key"), odd.select("_k"), "_may")
