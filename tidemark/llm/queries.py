@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, privacy, quality, shards, simhash, spans, tokens, winnow
+from . import divergence, langid, mixing, packing, privacy, quality, shards, simhash, spans, tokens, winnow
 from .common import documents, new_path
 
 
@@ -67,5 +67,9 @@ def op10_substrings(spark: SparkSession, d: str) -> DataFrame:
     return spans.remove_repeats(documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_language, op4_simhash, op5_winnowing, op6_mixing, op7_packing, op8_token_file, op9_sharding, op10_substrings)}
-SQL = {"op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"}
+def op11_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.divergence(documents(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_language, op4_simhash, op5_winnowing, op6_mixing, op7_packing, op8_token_file, op9_sharding, op10_substrings, op11_divergence)}
+SQL = {"op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents", "op11_divergence": divergence.SQL}
