@@ -1,22 +1,29 @@
 """Source divergence audit: how far the term shares of a language's sources lie from each other and from the language.
 
-Rows are exploded into terms, counted by (lang, source, term), and every group gets every
-kept term of its language, with a count of zero where it has none. Shares are integers in
+Rows become their terms, counted by (lang, source, term), and every group gets every kept
+term of its language, with a count of zero where it has none; the groups of a language are
+joined with each other term by term, and sums ranked. Shares are integers in
 billionths, smoothed by one occurrence, so all arithmetic is exact.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import batch, drop_saved, lower_ascii, map_arrow, pieces, save
 
 #: Runs of ASCII letters and of anything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts into which the terms of a language are dealt where they meet its groups, so that one language is many tasks.
 SALTS = 64
+#: Cells that a task holds before it hands them on.
+HELD = 300_000
 #: Shares are in billionths.
 SCALE = 1_000_000_000
 
@@ -25,23 +32,49 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), "text")
 
 
+CELLS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("d", pa.int64())])
+TERM_RE = re.compile(TERM)
+
+
 def cells(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (rows that hold it). A row gives each occurrence with a 1 for n and each distinct term with a 1 for d, so no row needs a key."""
-    terms = named(docs).select("lang", "source", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("ts"))
-    marked = lambda ts, n, d: F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d")))
-    each = terms.select("lang", "source", F.explode(F.concat(marked("ts", 1, 0), marked(F.array_distinct("ts"), 0, 1))).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("d"))
+    """lang, source, term, n (occurrences), d (rows that hold it). Tasks count the matches of the rows they read before these become rows."""
+
+    def run(batches):
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
+        def rows():
+            for (lang, source), (n, d) in held.items():
+                terms = list(n)
+                yield batch(CELLS, [lang] * len(terms), [source] * len(terms), terms, list(n.values()), [d[t] for t in terms])
+            held.clear()
 
-def vocabulary(docs: DataFrame, least: int) -> DataFrame:
-    """lang, term, total, by (source and count, where it occurs): terms in at least so many rows of the language. by has an entry a source at most."""
-    kept = cells(docs).groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("by"))
-    return kept.filter(F.col("d") >= least).drop("d")
+        for b in batches:
+            for part in pieces(b):
+                for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                    n, d = held[lang, source]
+                    found = Counter(TERM_RE.findall(lower_ascii(text or "")))
+                    n.update(found)
+                    d.update(found.keys())
+                if sum(len(n) for n, _ in held.values()) > HELD:
+                    yield from rows()
+        yield from rows()
+
+    return map_arrow(named(docs), run, "lang string, source string, term string, n long, d long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+
+
+def kept_cells(docs: DataFrame, least: int) -> DataFrame:
+    """lang, source, term, n, total (in the language) of the terms in at least so many rows of the language."""
+    found = save(cells(docs), "cells")
+    kept = found.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("total")).filter(F.col("d") >= least).drop("d")
+    out = save(found.drop("d").join(kept, ["lang", "term"]), "kept")
+    drop_saved(found)
+    return out
 
 
 def share(n: Column, total: Column, v: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + v)): the product may pass 64 bits, the quotient doesn't."""
-    return F.lit(1) + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + v).cast("decimal(20,0)"))
+    """1 + floor(SCALE * (n + 1) / (total + v)); decimals where the product may pass 64 bits."""
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + v).cast("decimal(20,0)"))
+    return F.lit(1) + F.when(n < 2**33, F.call_function("div", F.lit(SCALE).cast("long") * (n + 1), total + v)).otherwise(wide)
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -59,24 +92,26 @@ def divergence(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
     no terms. Other columns are ignored; an empty table gives no rows. A sum stays
     below 2^63 as long as a language keeps fewer than 10^9 terms.
     """
-    kept = save(vocabulary(docs, least), "vocabulary")
-    sums = kept.select("lang", F.explode("by").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("n"))
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
-    groups = named(docs).select("lang", "source").distinct().join(sums, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("groups"))
-    langs = save(groups.join(sizes, "lang", "left").na.fill(0, ["v", "lang_n"]), "groups")
-
-    met = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS))).join(langs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["lang", "salt"])
-    # every group's share of the term, zeros included, in the order of the language's groups
-    dense = met.withColumn("counts", F.map_from_entries("by")).select("lang", F.transform("groups", lambda g: share(F.coalesce(F.element_at("counts", g["source"]), F.lit(0)), g["n"], F.col("v"))).alias("ps"))
+    kept = kept_cells(docs, least)
+    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
+    sizes = kept.groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
+    groups = named(docs).select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["group_n", "v", "lang_n"])
+    groups = save(groups.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("source"))).withColumn("least", share(F.lit(0).cast("long"), F.col("group_n"), F.greatest("v", F.lit(1)))), "groups")
+
+    shares = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", "k", share(F.col("n"), F.col("group_n"), F.col("v")).alias("p"), share(F.col("total"), F.col("lang_n"), F.col("v")).alias("q"))
+    shares = save(shares, "shares")
+    terms = shares.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+
+    # every group's share of a term: its own, or that of a count of zero
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "least"))).alias("groups")).withColumn("salt", salts)
+    by_term = shares.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("of")).withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
+    dense = by_term.join(langs, ["lang", "salt"]).select("lang", F.transform("groups", lambda g: F.coalesce(F.element_at("of", g["k"]), g["least"])).alias("ps"))
     left = dense.select("lang", "ps", F.posexplode("ps").alias("i", "p"))
     sums = left.select("lang", "i", "p", F.posexplode("ps").alias("j", "q")).filter("i <> j").groupBy("lang", "i", "j").agg(F.sum(apart(F.col("p"), F.col("q"))).alias("value"))
-    ends = langs.select("lang", "groups", F.posexplode("groups").alias("i", "a")).select("lang", "i", F.col("a.source").alias("source"), F.posexplode("groups").alias("j", "b")).filter("i <> j")
-    pairs = ends.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), F.col("b.source").alias("item"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-
-    used = met.withColumn("q", share(F.col("total"), F.col("lang_n"), F.col("v"))).select("lang", "term", "v", "q", F.map_from_entries("groups").alias("of"), F.explode("by").alias("x"))
-    p = share(F.col("x.n"), F.element_at("of", F.col("x.source")), F.col("v"))
-    terms = used.filter(F.col("x.n") > 0).select("lang", F.col("x.source").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), p.alias("p"), "q").filter("p > q")
-    terms = terms.select("lang", "source", "part", "item", apart(F.col("p"), F.col("q")).alias("value"))
+    other = groups.select("lang", F.col("source").alias("item"), (F.col("k") - 1).alias("j"))
+    pairs = groups.select("lang", "source", (F.col("k") - 1).alias("i")).join(other, "lang").filter("i <> j").join(sums, ["lang", "i", "j"], "left")
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
 
     by = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     first = terms.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)

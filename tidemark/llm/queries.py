@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, langid, mixing, packing, privacy, quality, shards, simhash, spans, tokens, winnow
+from . import collocations, divergence, langid, mixing, packing, privacy, quality, shards, simhash, spans, tokens, winnow, wrappers
 from .common import documents, new_path
 
 
@@ -71,5 +71,13 @@ def op11_divergence(spark: SparkSession, d: str) -> DataFrame:
     return divergence.divergence(documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_language, op4_simhash, op5_winnowing, op6_mixing, op7_packing, op8_token_file, op9_sharding, op10_substrings, op11_divergence)}
-SQL = {"op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents", "op11_divergence": divergence.SQL}
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(documents(spark, d))
+
+
+def op13_html(spark: SparkSession, d: str) -> DataFrame:
+    return wrappers.main_text(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_language, op4_simhash, op5_winnowing, op6_mixing, op7_packing, op8_token_file, op9_sharding, op10_substrings, op11_divergence, op12_collocations, op13_html)}
+SQL = {"op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents", "op11_divergence": divergence.SQL, "op12_collocations": collocations.SQL}
