@@ -66,7 +66,4 @@ def words(text: str) -> list[str]:
 
 def lower_ascii(text: str) -> str:
     """A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+    return text.lower() if text.isascii() else text.encode().lower().decode()

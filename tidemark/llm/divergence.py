@@ -52,9 +52,9 @@ def cells(docs: DataFrame) -> DataFrame:
             for part in pieces(b):
                 for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                     n, d = held[lang, source]
-                    found = Counter(TERM_RE.findall(lower_ascii(text or "")))
+                    found = TERM_RE.findall(lower_ascii(text or ""))
                     n.update(found)
-                    d.update(found.keys())
+                    d.update(set(found))
                 if sum(len(n) for n, _ in held.values()) > HELD:
                     yield from rows()
         yield from rows()

@@ -92,24 +92,23 @@ def aligned(a: list, b: list, pages: bool = True) -> list:
             t[OPT] = True
         return out
     out, met, last, crossed = list(a), set(), -1, []
-    where = {id(t): k for k, t in enumerate(a)}
+    become = {id(t): t for t in a}  # the token that each token of a side is part of now
     place: list[tuple[int, list]] = []  # tokens of b alone, with the token of a they follow
     for t in b:
         k = best(t, a, False)
         if k >= 0 and k not in met:
             met.add(k)
-            if t[GROUP] and not a[k][GROUP]:
-                a[k][GROUP] = -1
+            become[id(t)] = a[k]
             add(a[k], t, pages)
             if k < last:
                 crossed.append((k, last))
             last = max(last, k)
         else:
             t[OPT] = True
+            become[id(t)] = t
             place.append((last, t))
-    for t in a:
-        if where[id(t)] not in met:
-            t[OPT] = True
+    for k, t in enumerate(a):
+        t[OPT] = t[OPT] or k not in met
     for after, t in reversed(place):
         out.insert(after + 1, t)
     at = {id(t): k for k, t in enumerate(out)}
@@ -118,8 +117,8 @@ def aligned(a: list, b: list, pages: bool = True) -> list:
     for groups in (a, b):
         found: dict[int, list[int]] = {}
         for t in groups:
-            if t[GROUP] > 0 and id(t) in at:
-                found.setdefault(t[GROUP], []).append(at[id(t)])
+            if t[GROUP]:
+                found.setdefault(t[GROUP], []).append(at[id(become[id(t)])])
         spans += [(min(x), max(x)) for x in found.values()]
     return grouped(out, spans)
 
