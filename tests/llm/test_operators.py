@@ -864,7 +864,7 @@ def plain_repeats(rows, least, rank=lambda d, t: d):
         n, found = len(s), set()
         for i in range(n):
             for j in range(i + 1, n + 1):
-                if j > i + 1 and sum(map(len, s[i:j])) >= least or j == i + 1 and len(s[i]) >= 2 * least:
+                if j - i >= spans.SENTENCES or j - i == 2 and sum(map(len, s[i:j])) >= least:
                     found.add((i, j))  # every run, not the shortest only
         per[d, t] = {p: tuple(map(tuple, s[p[0] : p[1]])) for p in found}
         for p, k in per[d, t].items():
@@ -898,6 +898,18 @@ def test_spans_match_every_run(spark):
     assert got == Counter((d, n) for (d, _), n in want.items()) and sum(want.values()) > 30
 
 
+def test_a_short_passage_of_five_sentences_goes(spark):
+    passage = "We use cookies. Read our terms. Ask us any time. Call before noon today. Thank you for reading on."
+    rows = [(i, f"{prose(30, 900 + i)}.\n{passage}\n{prose(30, 950 + i)}.") for i in range(50)]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed == 5 and "cookies" not in got[i].text and "noon" not in got[i].text for i in range(1, 50))
+
+
+def test_two_short_sentences_in_a_row_stay(spark):
+    rows = [(i, f"{prose(40, 970 + i)}. Yes. No way. {prose(40, 990 + i)}.") for i in range(9)]
+    assert all(r.n_removed == 0 for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_a_passage_under_one_id_or_none_goes(spark):
     passage = "one two three four five six seven eight nine ten. " * 3
     for ids in ((1, 1), (None, None)):

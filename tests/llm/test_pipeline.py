@@ -152,3 +152,21 @@ def test_without_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, D)
         assert out.count() == 0
+
+
+def test_columns_of_any_name_keep_their_values(spark, tmp_path):
+    """Names that stages use themselves, differ from them by case only, or need quoting."""
+    names = {"kept": "cast(doc_id % 7 as boolean)", "N_Words": "concat('w', doc_id)", "a.b": "doc_id * 2", "row": "array(doc_id)", "terms": "named_struct('x.y', doc_id)", "Text ": "upper(source)", "_key": "-doc_id", "taken": "null"}
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    docs.select("*", *(F.expr(e).cast("string" if e == "null" else docs.selectExpr(e).schema[0].dataType).alias(n) for n, e in names.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{D}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    own = {r.doc_id: tuple(r)[5:] for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        had = docs.columns
+        docs = common.save(stage(spark, docs, str(tmp_path)), "named")
+        assert docs.columns == had
+        rows = docs.collect()
+        assert rows and all(tuple(r)[5:] == own[r.doc_id] for r in rows)
+    plain = corpus_pipeline.run(spark, D).select("doc_id", "piece", "start", "length").collect()
+    assert Counter(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length").collect()) == Counter(plain)

@@ -1,10 +1,10 @@
 """Substring deduplication by sliding spans of sentences.
 
-A span is a run of several consecutive sentences with WORDS words at least, or a single
-sentence of ALONE words. Only the shortest spans from, and up to, each sentence are
-hashed: two texts that share a longer run share its shortest ones, which cover it, so
-what goes is the same as with a hash of every run. Runs of fewer words stay, as do
-copies of texts that have fewer in all: short phrases recur in unrelated texts.
+A span is a run of three sentences or more, of any length, or of two with WORDS words
+at least: two short sentences in a row recur by chance in unrelated texts. Only runs of
+exactly three, and such pairs, are hashed: two texts that share a longer run share all
+the runs of three in it, and these cover it, so what goes is the same as with a hash of
+every run.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import batch, drop_saved, map_arrow, may_hold, pieces, save, text_k
 
 #: A sentence ends after . ! or ? before white space, or at a newline.
 CUT = re.compile(r"(?<=[.!?])\s+|\n\s*")
-#: Words of a run of two sentences or more; words of a single sentence.
-WORDS, ALONE = 25, 50
+#: Sentences of a run; words of a run of two.
+SENTENCES, WORDS = 3, 25
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -55,24 +55,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def span_hashes(text: str, least: int = WORDS, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def span_hashes(text: str, run: int = SENTENCES, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes, first and last (exclusive) sentence of every span. Case and white space don't count."""
     none = (np.zeros(0, np.int64),) * 4
     cuts = sentences(text)
     split = [text[a:b].lower().split() for a, b in cuts]
     size = np.array([len(s) for s in split], np.int64)
-    if size.sum() < min(least, alone):
+    if len(cuts) < 2:
         return none
     h = np.array([xxhash.xxh3_64_intdigest(" ".join(s)) for s in split], np.uint64)
     upto = np.concatenate([[0], np.cumsum(size)])
     n = len(cuts)
-    # forward from i: the first j with upto[j] - upto[i] >= least; backward to k: the last such i; two sentences at least
-    i, k = np.arange(n), np.arange(1, n + 1)
-    j = np.maximum(np.searchsorted(upto, upto[:-1] + least, side="left"), i + 2)
-    b = np.minimum(np.searchsorted(upto, upto[1:] - least, side="right") - 1, k - 2)
-    one = i[size >= alone]
-    pairs = np.unique(np.concatenate([i[j <= n] * (n + 1) + j[j <= n], b[b >= 0] * (n + 1) + k[b >= 0], one * (n + 1) + one + 1]))
-    first, last = pairs // (n + 1), pairs % (n + 1)
+    i = np.arange(n - 1)
+    pairs = i[upto[2:] - upto[:-2] >= least] if run > 2 else i[:0]
+    longer = np.arange(max(0, n - run + 1))
+    first = np.concatenate([pairs, longer])
+    last = np.concatenate([pairs + 2, longer + run])
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
     one, two = (mixed(_rolling(mixed(h + s), base, first, last) + (last - first).astype(np.uint64)) for base, s in ((B1, np.uint64(1)), (B2, np.uint64(2))))
     return one.view(np.int64), (two >> np.uint64(33)).astype(np.int64), first, last
 
@@ -90,25 +90,25 @@ def repeats(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_spans(docs: DataFrame, least: int = WORDS) -> DataFrame:
+def all_spans(docs: DataFrame, run: int = SENTENCES, least: int = WORDS) -> DataFrame:
     """Every span of every text; again says that the text holds it earlier."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())])
 
-    def run(batches):
+    def rows(batches):
         for b in batches:
             for part in pieces(b):
                 got = [[] for _ in range(7)]
                 for d, key, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "_key", "text")), strict=True):
-                    h1, h2, first, last = span_hashes(text, least) if text else (np.zeros(0, np.int64),) * 4
+                    h1, h2, first, last = span_hashes(text, run, least) if text else (np.zeros(0, np.int64),) * 4
                     for col, v in zip(got, (h1, h2, pa.array([d] * len(h1), pa.int64()), np.full(len(h1), key), first, last, repeats(h1, h2)), strict=True):
                         col.append(v)
                 cols = [np.concatenate(c).astype(t) for c, t in ((got[0], np.int64), (got[1], np.int32))] + [pa.concat_arrays(got[2])] + [np.concatenate(got[k]).astype(t) for k, t in ((3, np.int64), (4, np.int32), (5, np.int32), (6, bool))]
                 yield batch(schema, *cols)
 
-    return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), run, SPANS)
+    return map_arrow(docs.select("doc_id", text_key().alias("_key"), "text"), rows, SPANS)
 
 
-def repeated(docs: DataFrame, least: int = WORDS) -> DataFrame:
+def repeated(docs: DataFrame, run: int = SENTENCES, least: int = WORDS) -> DataFrame:
     """doc_id, _key, covered: ranges of sentences that lie in a span which is not the first of its kind.
 
     The first is the earliest in the document with the least doc_id (null ids count
@@ -117,7 +117,7 @@ def repeated(docs: DataFrame, least: int = WORDS) -> DataFrame:
     one passage in a third of all documents is a row from each task; only spans that
     repeat are joined back, and the skew join splits a hot one.
     """
-    spans = save(all_spans(docs, least), "spans")
+    spans = save(all_spans(docs, run, least), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_key").alias("key"))
     seen = save(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("least")).filter("c > 1").select("h1", "h2", "least"), "repeated")
     later = spans.join(seen, ["h1", "h2"]).filter((place > F.col("least")) | F.col("again"))
@@ -143,9 +143,9 @@ def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "".join(out), len(cuts), int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
-    """doc_id, n_sentences, n_removed, text for every row. A null text stays null and has no sentences; rows that agree in doc_id and text count as one document. Only texts that may lose sentences are shuffled."""
-    cover = repeated(docs, least).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
+def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least: int = WORDS) -> DataFrame:
+    """doc_id, n_sentences, n_removed, text for every row. A null text stays null and has no sentences; rows that agree in doc_id and text count as one document. sentences: of a run, 2 at least; least: words of a run of two where runs are longer. Only texts that may lose sentences are shuffled."""
+    cover = repeated(docs, sentences, least).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
     asked = may_hold(docs.select("doc_id", "text", text_key().alias("_key")), F.col("_key"), cover.select("_k"), "_may")
     met = asked.filter("_may").join(cover, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     clean = asked.filter("NOT _may").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("covered"))
