@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import save
+from . import blocks
+
 
 def val2idx(values, x):
     """I1 as a column: positions of x whose values were named; a row counts once for each dimension that matches."""
@@ -37,13 +40,17 @@ def vote_across_windows(found: DataFrame, window_size: int, step_size: int, beta
 
 
 def merge_intervals(df: DataFrame, score: str | None = None) -> DataFrame:
-    """I4: overlapping or touching (start, end) of a signal become one; the highest score stays (0 without scores)."""
-    w = Window.partitionBy("signal_id").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    island = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
+    """I4: overlapping or touching (start, end) of a signal become one; the highest score stays (0 without scores). Beyond a block of intervals a signal is gone through in blocks."""
+    df = save(df.select("signal_id", "start", "end", *([score] if score else [])), "intervals")
+    if blocks.largest(df, ["signal_id"]) > blocks.BLOCK:
+        df = blocks.islands(df, ["signal_id"], "start", "end")
+    else:
+        w = Window.partitionBy("signal_id").orderBy("start", "end")
+        before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        head = F.when(before.isNull() | (F.col("start") > before), F.col("start"))
+        df = df.withColumn("_head", head).withColumn("_island", F.max("_head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     severity = F.max(score) if score else F.lit(0.0)
-    return island.groupBy("signal_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), severity.alias("severity")).drop("_island")
+    return df.groupBy("signal_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), severity.alias("severity")).drop("_island")
 
 
 def format_anomalies(idx: DataFrame, samples: DataFrame, padding_size: int = 50) -> DataFrame:

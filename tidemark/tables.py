@@ -70,6 +70,16 @@ def release(since: int = 0, *keep: DataFrame) -> None:
         remove(spark, path)
 
 
+@contextlib.contextmanager
+def scope(*keep: DataFrame):
+    """What is saved within goes when the block ends: results are to be consumed, or written, in it."""
+    mark = saved_count()
+    try:
+        yield
+    finally:
+        release(mark, *keep)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
