@@ -7,20 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import save
+from . import blocks
+
 
 def contextual_confusion(truth: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
     """(keys, tp, fp, fn) of intervals that overlap. A truth that is met counts once, as does a finding that meets nothing. tn has no meaning and is NULL.
 
     Each side is read once and both are shuffled once, by the keys. An interval meets
     one of the other side if, of those that begin up to its end, the furthest end
-    reaches its start: a running maximum, so nothing grows with the pairs.
+    reaches its start: a running maximum, so nothing grows with the pairs. Beyond a
+    block of intervals a key is gone through in blocks.
     """
     side = lambda df, is_truth: df.select(*keys, "start", "end", F.lit(is_truth).alias("_t"))
-    both = side(truth, True).unionByName(side(found, False))
+    both = save(side(truth, True).unionByName(side(found, False)), "intervals")
+    long = blocks.largest(both, list(keys)) > blocks.BLOCK
     for name, other in (("_of_found", ~F.col("_t")), ("_of_truth", F.col("_t"))):
         # the other side stands at its starts and goes first where an end meets one
-        order = Window.partitionBy(*keys).orderBy(F.when(other, F.col("start")).otherwise(F.col("end")), F.when(other, 0).otherwise(1))
-        both = both.withColumn(name, F.max(F.when(other, F.col("end"))).over(order))
+        at, then, value = F.when(other, F.col("start")).otherwise(F.col("end")), F.when(other, 0).otherwise(1), F.when(other, F.col("end"))
+        if long:
+            both = blocks.running_max(blocks.in_blocks(both.withColumn("_at", at), list(keys), "_at"), list(keys), "_at", then, value, name).drop("_at", "_block")
+        else:
+            both = both.withColumn(name, F.max(value).over(Window.partitionBy(*keys).orderBy(at, then)))
     met = F.coalesce(F.when(F.col("_t"), F.col("_of_found")).otherwise(F.col("_of_truth")) >= F.col("start"), F.lit(False))
     count = lambda c: F.count(F.when(c, 1))
     return both.groupBy(*keys).agg(count(F.col("_t") & met).alias("tp"), count(~F.col("_t") & ~met).alias("fp"), count(F.col("_t") & ~met).alias("fn"), F.lit(None).cast("bigint").alias("tn"))

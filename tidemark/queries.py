@@ -13,6 +13,7 @@ from .functions import parse as R
 from .operators import evaluate, forecast, prep, votes, windows
 from .plans import harness, models
 from .plans.pipeline import Pipeline
+from .tables import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,10 +181,23 @@ def cluster2float(spark, d):
     return sampled(spark, d).select("signal_id", "idx", prep.cluster_to_float(prep.nearest(F.col("value"), c) * 2 - 2, c).alias("value"))
 
 
-@query()
+def clustered(k: int, source: str = "m") -> str:
+    """The best k clusters of each signal's distinct values by recursion over runs of them: path holds where the runs end."""
+    return f"""dv AS (SELECT signal_id, value, n, row_number() OVER (PARTITION BY signal_id ORDER BY value) AS i FROM (SELECT signal_id, value, count(*)::DOUBLE AS n FROM {source} WHERE dim = 0 GROUP BY 1, 2)),
+mid AS (SELECT signal_id, sum(n * value) / sum(n) AS c, least({k}, count(*)) AS k, count(*) AS size FROM dv GROUP BY 1),
+pre AS (SELECT signal_id, 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q FROM mid UNION ALL SELECT dv.signal_id, i, sum(n) OVER o, sum(n * (value - c)) OVER o, sum(n * (value - c) * (value - c)) OVER o FROM dv JOIN mid USING (signal_id) WINDOW o AS (PARTITION BY dv.signal_id ORDER BY i)),
+runs AS (SELECT a.signal_id, a.i AS i, b.i AS j, greatest(b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.w - a.w), 0) AS cost FROM pre a JOIN pre b ON a.signal_id = b.signal_id AND a.i < b.i),
+dp AS (SELECT signal_id, 1 AS m, j, cost, [j] AS path FROM runs WHERE i = 0
+  UNION ALL SELECT r.signal_id, any_value(m) + 1, r.j, min(dp.cost + r.cost), arg_min(list_append(path, r.j), dp.cost + r.cost) FROM dp JOIN runs r ON r.signal_id = dp.signal_id AND r.i = dp.j WHERE m < {k} GROUP BY r.signal_id, r.j),
+best AS (SELECT dp.signal_id, path FROM dp JOIN mid ON mid.signal_id = dp.signal_id AND dp.m = mid.k AND dp.j = mid.size),
+cl AS (SELECT b.signal_id, u.x, c + (h.s - l.s) / (h.w - l.w) AS centre FROM best b, LATERAL (SELECT unnest(range(0, len(path))) AS x) u JOIN mid ON mid.signal_id = b.signal_id JOIN pre h ON h.signal_id = b.signal_id AND h.i = b.path[u.x + 1] JOIN pre l ON l.signal_id = b.signal_id AND l.i = CASE WHEN u.x = 0 THEN 0 ELSE b.path[u.x] END),
+near AS (SELECT s.*, cl.x, cl.centre FROM {source} s JOIN cl ON cl.signal_id = s.signal_id WHERE dim = 0 QUALIFY row_number() OVER (PARTITION BY s.signal_id, s.idx ORDER BY abs(s.value - centre), cl.x) = 1)"""
+
+
+@query(f"WITH RECURSIVE {buckets()}, {IMPUTED}, {clustered(20)} SELECT signal_id, idx, x, round(centre, 4) AS value FROM near")
 def kmeans_binning(spark, d):
-    df = sampled(spark, d)
-    return prep.float_to_cluster(df, prep.fit_cluster(df, 20)).select("signal_id", "idx", "x", prep.cluster_to_float(F.col("x"), F.col("centroids")).alias("value"))
+    df = save(sampled(spark, d), "samples")
+    return prep.float_to_cluster(df, prep.fit_cluster(df, 20)).select("signal_id", "idx", "x", F.round(prep.cluster_to_float(F.col("x"), F.col("centroids")), 4).alias("value"))
 
 
 @query(f"WITH {buckets(sig=SIGM)}, {IMPUTED} SELECT dim, idx, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS z FROM m WINDOW w AS (PARTITION BY dim)")
@@ -494,6 +508,25 @@ sq AS (SELECT signal_id, greatest(min(i) - {pad}, 0) AS start, least(max(i) + {p
 anomalies AS (SELECT m.signal_id, a.ts AS start, b.ts AS "end", round(m.severity, 6) AS severity FROM mg m JOIN o a ON a.signal_id = m.signal_id AND a.i = m.start JOIN o b ON b.signal_id = m.signal_id AND b.i = m."end")"""
 
 
+def swept(portion=0.3, step=0.1, pad=2, zs=(1.0, 0.5, 10), least=0.1):
+    """Every threshold against every window's rows."""
+    lo, by, n = zs
+    return f"""o AS (SELECT signal_id, ts, error, row_number() OVER (PARTITION BY signal_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY signal_id) AS n FROM err),
+z AS (SELECT *, CAST(ceil(n * {portion}::DOUBLE) AS BIGINT) AS ws, CAST(ceil(n * {step}::DOUBLE) AS BIGINT) AS st FROM o),
+ew AS (SELECT z.*, w FROM z JOIN (SELECT unnest(range(0, 200)) AS w) ON w <= ceil((n - ws) / st) AND i >= w * st AND i < w * st + ws),
+th AS (SELECT *, avg(error) OVER per AS mean, stddev_pop(error) OVER per AS sd, lag(error) OVER (PARTITION BY signal_id, w ORDER BY i) AS prev FROM ew WINDOW per AS (PARTITION BY signal_id, w)),
+tz AS (SELECT th.*, k, mean + ({lo} + k * {by}) * sd AS thr FROM th, (SELECT unnest(range(0, {n})) AS k) WHERE sd > 1e-9 * abs(mean)),
+sw AS (SELECT signal_id, w, k, thr, mean, sd, count(*) FILTER (error > thr) AS above, count(*) FILTER (error > thr AND (prev IS NULL OR prev <= thr)) AS runs, avg(error) FILTER (error <= thr) AS rm, stddev_pop(error) FILTER (error <= thr) AS rs, max(error) FILTER (error <= thr) AS below FROM tz GROUP BY 1, 2, 3, 4, 5, 6),
+ch AS (SELECT * FROM sw QUALIFY row_number() OVER (PARTITION BY signal_id, w ORDER BY round(CASE WHEN above > 0 AND rm IS NOT NULL AND mean <> 0 THEN ((mean - rm) / mean + (sd - rs) / sd) / (above + runs * runs) END, 12) DESC NULLS LAST, k DESC) = 1),
+fl AS (SELECT th.*, thr, below, CASE WHEN i - lag(i) OVER (PARTITION BY th.signal_id, th.w ORDER BY i) <= {2 * pad + 1} THEN 0 ELSE 1 END AS g FROM th JOIN ch ON ch.signal_id = th.signal_id AND ch.w = th.w WHERE error > thr),
+ru AS (SELECT *, sum(g) OVER (PARTITION BY signal_id, w ORDER BY i) AS run FROM fl),
+pk AS (SELECT signal_id, w, min(i) AS a, max(i) AS b, max(error) AS peak, max(thr) AS thr, max(below) AS below, max(mean) AS mean, max(sd) AS sd, max(n) AS n FROM ru GROUP BY signal_id, w, run),
+rk AS (SELECT *, row_number() OVER down AS r, (peak - coalesce(lead(peak) OVER down, below, 0)) / greatest(peak, 1e-12) > {least} AS falls FROM pk WINDOW down AS (PARTITION BY signal_id, w ORDER BY peak DESC, a)),
+sq AS (SELECT signal_id, greatest(a - {pad}, 0) AS start, least(b + {pad}, n - 1) AS "end", (peak - thr) / (mean + sd) AS severity FROM (SELECT *, max(CASE WHEN falls THEN r END) OVER (PARTITION BY signal_id, w) AS upto FROM rk) WHERE r <= upto),
+{MERGE.format('q', 'sq', 'mg', 'max(severity)')},
+anomalies AS (SELECT m.signal_id, a.ts AS start, b.ts AS "end", round(m.severity, 6) AS severity FROM mg m JOIN o a ON a.signal_id = m.signal_id AND a.i = m.start JOIN o b ON b.signal_id = m.signal_id AND b.i = m."end")"""
+
+
 DETECT = {"rolling_window_sequences": {"window_size": FW}, "find_anomalies": {"k": 2.0, "anomaly_padding": 2}}
 
 
@@ -522,9 +555,9 @@ def find_anomalies_fixed(spark, d):
     return forecast.find_anomalies(errors.select("signal_id", "ts", "error"), 0.3, 0.1, True, 2, 2.0).withColumn("severity", F.round("severity", 6))
 
 
-@query()
+@query(f'WITH {PERSIST}, {swept()} SELECT signal_id, start, "end", severity FROM anomalies')
 def find_anomalies_dynamic(spark, d):
-    return forecast.find_anomalies(_detect(spark, d)["errors"].select("signal_id", "ts", "error"), 0.3, 0.1, False, 2, z_range=(1.0, 6.0, 0.5))
+    return forecast.find_anomalies(_detect(spark, d)["errors"].select("signal_id", "ts", "error"), 0.3, 0.1, False, 2, z_range=(1.0, 6.0, 0.5)).withColumn("severity", F.round("severity", 6))
 
 
 @query(f'WITH {PERSIST}, {thresholded()} SELECT signal_id, start, "end", severity FROM anomalies')
@@ -540,9 +573,9 @@ def pipeline_detector_gpt(spark, d):
     return _detect(spark, d, "gpt_detector")["anomalies"].select("signal_id", "start", "end", F.round("severity", 6).alias("severity"))
 
 
-@query()
+@query(f'WITH RECURSIVE {buckets()}, {IMPUTED}, {clustered(30)}, err AS (SELECT a.signal_id, a.ts, abs(a.centre - b.centre) AS error FROM near a JOIN near b ON a.signal_id = b.signal_id AND b.idx = a.idx - 1 WHERE a.idx >= {FW}), {thresholded()} SELECT signal_id, start, "end", severity FROM anomalies')
 def pipeline_detector_kmeans(spark, d):
-    return _detect(spark, d, "mistral_detector_kmeans", float2cluster={"n_clusters": 30})["anomalies"]
+    return _detect(spark, d, "mistral_detector_kmeans", float2cluster={"n_clusters": 30})["anomalies"].withColumn("severity", F.round("severity", 6))
 
 
 FIRST_DIM = PERSIST.replace(quantised(), quantised(sig=SIGM)).replace(f"WHERE a.idx >= {FW}", f"WHERE a.idx >= {FW} AND a.dim = 0 AND b.dim = 0")

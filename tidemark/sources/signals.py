@@ -10,6 +10,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import numbered
+
 CSV_SCHEMA = "timestamp BIGINT, value DOUBLE"
 CANONICAL = ["timestamp", "value"]
 
@@ -27,11 +29,9 @@ def canonicalise(df: DataFrame, timestamp_column=None, value_column=None) -> Dat
     return df.select(F.col(at(timestamp_column, df.columns[0])).alias("timestamp"), F.col(at(value_column, df.columns[-1])).alias("value"))
 
 
-def index_rows(df: DataFrame, order: str = "timestamp", keys: list[str] | None = None) -> DataFrame:
-    """Dense row positions from 0, by key. Without keys the frame is one signal and is numbered as one."""
-    keyed = df if keys else df.withColumn("_one", F.lit(1))
-    w = Window.partitionBy(*(keys or ["_one"])).orderBy(order)
-    return keyed.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint")).drop("_one")
+def index_rows(df: DataFrame, order: str = "timestamp", keys: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Dense row positions from 0, by key, and its number of rows if asked for. Without keys the frame is one signal. In two passes, so a signal may have any length."""
+    return numbered(df, keys or [], [order], "idx", total, "positions")
 
 
 def slice_positional(df: DataFrame, start: int, end: int) -> DataFrame:
@@ -97,8 +97,7 @@ def load_slice(df: DataFrame, start=None, end=None) -> DataFrame:
 
 def train_test_split(df: DataFrame, fraction: float = 0.3, keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
     """Adds split: the last fraction of each signal's rows by time is test."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return index_rows(df, "ts", list(keys)).withColumn("split", F.when(F.col("idx") < F.floor(n * (1 - fraction)), "train").otherwise("test"))
+    return index_rows(df, "ts", list(keys), "_n").withColumn("split", F.when(F.col("idx") < F.floor(F.col("_n") * (1 - fraction)), "train").otherwise("test")).drop("_n")
 
 
 def load_anomalies(spark: SparkSession, path: str) -> DataFrame:
