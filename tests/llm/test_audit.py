@@ -138,7 +138,7 @@ def test_collocations_of_an_empty_table(docs):
     assert collocations.collocations(docs.filter("text IS NULL")).count() == 0
 
 
-def test_codes_of_more_than_two_bytes():
+def test_codes_come_back_and_lose_what_has_no_neighbour():
     import numpy as np
 
     for top in (0, 7, 65535, 65536, 10**6):

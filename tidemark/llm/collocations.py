@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .common import batch, drop_saved, lower_ascii, map_arrow, may_hold, pieces,
 TOKEN_RE = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
 ENDS = frozenset(".,;:!?\n\v\f\r")
 #: Words of a block at most (a piece is never divided, so a block may pass this by one piece).
-BLOCK = 400_000
+BLOCK = 1_200_000
 #: A language's least phrase count, longest phrase, and share (in hundredths) of a longer phrase that makes it redundant.
 LEAST, LONGEST, INSIDE = 30, 4, 80
 
@@ -56,13 +57,11 @@ class _Block:
 
 
 def packed(codes: np.ndarray) -> bytes:
-    """Codes with the bytes of one in front: 2 where they suffice."""
-    wide = len(codes) and codes.max() > 0xFFFF
-    return (b"\4" if wide else b"\2") + codes.astype("<u4" if wide else "<u2").tobytes()
+    return zstandard.compress(codes.astype("<u4").tobytes(), 1)
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u4" if b[:1] == b"\4" else "<u2", offset=1).astype(np.int64)
+    return np.frombuffer(zstandard.decompress(b), "<u4").astype(np.int64)
 
 
 def _numbers() -> Iterator[int]:
@@ -173,7 +172,9 @@ def renamed(named: DataFrame, names: DataFrame) -> DataFrame:
 
 def words_named(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """block, codes, ids of blocks of words; words that have no name are gaps. words: lang, word, id."""
+    key = lambda: F.xxhash64("lang", "word")
     each = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
+    each = may_hold(each, key(), words.select(key().alias("key")), "_may").filter("_may").drop("_may")
     found = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id"))
 
     def run(batches):
@@ -221,20 +222,21 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, in
     no rows.
     """
     blocks = save(coded(docs), "blocks")
-    sizes = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+    sizes = save(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "sizes")
     counted = blocks.select("lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("c"))).alias("x")).groupBy("lang", F.col("x.word").alias("word")).agg(F.sum("x.c").alias("f"))
     names = with_ids(counted.filter(F.col("f") >= least), "words")
     named = save(words_named(blocks, names), "named1")
+    drop_saved(blocks)
     level = names.select("id", "lang", F.array("word").alias("words"), "f", *(F.array().cast("array<long>").alias(c) for c in ("heads", "tails")))
-    levels, used = [], [blocks, named]
+    levels = []
     for k in range(2, longest + 1):
         names = with_ids(pairs(named).groupBy("l", "r").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"names{k}")
+        had = named
         if k < longest:
-            used.append(named := save(renamed(named, names), f"named{k}"))
+            named = save(renamed(named, names), f"named{k}")
+        drop_saved(had)
         level = save(chained(names, level), f"phrases{k}")
         levels.append((names, level))
-    sizes = save(sizes, "sizes")
-    drop_saved(*used)
 
     out = None
     for k, (_, level) in enumerate(levels):

@@ -12,24 +12,33 @@ from pyspark.sql import types as T
 
 from ..tables import drop_saved, new_path, release, remove, save, saved_count, shared_dir
 
-__all__ = ["MAP_BITS", "WORD", "batch", "documents", "drop_saved", "lower_ascii", "map_arrow", "may_hold", "new_path", "pieces", "release", "remove", "save", "saved_count", "shared_dir", "text_key", "words"]
+__all__ = ["MOST_BITS", "WORD", "batch", "documents", "drop_saved", "lower_ascii", "map_arrow", "map_bits", "may_hold", "new_path", "pieces", "release", "remove", "save", "saved_count", "shared_dir", "text_key", "words"]
 
 #: Words of the contracts: runs of anything but a blank and the five ASCII controls of white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 
-#: Bits of the map that a few keys are looked up in.
-MAP_BITS = 1 << 22
+#: Bits of the map that keys are looked up in: so many a key, up to a bound (its words are broadcast: 64 bits and their place each).
+KEY_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 26
 
 
-def may_hold(df: DataFrame, key: Column, some: DataFrame, name: str, bits: int = MAP_BITS) -> DataFrame:
+def map_bits(keys: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys - 1).bit_length())) if keys else LEAST_BITS
+
+
+def may_hold(df: DataFrame, key: Column, some: DataFrame, name: str, bits: int | None = None) -> DataFrame:
     """df with name added: false for rows whose key (a long) is certainly not in some (one long column).
 
-    The keys set bits of a map by hash. Its words, bits / 64 at most, are broadcast, so
-    wide rows needn't be shuffled to learn that they meet nothing. The map is saved.
+    The keys set bits of a map by hash: one in 32 to 64 is a false hit, up to 2 million
+    keys; of more keys the map of MOST_BITS holds back fewer rows. Its words, bits / 64
+    at most, are broadcast, so wide rows needn't be shuffled to learn that they meet
+    nothing. The map is saved.
     """
     (k,) = some.columns
+    if bits is None:
+        some = save(some, "keys")
+        bits = map_bits(some.count())
     at = F.pmod(F.xxhash64(F.col(f"`{k}`")), F.lit(bits))
     words_ = save(some.select(at.alias("b")).groupBy(F.floor(F.col("b") / 64).alias(f"{name}_w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias(f"{name}_m")), "map")
     pos = F.pmod(F.xxhash64(key), F.lit(bits))
