@@ -82,7 +82,8 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     df = df.withColumn("_head", F.when(before.isNull() | (F.col(start) > before), F.col(start))).drop("_reach")
     block = df.groupBy(*quoted(keys), "_block").agg(F.max("_head").alias("_most"))
     df = with_carry(df, keys, block, {"_from": F.max("_most")})
-    return df.withColumn("_island", F.greatest("_from", F.max("_head").over(here.rowsBetween(Window.unboundedPreceding, 0)))).drop("_head", "_from", "_block")
+    # rows that tie see each other, as any of them may be the head
+    return df.withColumn("_island", F.greatest("_from", F.max("_head").over(here))).drop("_head", "_from", "_block")
 
 
 def largest(df: DataFrame, keys: list[str]) -> int:

@@ -48,7 +48,7 @@ def merge_intervals(df: DataFrame, score: str | None = None) -> DataFrame:
         w = Window.partitionBy("signal_id").orderBy("start", "end")
         before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
         head = F.when(before.isNull() | (F.col("start") > before), F.col("start"))
-        df = df.withColumn("_head", head).withColumn("_island", F.max("_head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        df = df.withColumn("_head", head).withColumn("_island", F.max("_head").over(w))
     severity = F.max(score) if score else F.lit(0.0)
     return df.groupBy("signal_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), severity.alias("severity")).drop("_island")
 
