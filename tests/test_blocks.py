@@ -42,7 +42,9 @@ ERRORS = "signal_id string, ts long, error double"
 def test_positions_of_one_signal(spark):
     rows = [("a", t, t % 5) for t in random.Random(1).sample(range(9_000), 3_000)] + [(None, 4, 1), (None, 2, 1), ("b", 1, 0)]
     df = spark.createDataFrame(rows, "signal_id string, ts long, `v.x` long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     got = blocks.numbered(df, ["signal_id"], ["ts"], "idx", "n")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {s: sorted(t for x, t, _ in rows if x == s) for s in (None, "a", "b")}
     assert sorted(((r.signal_id or "", r.idx, r.ts, r.n) for r in got.collect())) == sorted((s or "", i, t, len(ts)) for s, ts in want.items() for i, t in enumerate(ts))
     assert got.columns == ["signal_id", "ts", "v.x", "idx", "n"]

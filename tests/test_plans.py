@@ -2,7 +2,10 @@
 
 import json
 import sys
+import uuid
+import zlib
 from dataclasses import dataclass
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -213,7 +216,7 @@ def test_one_bad_signal_spares_the_others_and_is_run_again(spark, wave, tmp_path
     run = lambda sig, client, **kw: B.benchmark(spark, {"d": (sig, truth)}, ["mistral_detector"], given, cache_dir=cache, anomaly_dir=found, resume=True, forecast_model=client, **kw)
     run(four, Picky())
     rows = {r.signal: r for r in spark.read.parquet(cache).collect()}
-    assert {s for s, r in rows.items() if r.status == "OK" and r.f1 == 1} == {"s", "s0", "s1"} and rows["bad"].status.startswith("ERROR") and rows["bad"].f1 == 0
+    assert {s for s, r in rows.items() if r.status == "OK" and r.f1 == 1} == {"s", "s0", "s1"} and rows["bad"].status == "ERROR" and rows["bad"].f1 == 0
     assert spark.read.csv(f"{found}/mistral_detector_d_0", header=True).select("signal_id").distinct().count() == 3
     # resumed with a client that can: the bad signal and a new one are run, the others aren't
     run(four.unionByName(wave.withColumn("signal_id", F.lit("new"))), models.PersistenceClient(), workers=2)
@@ -223,6 +226,85 @@ def test_one_bad_signal_spares_the_others_and_is_run_again(spark, wave, tmp_path
     assert B.benchmark(spark, {}, []).count() == 0
 
 
+def test_bad_signals_cost_no_run_and_are_logged(spark, wave, tmp_path, caplog, monkeypatch):
+    """3 of 12 signals fail: one plan, each one's exception in the log, times by signal."""
+    many = None
+    for k in range(12):
+        one = wave.withColumn("signal_id", F.lit(f"s{k:02}"))
+        one = one.withColumn("value", F.when(F.col("ts") == 0, 104.0).otherwise(F.col("value"))) if k % 4 == 1 else one
+        many = one if many is None else many.unionByName(one)
+    truth = spark.createDataFrame([(f"s{k:02}", 100 * 21600, 103 * 21600) for k in range(12)], "signal_id string, start long, end long")
+    given = {"rolling_window_sequences#1": {"window_size": 20}, "find_anomalies#1": {"window_size_portion": 1.0, "anomaly_padding": 2}, "forecast_model#1": {"retry": models.Retry(1)}}
+    runs = []
+    detect = B.Detector.detect
+    monkeypatch.setattr(B.Detector, "detect", lambda self, *a, **b: runs.append(1) or detect(self, *a, **b))
+    rows = {r.signal: r for r in B.evaluate_dataset("mistral_detector", "d", many, truth, given, 0, "r", forecast_model=Picky()).collect()}
+    assert len(runs) == 1 and len(rows) == 12
+    bad = {s for s, r in rows.items() if r.status == "ERROR"}
+    assert bad == {"s01", "s05", "s09"} and all(rows[s].f1 == 0 for s in bad) and all(rows[s].status == "OK" and rows[s].f1 == 1 for s in rows.keys() - bad)
+    assert all(any(s in r.getMessage() and "RuntimeError: a bad prompt" in r.getMessage() for r in caplog.records) for s in bad)
+    assert all(r.elapsed > 0 for r in rows.values()) and len({r.elapsed for r in rows.values()}) > 1
+
+
+class Flaky(models.HttpChatClient):
+    """Every tenth request fails; those that were answered are noted in a folder."""
+
+    def send(self, body):
+        folder = Path(self.url)
+        n = len(list(folder.iterdir()))
+        name = zlib.crc32(body["messages"][1]["content"].encode())
+        if not (folder / f"try-{name}").exists() and name % 10 < 2 or (folder / "off").exists() and name % 3 == 0:
+            (folder / f"try-{name}").touch()
+            raise OSError("the line is down")
+        (folder / f"ok-{name}-{n}-{uuid.uuid4()}").touch()
+        return {"choices": [{"message": {"content": "1"}}] * body["n"]}
+
+
+def test_a_failing_prompt_costs_no_other_its_answer(spark, tmp_path):
+    folder, store = tmp_path / "asked", str(tmp_path / "store")
+    folder.mkdir()
+    (folder / "off").touch()
+    prompts = spark.range(60).select(F.col("id").alias("win"), F.concat(F.lit("p"), "id").alias("text")).repartition(3)
+    client, once = Flaky(str(folder), "m"), models.Retry(2, 0.01, 4)
+    # some prompts fail all tries: they are named, all others are in the store
+    with pytest.raises(models.ModelError, match="the line is down"):
+        models.ask(prompts, client, store, chunk=25, retry=once)
+    had = {r.win for r in spark.read.parquet(store).collect()}
+    assert 20 < len(had) < 60 and len(list(Path(store).glob("*.parquet"))) >= 3
+    kept = models.ask(prompts, client, store, "keep", chunk=25, retry=once).collect()
+    assert {r.win for r in kept if r.error} == set(range(60)) - had and all(r.response is None for r in kept if r.error)
+    # the line is up again: only what has no answer is asked
+    (folder / "off").unlink()
+    assert {(r.win, r.response) for r in models.ask(prompts, client, store, chunk=25, retry=once).collect()} == {(i, "1") for i in range(60)}
+    asked = [f.name.split("-")[1] for f in folder.iterdir() if f.name.startswith("ok-")]
+    assert len(asked) == len(set(asked)) == 60
+    assert len(models.ask(prompts, client, store, retry=once).collect()) == 60
+    assert sum(f.name.startswith("ok-") for f in folder.iterdir()) == 60
+
+
+def test_a_batch_that_fails_is_asked_prompt_by_prompt(spark):
+    prompts = spark.createDataFrame([(1, "9500,1"), (2, "5,6"), (3, "7,8")], "win long, text string").coalesce(1)
+    got = {r.win: r for r in models.ask(prompts, Picky(), on_error="keep", retry=models.Retry(2, 0.0)).collect()}
+    assert got[1].error == "RuntimeError: a bad prompt" and (got[2].response, got[3].response) == ("6", "8") and got[2].error is None
+    with pytest.raises(models.ModelError):
+        models.ask(prompts, Picky(), retry=models.Retry(1))
+    with pytest.raises(ValueError, match="on_error"):
+        models.ask(prompts, Picky(), on_error="ignore")
+
+
+def test_an_answer_that_is_no_number_takes_its_signal_out(spark, wave):
+    class Words(models.PersistenceClient):
+        def complete(self, prompts, budgets, sampling):
+            return [["what?" if "9500" in p.split(",")[0] else a[0]] for p, a in zip(prompts, super().complete(prompts, budgets, sampling), strict=True)]
+
+    two = wave.unionByName(wave.withColumn("signal_id", F.lit("t")).withColumn("value", F.when(F.col("ts") == 0, 100.0).otherwise(F.col("value"))))
+    given = {"rolling_window_sequences#1": {"window_size": 20}, "format_as_integer#1": {"errors": "raise"}}
+    found, failed, _, _ = B.detected("mistral_detector", given, two, None, {"forecast_model": Words()})
+    first = Pipeline.load("mistral_detector", given).run(0, 4, signals=two)["windows"].filter("win = 0").collect()
+    wrong = {r.signal_id for r in first if "9500" in r.text.split(",")[0]}
+    assert {r.signal_id for r in failed.collect()} == wrong and not any(r.signal_id in wrong for r in found.collect())
+
+
 def test_command_line(spark, wave, tmp_path):
     wave.write.parquet(str(tmp_path / "w_signals.parquet"))
     spark.createDataFrame([("s", 100 * 21600, 103 * 21600)], "signal_id string, start long, end long").write.parquet(str(tmp_path / "w_truth.parquet"))

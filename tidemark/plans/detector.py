@@ -20,12 +20,18 @@ class Detector:
                     params.setdefault(f"{name}#1", {})[key] = value
         self.hyperparameters = params
 
-    def detect(self, df: DataFrame, normal: DataFrame | None = None, visualization: bool = False, **clients):
-        """(signal_id, start, end, severity); with visualization also the context of named tables."""
+    def detect(self, df: DataFrame, normal: DataFrame | None = None, visualization: bool = False, on_error: str = "raise", **clients):
+        """(signal_id, start, end, severity); with visualization also the context of named tables.
+
+        on_error: raise, or keep, which leaves out signals of which a prompt has no
+        answer; the context then has failed (signal_id, error) and seconds. The plan
+        writes tables on the way, which stand until the process ends: consume the
+        result within tables.scope(), or call tables.release().
+        """
         p = Pipeline.load(self.spec, self.hyperparameters)
         for name, client in clients.items():
             p.spec["params"].setdefault(f"{name}#1", {})["client"] = client
-        inputs = {"signals": as_signals(df)} | ({} if normal is None else {"normal": as_signals(normal)})
+        inputs = {"signals": as_signals(df), "on_error": on_error} | ({} if normal is None else {"normal": as_signals(normal)})
         c = p.run(**inputs)
         out = c["anomalies"].select("signal_id", "start", "end", "severity")
         return (out, c) if visualization else out

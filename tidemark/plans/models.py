@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import operator
 import re
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import save
+from ..tables import drop_saved, release, save, saved_count
 
 #: Tokens of an answer without a budget; the bias of tokens that a value may have.
 TOKENS, BIAS = 256, 30
@@ -114,6 +116,8 @@ class HttpChatClient:
     encode: Callable[[str], list[int]] | None = None
     timeout: float = 120
     padding: float = 0
+    #: Prompts are requests of their own: one that fails costs no other its answer.
+    singly = True
 
     def count(self, text: str) -> int:
         return len(self.encode(text)) if self.encode else len(text)
@@ -229,54 +233,138 @@ class DetectBudget:
         return max(1, detect_budget(count_tokens(client, text), self.anomalous_percent))
 
 
-ANSWERS = "sample int, response string, logprobs string"
+ANSWERS = "sample int, response string, logprobs string, error string, seconds double"
+#: Prompts whose answers are committed to a store together.
+CHUNK = 10_000
 
 
-def infer(prompts: DataFrame, client: ModelClient, sampling: Sampling | None = None, budget: Callable[[ModelClient, str], int] | None = None, text: str = "text") -> DataFrame:
-    """One row in, sampling.samples rows out; batches of prompts go to the client at once, and the client is unpickled once a task.
+class ModelError(RuntimeError):
+    """Prompts without an answer; all others' answers have been kept."""
 
-    logprobs is the model's report as JSON if it was asked for and the client gives one, else NULL.
+
+@dataclass
+class Retry:
+    """How often a prompt is tried, seconds before the second try (doubled before each more), and prompts that one task asks at once of a client that takes them singly."""
+
+    tries: int = 3
+    wait: float = 1.0
+    at_once: int = 8
+
+
+def _asked(client: ModelClient, texts: list[str], budgets: list[int], sampling: Sampling, retry: Retry) -> list[tuple[list, str | None, float]]:
+    """Answers, error and seconds of each prompt. An exception is its prompt's error and no one else's."""
+
+    def call(texts, budgets):
+        if sampling.logprobs and hasattr(client, "complete_with_logprobs"):
+            return client.complete_with_logprobs(texts, budgets, sampling)
+        return [[(a, None) for a in row] for row in client.complete(texts, budgets, sampling)]
+
+    def one(text, budget):
+        began, why = time.perf_counter(), ""
+        for k in range(max(1, retry.tries)):
+            if k:
+                time.sleep(retry.wait * 2 ** (k - 1))
+            try:
+                return call([text], [budget])[0], None, time.perf_counter() - began
+            except Exception as e:
+                why = f"{type(e).__name__}: {e}"
+        return [], why, time.perf_counter() - began
+
+    if getattr(client, "singly", False):
+        with ThreadPoolExecutor(max(1, retry.at_once)) as pool:
+            return list(pool.map(one, texts, budgets))
+    began = time.perf_counter()
+    try:
+        rows = call(texts, budgets)
+    except Exception:  # which prompt it was shows when they are asked one by one
+        return [one(t, b) for t, b in zip(texts, budgets, strict=True)]
+    return [(row, None, (time.perf_counter() - began) / len(texts)) for row in rows]
+
+
+def infer(prompts: DataFrame, client: ModelClient, sampling: Sampling | None = None, budget: Callable[[ModelClient, str], int] | None = None, text: str = "text", retry: Retry | None = None) -> DataFrame:
+    """One row in, sampling.samples rows out; the client is unpickled once a task.
+
+    Batches go to the client as one call, or, of a client that takes prompts singly,
+    prompt by prompt, several at once. A prompt that fails all tries is one row, with
+    its error and no response. logprobs is the model's report as JSON if it was asked
+    for and the client gives one, else NULL; seconds is a prompt's time, on each of its rows.
     """
-    sampling = sampling or Sampling()
+    sampling, retry = sampling or Sampling(), retry or Retry()
     keys = [c for c in prompts.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             texts = pdf[text].fillna("").tolist()
-            budgets = [budget(client, t) if budget else TOKENS for t in texts]
-            if sampling.logprobs and hasattr(client, "complete_with_logprobs"):
-                answers = client.complete_with_logprobs(texts, budgets, sampling)
-            else:
-                answers = [[(a, None) for a in row] for row in client.complete(texts, budgets, sampling)]
-            out = pdf[keys].assign(answer=answers).explode("answer", ignore_index=False)
-            out.insert(len(keys), "sample", out.groupby(level=0).cumcount().astype("int32"))
-            got = [a if isinstance(a, tuple) else (None, None) for a in out.pop("answer")]
-            yield out.assign(response=[a for a, _ in got], logprobs=[b for _, b in got]).reset_index(drop=True)
+            got = _asked(client, texts, [budget(client, t) if budget else TOKENS for t in texts], sampling, retry)
+            rows = [[(k, a, b, None, s) for k, (a, b) in enumerate(answers)] if why is None else [(0, None, None, why, s)] for answers, why, s in got]
+            at = [i for i, r in enumerate(rows) for _ in (r or [0])]
+            flat = [x for r in rows for x in (r or [(0, None, None, None, 0.0)])]
+            out = pdf[keys].iloc[at].reset_index(drop=True)
+            for k, (name, kind) in enumerate((("sample", "int32"), ("response", object), ("logprobs", object), ("error", object), ("seconds", float))):
+                out[name] = pd.Series([x[k] for x in flat], dtype=kind)
+            yield out
 
     return prompts.mapInPandas(run, f"{schema}, {ANSWERS}")
 
 
-def ask(prompts: DataFrame, client: ModelClient, store: str | None = None, **kw) -> DataFrame:
+def _failed(answers: DataFrame, asked: int | None = None) -> None:
+    """Raises what failed, if anything did."""
+    worst = answers.filter("error IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("first")).first()
+    if worst["n"]:
+        raise ModelError(f"{worst['n']} prompts have no answer; the first: {worst['first']}")
+
+
+def ask(prompts: DataFrame, client: ModelClient, store: str | None = None, on_error: str = "raise", chunk: int = CHUNK, **kw) -> DataFrame:
     """infer(), once: answers already in the store are kept, new ones appended, and the plan goes on from the store, with the answers to these prompts only.
 
-    Without a store of the caller's, the answers are written to a table of this session (tables.release() deletes it).
+    Prompts are asked a chunk at a time and a chunk's answers committed before the next,
+    so what has been paid for outlives a lost job; only answers are kept, so what failed
+    is asked again the next time, and nothing else is. on_error: raise, once all chunks
+    are done, or keep, which returns failed prompts with their error and no response.
+    Without a store of the caller's, the answers are written to a table of this session
+    (tables.release() deletes it).
     """
+    if on_error not in ("raise", "keep"):
+        raise ValueError(f"unknown on_error {on_error!r}")
     if store is None:
-        return save(infer(prompts, client, **kw), "answers")
-    spark, keys = prompts.sparkSession, [c for c in prompts.columns if c != kw.get("text", "text")]
+        out = save(infer(prompts, client, **kw), "answers")
+        if on_error == "raise":
+            _failed(out)
+        return out
+    spark, text = prompts.sparkSession, kw.get("text", "text")
+    keys = [c for c in prompts.columns if c != text]
     p = spark._jvm.org.apache.hadoop.fs.Path(store)
+    prompts, mark = save(prompts, "prompts"), saved_count()
 
     def same(have):
         return reduce(operator.and_, [F.col(f"`{k}`").eqNullSafe(have[f"_{k}"]) for k in keys])
 
-    new = prompts
+    new, schema = prompts, infer(prompts.limit(0), client, **kw).schema
+    there = lambda: spark.read.schema(schema).parquet(store)  # noqa: E731  a store of an older version has no times
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        have = spark.read.parquet(store).select(*[F.col(f"`{k}`").alias(f"_{k}") for k in keys]).distinct()
+        have = there().select(*[F.col(f"`{k}`").alias(f"_{k}") for k in keys]).distinct()
         new = prompts.join(have, same(have), "left_anti")
-    infer(new, client, **kw).write.mode("append").parquet(store)
+    new, errors = save(new, "new"), []
+    parts = -(-new.count() // chunk) or 1
+    for k in range(parts):
+        got = save(infer(new.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in prompts.columns]), F.lit(parts)) == k), client, **kw), "chunk")
+        got.filter("error IS NULL").write.mode("append").parquet(store)
+        if got.filter("error IS NOT NULL").limit(1).count():
+            errors.append(got.filter("error IS NOT NULL"))
+        else:
+            drop_saved(got)
+    failed = reduce(DataFrame.unionByName, errors) if errors else None
+    if failed is not None and on_error == "raise":
+        try:
+            _failed(failed)
+        finally:
+            release(mark - 1)
     asked = prompts.select(*[F.col(f"`{k}`").alias(f"_{k}") for k in keys]).distinct()
-    return spark.read.parquet(store).join(asked, same(asked), "left_semi")
+    out = there().join(asked, same(asked), "left_semi")
+    return out if failed is None else out.unionByName(failed)
 
 
 def rule_responses(x, sample) -> F.Column:

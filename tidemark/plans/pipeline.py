@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
@@ -88,33 +89,54 @@ def normalize(c, source="samples", out="samples"):
     return {out: prep.normalize(c[source])}
 
 
+def _put(c: dict, asked: DataFrame, client, store, retry, sampling, budget) -> dict:
+    """The model's answers. With on_error of keep, signals with a prompt that has none go, and failed says why; seconds is the model's time by signal."""
+    keep, began = c.get("on_error") == "keep", time.perf_counter()
+    got = models.ask(asked, client, store, "keep" if keep else "raise", sampling=sampling, budget=budget, **({} if retry is None else {"retry": retry}))
+    if not keep:
+        return {"responses": got}
+    took = got.groupBy("signal_id").agg(F.sum(F.when(F.col("sample") == 0, F.col("seconds"))).alias("seconds"))
+    return _without(c, got, got.filter("error IS NOT NULL").select("signal_id", "error")) | {"seconds": took, "model_wall": time.perf_counter() - began}
+
+
+def _without(c: dict, responses: DataFrame, bad: DataFrame) -> dict:
+    """Responses without the signals of bad, which join what has failed before."""
+    bad = bad.groupBy("signal_id").agg(F.min("error").alias("error"))
+    return {"responses": responses.join(bad, "signal_id", "left_anti"), "failed": c["failed"].unionByName(bad) if "failed" in c else bad}
+
+
 @stage
-def forecast_model(c, client=None, samples=1, steps=1, num_dims=1, store=None, padding=None, multivariate_allowed_symbols=(), **sampling):
+def forecast_model(c, client=None, samples=1, steps=1, num_dims=1, store=None, padding=None, multivariate_allowed_symbols=(), retry=None, **sampling):
     """M1, M2. The budget of an answer follows from the prompt's tokens, its values and steps."""
     client = client or models.PersistenceClient(c["sep"], steps, num_dims)
     if multivariate_allowed_symbols and hasattr(client, "allowed_symbols"):
         client = replace(client, allowed_symbols=tuple(multivariate_allowed_symbols))
     asked = c["windows"].select("signal_id", "win", "first_index", "text")
-    return {"responses": models.ask(asked, client, store, sampling=models.Sampling(samples=samples, **sampling), budget=models.ForecastBudget(steps, c["sep"], padding))}
+    return _put(c, asked, client, store, retry, models.Sampling(samples=samples, **sampling), models.ForecastBudget(steps, c["sep"], padding))
 
 
 @stage
-def detect_model(c, client=None, samples=1, store=None, anomalous_percent=0.5, restrict_tokens=None, **sampling):
+def detect_model(c, client=None, samples=1, store=None, anomalous_percent=0.5, restrict_tokens=None, retry=None, **sampling):
     """M3, M4. The model sees the prompt where the pipeline makes one, else the text; of an answer that repeats the prompt, what follows the marker counts."""
     w, client = c["windows"], client or models.RuleClient()
     if restrict_tokens is not None and hasattr(client, "restrict_tokens"):
         client = replace(client, restrict_tokens=restrict_tokens)
     asked = w.select("signal_id", "win", "first_index", F.col("prompt" if "prompt" in w.columns else "text").alias("text"))
-    got = models.ask(asked, client, store, sampling=models.Sampling(samples=samples, **sampling), budget=models.DetectBudget(anomalous_percent))
+    put = _put(c, asked, client, store, retry, models.Sampling(samples=samples, **sampling), models.DetectBudget(anomalous_percent))
+    got = put["responses"]
     if "prompt" in w.columns:
         marker = c.get("marker", "[RESPONSE]")
         got = got.withColumn("response", F.when(F.col("response").contains(marker), parse.extract_response(F.col("response"), marker)).otherwise(F.col("response")))
-    return {"responses": got}
+    return put | {"responses": got}
 
 
 @stage
 def format_as_integer(c, sep=",", trunc=1, errors="coerce", num_dims=1, target_column=0):
-    r, kind = c["responses"], c.get("encoder", "plain")
+    r, kind, more = c["responses"], c.get("encoder", "plain"), {}
+    if errors == "raise" and kind == "plain" and c.get("on_error") == "keep":
+        wrong = F.exists(parse.string_to_numbers(F.col("response"), sep, None, "coerce"), F.isnan)
+        more, errors = _without(c, r, r.filter(wrong).select("signal_id", F.concat(F.lit("not numbers: "), "response").alias("error"))), "coerce"
+        r = more["responses"]
     if kind in ("value_interleave", "digit_interleave"):
         r = r.join(c["windows"].select("signal_id", "width").distinct(), "signal_id")
         v = getattr(parse, kind)(F.col("response"), F.col("width"), target_column, trunc, sep)
@@ -126,7 +148,7 @@ def format_as_integer(c, sep=",", trunc=1, errors="coerce", num_dims=1, target_c
         v = F.array(parse.last_value(F.col("response"), sep))
     else:
         v = parse.string_to_numbers(F.col("response"), sep, trunc, errors)
-    return {"predictions": r.select("signal_id", "win", "sample", F.posexplode(v).alias("step", "y_hat")).withColumn("y_hat", F.col("y_hat").cast("double"))}
+    return more | {"predictions": r.select("signal_id", "win", "sample", F.posexplode(v).alias("step", "y_hat")).withColumn("y_hat", F.col("y_hat").cast("double"))}
 
 
 @stage
@@ -190,8 +212,8 @@ def format_anomalies(c, padding_size=50):
     return {"anomalies": votes.format_anomalies(c["idx"], c["scaled"], padding_size)}
 
 
-#: Stages that read a shared frame once and put another in its place.
-REPLACES = {"samples": ("impute", "normalize"), "windows": ("format_as_string", "prompt")}
+#: Stages that read a shared frame once and put another in its place, or write it themselves.
+REPLACES = {"samples": ("impute", "normalize"), "windows": ("format_as_string", "prompt"), "errors": ("find_anomalies",)}
 
 HEAD = ["time_segments_aggregate", "impute"]
 FORECAST_TAIL = ["aggregate_rolling_window", "regression_errors", "find_anomalies"]
