@@ -124,6 +124,14 @@ def test_collocations_are_the_plain_ones(docs, rows, least):
     assert want or least == 30
 
 
+def test_names_that_are_joined_give_what_held_ones_give(docs, rows, monkeypatch):
+    held = {tuple(r) for r in collocations.collocations(docs, 3).collect()}
+    monkeypatch.setattr(collocations, "HELD_WORDS", 0)
+    monkeypatch.setattr(collocations, "HELD_PAIRS", 0)
+    monkeypatch.setattr(collocations, "BLOCK", 300)
+    assert {tuple(r) for r in collocations.collocations(docs, 3).collect()} == held == plain_collocations(rows, 3)
+
+
 def test_collocations_in_small_blocks_and_top(docs, rows, monkeypatch):
     """Texts over several blocks, pieces whole; the limit of a language."""
     blocks = collocations.coded(docs).count()

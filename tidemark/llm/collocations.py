@@ -7,9 +7,11 @@ parts of a pair are its parents: following left or right parents gives the count
 every cut, and a phrase stands inside a longer one if it is a parent of it.
 
 Texts are held in blocks: word codes of a block beside the block's own dictionary. Only
-dictionaries are counted, shuffled and joined; a block is renamed by its own part of the
-result. So no dictionary of the corpus is ever in one place, and a hot word costs a row a
-block.
+dictionaries are counted and shuffled; texts stay where they are. As long as a level's
+names are few (HELD), every task holds them and renames its blocks; beyond, blocks'
+dictionaries are joined with the names, and a block is renamed by its own part of the
+result, so that no dictionary of the corpus is ever in one place. A hot word costs a row
+a block either way.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from .common import batch, drop_saved, lower_ascii, map_arrow, may_hold, pieces,
 TOKEN_RE = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
 ENDS = frozenset(".,;:!?\n\v\f\r")
 #: Words of a block at most (a piece is never divided, so a block may pass this by one piece).
-BLOCK = 1_200_000
+BLOCK = 600_000
+#: Names that a task holds: of words, of pairs (24 bytes each).
+HELD_WORDS, HELD_PAIRS = 400_000, 1_500_000
 #: A language's least phrase count, longest phrase, and share (in hundredths) of a longer phrase that makes it redundant.
 LEAST, LONGEST, INSIDE = 30, 4, 80
 
@@ -141,8 +145,58 @@ def pairs(named: DataFrame) -> DataFrame:
     return map_arrow(named.select("block", "codes", "ids"), run, "block long, l long, r long, n long")
 
 
+def renaming(codes: np.ndarray, found) -> np.ndarray:
+    """Codes of the positions that start a named pair: its place, from 1, among what found gives, which are the named ones of a text's distinct pair keys, in order."""
+    at, keys, m = adjacent(codes)
+    wanted = found(np.unique(keys), m)
+    out = np.zeros(len(codes), np.int64)
+    if len(wanted):
+        k = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        out[at] = np.where(wanted[k] == keys, k + 1, 0)
+    return squeezed(out)
+
+
 def renamed(named: DataFrame, names: DataFrame) -> DataFrame:
     """block, codes, ids: positions that start a named pair hold it, all others nothing. names: l, r, id."""
+    return renamed_held(named, names) if names.count() <= HELD_PAIRS else renamed_joined(named, names)
+
+
+def renamed_held(named: DataFrame, names: DataFrame) -> DataFrame:
+    l, r, new = (names.select("l", "r", "id").toArrow().column(c).to_numpy() for c in ("l", "r", "id"))  # noqa: E741
+    ls, rs = np.unique(l), np.unique(r)
+    keys = np.searchsorted(ls, l) * len(rs) + np.searchsorted(rs, r)
+    order = np.argsort(keys)
+    held = named.sparkSession.sparkContext.broadcast((ls, rs, keys[order], new[order]))
+
+    def run(batches):
+        ls, rs, names_, ids_of = held.value
+
+        def place(x, among):
+            k = np.minimum(np.searchsorted(among, x), max(len(among) - 1, 0))
+            return k, among[k] == x if len(among) else np.zeros(len(x), bool)
+
+        for b in batches:
+            rows = []
+            for block, codes, ids in zip(*(b.column(c).to_pylist() for c in ("block", "codes", "ids")), strict=True):
+                ids, new = np.array([0, *ids], np.int64), []
+
+                def found(u, m, ids=ids, new=new):
+                    (i, there), (j, here) = place(ids[u // m], ls), place(ids[u % m], rs)
+                    k, named_ = place(i * len(rs) + j, names_)
+                    ok = there & here & named_
+                    new.append(ids_of[k[ok]])
+                    return u[ok]
+
+                out = renaming(unpacked(codes), found)
+                if len(out):
+                    rows.append((block, packed(out), new[0]))
+            if rows:
+                yield batch(NAMED, *zip(*rows, strict=True))
+
+    return map_arrow(named.select("block", "codes", "ids"), run, "block long, codes binary, ids array<long>")
+
+
+def renamed_joined(named: DataFrame, names: DataFrame) -> DataFrame:
     key = lambda: F.xxhash64("l", "r")
     asked = may_hold(pairs(named).drop("n"), key(), names.select(key().alias("key")), "_may").filter("_may").drop("_may")
     found = asked.join(names.select("l", "r", "id"), ["l", "r"]).groupBy("block").agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"), F.collect_list("id").alias("id"))
@@ -150,20 +204,16 @@ def renamed(named: DataFrame, names: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for block, codes, ids, l, r, new in zip(*(b.column(c).to_pylist() for c in ("block", "codes", "ids", "l", "r", "id")), strict=True):
-                at, keys, m = adjacent(seq := unpacked(codes))
-                ids, new = np.array([0, *ids], np.int64), np.array(new, np.int64)
+            for block, codes, ids, l, r, new in zip(*(b.column(c).to_pylist() for c in ("block", "codes", "ids", "l", "r", "id")), strict=True):  # noqa: E741
+                ids = np.array([0, *ids], np.int64)
                 order = np.argsort(ids)
                 of = lambda x, s=ids[order], order=order: order[np.searchsorted(s, np.array(x, np.int64))]
-                wanted = of(l) * m + of(r)
+                seq = unpacked(codes)
+                wanted = of(l) * (int(seq.max(initial=0)) + 1) + of(r)
                 by = np.argsort(wanted)
-                wanted, new = wanted[by], new[by]
-                k = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                out = np.zeros(len(seq), np.int64)
-                out[at] = np.where(wanted[k] == keys, k + 1, 0)
-                out = squeezed(out)
+                out = renaming(seq, lambda u, m, w=wanted[by]: w)
                 if len(out):
-                    rows.append((block, packed(out), new))
+                    rows.append((block, packed(out), np.array(new, np.int64)[by]))
             if rows:
                 yield batch(NAMED, *zip(*rows, strict=True))
 
@@ -172,6 +222,29 @@ def renamed(named: DataFrame, names: DataFrame) -> DataFrame:
 
 def words_named(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """block, codes, ids of blocks of words; words that have no name are gaps. words: lang, word, id."""
+    return words_held(blocks, words) if words.count() <= HELD_WORDS else words_joined(blocks, words)
+
+
+def words_held(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    table: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in words.select("lang", "word", "id").toLocalIterator():
+        table[r["lang"]][r["word"]] = r["id"]
+    held = blocks.sparkSession.sparkContext.broadcast(dict(table))
+
+    def run(batches):
+        for b in batches:
+            for part in pieces(b, 1):
+                of = held.value.get(part.column("lang")[0].as_py(), {})
+                ids = np.array([0, *(of.get(w, 0) for w in part.column("words")[0].as_py())], np.int64)
+                to = np.cumsum(ids > 0) * (ids > 0)
+                out = squeezed(to[unpacked(part.column("codes")[0].as_py())])
+                if len(out):
+                    yield batch(NAMED, part.column("block"), [packed(out)], [ids[ids > 0]])
+
+    return map_arrow(blocks.select("block", "lang", "codes", "words"), run, "block long, codes binary, ids array<long>")
+
+
+def words_joined(blocks: DataFrame, words: DataFrame) -> DataFrame:
     key = lambda: F.xxhash64("lang", "word")
     each = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
     each = may_hold(each, key(), words.select(key().alias("key")), "_may").filter("_may").drop("_may")
