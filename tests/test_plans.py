@@ -1,7 +1,10 @@
 """Pipelines, the front, the model stage, the benchmark and streams."""
 
+import datetime
 import json
+import random
 import sys
+import time
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -11,6 +14,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tidemark.operators import votes
 from tidemark.plans import benchmark as B
 from tidemark.plans import harness, models
 from tidemark.plans.detector import Detector
@@ -315,13 +319,51 @@ def test_command_line(spark, wave, tmp_path):
 def test_streams(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([("s", k * 4 + i, float(k * 4 + i)) for i in range(4)], "signal_id string, idx long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema("signal_id string, idx long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream.stream_windows(src, 5, 3).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.first_index for r in spark.sql("select * from w").collect()) == [0, 3, 6]
     timed = spark.readStream.schema("signal_id string, idx long, value double").parquet(str(tmp_path / "in")).withColumn("time", F.timestamp_seconds(F.col("idx") * 3600))
     q = stream.stream_buckets(timed, "6 hours").writeStream.format("memory").queryName("b").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.processAllAvailable()
     q.stop()
     assert sorted(r.value for r in spark.sql("select * from b").collect()) == [2.5, 8.5]
+
+
+def test_a_shuffled_stream_gives_the_windows_of_the_table(spark, tmp_path):
+    rows = [("ab"[k % 2], datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=k), float(k)) for k in range(240)]
+    # shuffled within 30 minutes, dealt over files, and a row far ahead that moves the watermark past all
+    parts = [rows[k : k + 30] for k in range(0, 240, 30)]
+    for k, p in enumerate(parts):
+        random.Random(k).shuffle(p)
+    ordered = [r for p in parts for r in p]
+    end = [(s, datetime.datetime(2024, 1, 3), -1.0) for s in "ab"] + [(s, datetime.datetime(2024, 1, 5), -2.0) for s in "ab"]
+    schema, folder = "signal_id string, time timestamp, value double", tmp_path
+    for p in [ordered[j : j + 30] for j in range(0, 240, 30)] + [end[:2], end[2:]]:
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        time.sleep(1.1)  # files are read by age
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    q = stream.stream_windows(src, 7, 3, "1 hour").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(folder / "cp")).option("path", str(folder / "out")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.signal_id, r.first_index, r.x) for r in spark.read.parquet(str(folder / "out")).collect())
+    want = []
+    for s in "ab":
+        v = [x for n, _, x in rows if n == s] + [-1.0]
+        want += [(s, i, v[i : i + 7]) for i in range(0, len(v) - 6, 3)]
+    assert got == sorted(want)
+
+
+def test_a_shuffled_stream_gives_the_intervals_of_the_table(spark, tmp_path):
+    r = random.Random(3)
+    base = 1_704_067_200
+    rows = [("ab"[r.randrange(2)], base + 60 * k, base + 60 * k + r.randint(0, 200)) for k in range(300)]
+    table = spark.createDataFrame(rows, "signal_id string, start long, end long")
+    want = sorted((x.signal_id, x.start, x.end) for x in votes.merge_intervals(table).collect())
+    last = [(s, base + 10**6, base + 10**6) for s in "ab"] + [(s, base + 2 * 10**6, base + 2 * 10**6) for s in "ab"]
+    schema = "signal_id string, start long, end long"
+    for p in [sorted(rows[j : j + 50], key=lambda _: r.random()) for j in range(0, 300, 50)] + [last[:2], last[2:]]:
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("time", F.timestamp_seconds("start"))
+    q = stream.stream_intervals(src, "2 hours").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((x.signal_id, x.start, x.end) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [x for x in got if x[1] < base + 10**6] == want
