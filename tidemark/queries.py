@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sources as S
+from . import sql
 from .functions import encode as E
 from .functions import parse as R
 from .operators import evaluate, forecast, prep, votes, windows
@@ -41,7 +42,7 @@ def sampled(spark, d, interval=SIX, multi=False):
 
 
 def scaled(spark, d, interval=SIX, multi=False, **kw):
-    return prep.float_to_scalar(sampled(spark, d, interval, multi), **kw)
+    return prep.float_to_scalar(save(sampled(spark, d, interval, multi), "samples"), **kw)
 
 
 def windowed(spark, d, ws=40, step=10, multi=False, **kw):
@@ -684,3 +685,31 @@ def leaderboard(spark, d):
 def resume_antijoin(spark, d):
     k = jobs(spark, d).select("pipeline", "dataset", "signal", "iteration").distinct()
     return evaluate.pending(k, k.filter("pipeline = 'p1' OR dataset = 'd2'"))
+
+
+# --- SQL front -----------------------------------------------------------------------------------------
+
+@query(f"WITH {win_sql()} SELECT signal_id, win, first_index, text FROM win")
+def sql_windows(spark, d):
+    sql.register(spark, S.event_signals(spark, d))
+    return spark.sql("SELECT signal_id, win, first_index, text FROM td_windows(every => 21600, size => 40, step => 10)")
+
+
+@query(f'WITH {PERSIST}, {thresholded()} SELECT signal_id, start, "end", severity FROM anomalies')
+def sql_anomalies(spark, d):
+    sql.register(spark, S.event_signals(spark, d))
+    return spark.sql(f"SELECT signal_id, start, end, round(severity, 6) AS severity FROM td_anomalies(k => 2, padding => 2, portion => 0.3, skip => {FW})")
+
+
+@query(f'WITH {SPANS}, {MERGE.format("sp", "span", "o", "0.0::DOUBLE")} SELECT signal_id, count(*) AS n, sum("end" - start) AS covered FROM o GROUP BY signal_id')
+def sql_merged(spark, d):
+    """A function in a query of the caller's."""
+    s = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("signal_id"), F.expr(S.EPOCH.format("ts")).alias("start"), F.col("user_id"))
+    sql.register(spark, intervals=s.select("signal_id", "start", (F.col("start") + F.col("user_id") % 900).alias("end")))
+    return spark.sql("SELECT signal_id, count(*) AS n, sum(end - start) AS covered FROM td_merged() GROUP BY signal_id")
+
+
+@query(f"WITH {CONF} SELECT signal_id, tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM conf")
+def sql_scores(spark, d):
+    sql.register(spark, truth=truths(spark, d), found=format_anomalies(spark, d))
+    return spark.sql("SELECT signal_id, tp, fp, fn, round(f1, 6) AS f1 FROM td_scores(slack => 0)")
