@@ -296,6 +296,61 @@ def test_a_batch_that_fails_is_asked_prompt_by_prompt(spark):
         models.ask(prompts, Picky(), on_error="ignore")
 
 
+class _Ids(dict):
+    def to(self, device):
+        return self
+
+
+class FakeTokenizer:
+    """A token a character, its code point; 0 pads."""
+
+    pad_token, eos_token, eos_token_id, padding_side = None, "<e>", 1, "right"
+
+    def __call__(self, prompts, return_tensors=None, padding=False):
+        import numpy as np
+
+        assert self.padding_side == "left" and self.pad_token == "<e>"
+        width = max(map(len, prompts))
+        return _Ids(input_ids=np.array([[0] * (width - len(p)) + [ord(c) for c in p] for p in prompts]))
+
+    def batch_decode(self, rows, skip_special_tokens=True, clean_up_tokenization_spaces=True):
+        return ["".join(chr(x) for x in r if x > 1) for r in rows]
+
+
+class FakeModel:
+    device, calls = "cpu", 0
+
+    def generate(self, input_ids, max_new_tokens, num_return_sequences, **kw):
+        import numpy as np
+
+        FakeModel.calls += 1
+        assert kw["renormalize_logits"] and kw["bad_words_ids"] == [[7]]
+        new = np.array([[ord(str(s)) for _ in range(max_new_tokens)] for _ in range(len(input_ids)) for s in range(num_return_sequences)])
+        return np.hstack([np.repeat(input_ids, num_return_sequences, axis=0), new])
+
+
+def test_a_local_model_takes_prompts_together_and_gives_its_tokens():
+    client = models.LocalCausalClient("m", at_once=2)
+    client._loaded = FakeTokenizer(), FakeModel(), [[7]]
+    got = client.complete_raw(["1,2", "3", "45"], [2, 3, 1], models.Sampling(samples=2))
+    assert [[t for t, _ in row] for row in got] == [["00", "11"], ["000", "111"], ["0", "1"]] and FakeModel.calls == 2
+    assert got[1][1][1] == [0, 0, ord("3"), 49, 49, 49] and got[2][0][1] == [ord("4"), ord("5"), 48]
+    assert client.complete(["9"], [1], models.Sampling()) == [["0"]]
+    client.restrict_tokens = False
+    assert client.complete(["9"], [2], models.Sampling()) == [["900"]]
+
+
+class RawClient(models.PersistenceClient):
+    def complete_raw(self, prompts, budgets, sampling):
+        return [[(a, [1, 2]) for a in row] for row in self.complete(prompts, budgets, sampling)]
+
+
+def test_stages_take_raw(spark, wave):
+    for raw in (True, False):
+        c = Pipeline.load("mistral_detector", {"rolling_window_sequences#1": {"window_size": 20}, "forecast_model#1": {"client": RawClient(), "raw": raw}}).run(0, 5, signals=wave)
+        assert {r.raw for r in c["responses"].collect()} == ({"[1, 2]"} if raw else {None})
+
+
 def test_an_answer_that_is_no_number_takes_its_signal_out(spark, wave):
     class Words(models.PersistenceClient):
         def complete(self, prompts, budgets, sampling):

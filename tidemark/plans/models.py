@@ -38,6 +38,7 @@ class Sampling:
     seed: int | None = None
     logprobs: bool = False
     top_logprobs: int | None = None
+    raw: bool = False
 
 
 class ModelClient(Protocol):
@@ -157,13 +158,18 @@ class HttpChatClient:
 
 @dataclass
 class LocalCausalClient:
-    """M2, M4: a local causal model, loaded once for each worker; only digits, the separator and allowed symbols may be generated when restricted."""
+    """M2, M4: a local causal model, loaded once for each worker; only digits, the separator and allowed symbols may be generated when restricted.
+
+    Prompts go through the model at_once at a time, padded on the left; of what it
+    generates, each prompt takes no more tokens than its budget.
+    """
 
     name: str
     sep: str = ","
     allowed_symbols: tuple[str, ...] = ()
     restrict_tokens: bool = True
     padding: float = 0
+    at_once: int = 8
     _loaded: tuple | None = None
 
     def _model(self):
@@ -186,16 +192,27 @@ class LocalCausalClient:
         fine = set("0123456789") | {self.sep, *self.allowed_symbols}
         return [[i] for t, i in tokenizer.get_vocab().items() if not set(tokenizer.convert_tokens_to_string([t])) <= fine and i != tokenizer.eos_token_id]
 
-    def complete(self, prompts, budgets, sampling):
+    def complete_raw(self, prompts, budgets, sampling) -> list[list[tuple[str, list[int]]]]:
+        """Texts, each with the token ids that the model returned for it, its prompt's (and their padding) first."""
         tokenizer, model, banned = self._model()
-        out = []
-        for prompt, budget in zip(prompts, budgets, strict=True):
-            ids = tokenizer(prompt, return_tensors="pt").to(model.device)
-            extra = {"bad_words_ids": banned} if banned else {}
-            got = model.generate(**ids, do_sample=True, max_new_tokens=budget, temperature=sampling.temperature, top_p=sampling.top_p, num_return_sequences=sampling.samples, **extra)
-            out.append(tokenizer.batch_decode(got[:, ids["input_ids"].shape[1] :] if self.restrict_tokens else got, skip_special_tokens=True))
+        tokenizer.padding_side, out = "left", []
+        if tokenizer.pad_token is None:
+            tokenizer.pad_token = tokenizer.eos_token
+        extra = {"bad_words_ids": banned} if banned else {}
+        for k in range(0, len(prompts), self.at_once):
+            most = budgets[k : k + self.at_once]
+            ids = tokenizer(prompts[k : k + self.at_once], return_tensors="pt", padding=True).to(model.device)
+            got = model.generate(**ids, do_sample=True, max_new_tokens=max(most), temperature=sampling.temperature, top_p=sampling.top_p, num_return_sequences=sampling.samples, renormalize_logits=True, **extra)
+            width = ids["input_ids"].shape[1]
+            for i, budget in enumerate(most):
+                rows = [row[: width + budget] for row in got[i * sampling.samples : (i + 1) * sampling.samples].tolist()]
+                texts = tokenizer.batch_decode([row[width:] if self.restrict_tokens else row for row in rows], skip_special_tokens=True, clean_up_tokenization_spaces=False)
+                out.append(list(zip(texts, rows, strict=True)))
         return out
 
+    def complete(self, prompts, budgets, sampling):
+        return [[text for text, _ in row] for row in self.complete_raw(prompts, budgets, sampling)]
+
 
 def forecast_budget(tokens: int, values: int, steps: int, padding: float = 0) -> int:
     """Tokens for the next steps values: tokens a value, rounded down after one is added, by steps."""
@@ -233,7 +250,7 @@ class DetectBudget:
         return max(1, detect_budget(count_tokens(client, text), self.anomalous_percent))
 
 
-ANSWERS = "sample int, response string, logprobs string, error string, seconds double"
+ANSWERS = "sample int, response string, logprobs string, raw string, error string, seconds double"
 #: Prompts whose answers are committed to a store together.
 CHUNK = 10_000
 
@@ -256,8 +273,10 @@ def _asked(client: ModelClient, texts: list[str], budgets: list[int], sampling:
 
     def call(texts, budgets):
         if sampling.logprobs and hasattr(client, "complete_with_logprobs"):
-            return client.complete_with_logprobs(texts, budgets, sampling)
-        return [[(a, None) for a in row] for row in client.complete(texts, budgets, sampling)]
+            return [[(a, p, None) for a, p in row] for row in client.complete_with_logprobs(texts, budgets, sampling)]
+        if sampling.raw and hasattr(client, "complete_raw"):
+            return [[(a, None, json.dumps(ids)) for a, ids in row] for row in client.complete_raw(texts, budgets, sampling)]
+        return [[(a, None, None) for a in row] for row in client.complete(texts, budgets, sampling)]
 
     def one(text, budget):
         began, why = time.perf_counter(), ""
@@ -286,8 +305,8 @@ def infer(prompts: DataFrame, client: ModelClient, sampling: Sampling | None = N
 
     Batches go to the client as one call, or, of a client that takes prompts singly,
     prompt by prompt, several at once. A prompt that fails all tries is one row, with
-    its error and no response. logprobs is the model's report as JSON if it was asked
-    for and the client gives one, else NULL; seconds is a prompt's time, on each of its rows.
+    its error and no response. logprobs and raw are the model's report and its token
+    ids as JSON, if they were asked for and the client gives them, else NULL; seconds is a prompt's time, on each of its rows.
     """
     sampling, retry = sampling or Sampling(), retry or Retry()
     keys = [c for c in prompts.columns if c != text]
@@ -299,11 +318,11 @@ def infer(prompts: DataFrame, client: ModelClient, sampling: Sampling | None = N
                 continue
             texts = pdf[text].fillna("").tolist()
             got = _asked(client, texts, [budget(client, t) if budget else TOKENS for t in texts], sampling, retry)
-            rows = [[(k, a, b, None, s) for k, (a, b) in enumerate(answers)] if why is None else [(0, None, None, why, s)] for answers, why, s in got]
+            rows = [[(k, *a, None, s) for k, a in enumerate(answers)] if why is None else [(0, None, None, None, why, s)] for answers, why, s in got]
             at = [i for i, r in enumerate(rows) for _ in (r or [0])]
-            flat = [x for r in rows for x in (r or [(0, None, None, None, 0.0)])]
+            flat = [x for r in rows for x in (r or [(0, None, None, None, None, 0.0)])]
             out = pdf[keys].iloc[at].reset_index(drop=True)
-            for k, (name, kind) in enumerate((("sample", "int32"), ("response", object), ("logprobs", object), ("error", object), ("seconds", float))):
+            for k, (name, kind) in enumerate((("sample", "int32"), ("response", object), ("logprobs", object), ("raw", object), ("error", object), ("seconds", float))):
                 out[name] = pd.Series([x[k] for x in flat], dtype=kind)
             yield out
 
