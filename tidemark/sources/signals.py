@@ -7,7 +7,7 @@ import json
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocks import numbered
@@ -138,8 +138,8 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_multivariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One signal, one dimension for each event type in order of name."""
-    types = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct()
-    dims = types.withColumn("dim", F.row_number().over(Window.orderBy("event_type")) - 1)
+    types = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.sort_array(F.collect_set("event_type")).alias("types"))
+    dims = types.select(F.posexplode("types").alias("dim", "event_type"))
     # the id hangs on a column: joins on a literal would fold to cross joins
     name = F.concat(F.lit("all"), F.substring("signal_id", 1, 0)).alias("signal_id")
     return event_signals(spark, sf_dir).drop("dim").join(dims.withColumnRenamed("event_type", "signal_id"), "signal_id").select(name, "ts", "dim", "value")
