@@ -249,6 +249,11 @@ def test_the_reader_of_markup_keeps_what_a_browser_shows():
     assert show("<script>if (a < b) '</p>'</script><style>x</style>y<script>open") == ["y"]
 
 
+def test_hidden_paragraphs_and_alerts_of_an_article_go():
+    page = "<article><h1>T</h1><p>one</p><p hidden>no</p><p style='display:none'>no</p><div role=alert>no</div><p>two</p></article>"
+    assert wrappers.text_of(page, wrappers.rules_read(wrappers.rules(wrappers.wrapper_of(page)))) == "T\none\ntwo"
+
+
 def test_the_given_pages_give_their_articles(spark):
     d = Path("/root/testdata/sf0.001/pages.parquet")
     if not d.exists():

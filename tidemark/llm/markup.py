@@ -62,7 +62,7 @@ def _named(token: str) -> tuple[bool, bool]:
 
 
 def attributes(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """An element's signature (its name, classes and id, but for those with digits), whether these name it as no part of an article, and whether as its place."""
+    """An element's signature (its name, classes and id but for those with digits, its role, and whether it is hidden), whether these name it as no part of an article, and whether as its place."""
     main = name in ("article", "main")
     if not attrs or attrs.isspace():
         return name, name == "form", main
@@ -71,6 +71,7 @@ def attributes(name: str, attrs: str) -> tuple[str, bool, bool]:
         key, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'")).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             other = True
+            signed.append("hidden")
         elif key in ("class", "id"):
             for t in value.split():
                 o, m_ = _named(t)
@@ -78,6 +79,7 @@ def attributes(name: str, attrs: str) -> tuple[str, bool, bool]:
                 if not any(c.isdigit() for c in t):
                     signed.append(t)
         elif key == "role":
+            signed.append(f"role={value}")
             main |= value in ("main", "article")
             other |= value in ("banner", "navigation", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog")
         elif key == "itemprop":
