@@ -258,8 +258,6 @@ def levels(root: list) -> dict[int, int]:
             return []
         return [t] if wanted(t) else [x for k in t[KIDS] for x in outermost(k, wanted)]
 
-    for t in walk(root):
-        t[OPT] = bool(t[OPT])
     root_ = token("", 0, 0, None, [root])
     keep(root, root_, False)
 
